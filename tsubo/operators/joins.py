@@ -45,6 +45,17 @@ def known_and_unseen(urls: DataFrame, listings: DataFrame, key: list[str]) -> tu
     return urls.join(known, key, "left_semi"), urls.join(known, key, "left_anti")
 
 
+def stored_match(incoming: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
+    """Incoming rows with the id and creation time of the stored row of the same key."""
+    stored = current.select(*key, F.col("id").alias("stored_id"), F.col("created_at").alias("stored_created_at"))
+    return incoming.join(stored, key, "left")
+
+
+def first_positions(rows: DataFrame, key: Column, position: str, name: str = "url") -> DataFrame:
+    """Each distinct key with the first position it stands at."""
+    return rows.groupBy(key.alias(name)).agg(F.min(position).alias("first_position"))
+
+
 def id_sets(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
     """Each id once, with the side it is on: left, right or both."""
     a = left.select(key).distinct().withColumn("_l", F.lit(True))

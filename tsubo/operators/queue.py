@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsubo import vocab
 from tsubo.functions import urls
 from tsubo.functions.attributes import plus_seconds, retry_delay_seconds
-from tsubo.operators.keyed import latest
+from tsubo.operators.keyed import numbered
 
 KEY = ["source", "source_property_id"]
 OPEN = ["pending", "processing"]
@@ -97,60 +99,51 @@ PERMANENT_WORDS = ["permanent_fail", "404"]
 BLOCK_WORDS = ["WAF", "circuit breaker open"]
 
 
-def apply_outcomes(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Next state of the items that were tried: outcomes(id, at, ok, error).
+def _contains_any(text: Column, words: list[str]) -> Column:
+    return functools.reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
+def apply_outcomes(queue: DataFrame, outcomes: DataFrame, order: tuple[str, ...] = ("at",)) -> DataFrame:
+    """State of the queue after outcomes(id, at, ok, error); an item may have many.
 
-    One outcome per item; use latest() first when there may be more.
+    Every outcome is one more attempt. The last one decides the state; the last
+    one that ended the item decides completed_at. Both are aggregates, so an
+    item with very many outcomes is combined map-side.
     """
-    tried = F.col("at").isNotNull()
-    n = F.col("attempts") + 1
-    error = F.coalesce(F.col("error"), F.lit(""))
-    lost = F.lit(False)
-    for word in PERMANENT_WORDS:
-        lost = lost | error.contains(word)
-    blocked = F.lit(False)
-    for word in BLOCK_WORDS:
-        blocked = blocked | error.contains(word)
-    spent = n >= vocab.MAX_ATTEMPTS
-    never = F.lit(None).cast("timestamp")
-
-    def by_class(done, permanent, block, out_of_tries, retry, untouched) -> Column:
-        return (
-            F.when(~tried, untouched)
-            .when(F.col("ok"), done)
-            .when(lost, permanent)
-            .when(blocked, block)
-            .when(spent, out_of_tries)
-            .otherwise(retry)
-        )
-
-    failed = F.lit("failed")
-    at = F.col("at")
+    error = F.coalesce("error", F.lit(""))
+    tries = numbered(outcomes, ["id"], list(order), F.date_trunc("hour", "at"), "_try")
+    tries = tries.join(queue.select("id", F.col("attempts").alias("_before")), "id")
+    n = (F.col("_before") + F.col("_try")).cast("int")
+    kind = (
+        F.when(F.col("ok"), "done")
+        .when(_contains_any(error, PERMANENT_WORDS), "permanent_fail")
+        .when(_contains_any(error, BLOCK_WORDS), "blocked")
+        .when(n >= vocab.MAX_ATTEMPTS, "spent")
+        .otherwise("retry")
+    )
+    classed = tries.select("id", "_try", "at", error.alias("error"), n.alias("n"), kind.alias("kind"))
+    ends = F.col("kind").isin("done", "permanent_fail", "spent")
+    result = classed.groupBy("id").agg(
+        F.max_by(F.struct("kind", "n", "at", "error"), "_try").alias("_last"),
+        F.max_by("at", F.when(ends, F.col("_try"))).alias("_ended"),
+    )
+
+    kind, at, error = F.col("_last.kind"), F.col("_last.at"), F.col("_last.error")
+    tried = F.col("_last").isNotNull()
     values = {
-        "status": by_class(F.lit("done"), F.lit("permanent_fail"), failed, failed, failed, F.col("status")),
-        "attempts": F.when(tried, n).otherwise(F.col("attempts")),
-        "last_error": by_class(
-            F.lit(""),
-            F.concat(F.lit("404 Not Found (permanent): "), error),
-            F.concat(F.lit("WAF/circuit breaker: "), error),
-            F.concat(F.lit("Max retries exceeded ("), n.cast("string"), F.lit("): "), error),
-            error,
-            F.col("last_error"),
+        "status": F.when(kind.isin("done", "permanent_fail"), kind).otherwise("failed"),
+        "attempts": F.col("_last.n"),
+        "last_error": F.when(kind == "done", "")
+        .when(kind == "permanent_fail", F.concat(F.lit("404 Not Found (permanent): "), error))
+        .when(kind == "blocked", F.concat(F.lit("WAF/circuit breaker: "), error))
+        .when(kind == "spent", F.format_string("Max retries exceeded (%d): %s", F.col("_last.n"), error))
+        .otherwise(error),
+        "next_retry_at": F.when(kind == "blocked", plus_seconds(at, vocab.BLOCK_COOLDOWN_SECONDS)).when(
+            kind == "retry", plus_seconds(at, retry_delay_seconds(F.col("_last.n") - 1))
         ),
-        "next_retry_at": by_class(
-            never,
-            never,
-            plus_seconds(at, vocab.BLOCK_COOLDOWN_SECONDS),
-            never,
-            plus_seconds(at, retry_delay_seconds(n - 1)),
-            F.col("next_retry_at"),
-        ),
-        "completed_at": by_class(at, at, F.col("completed_at"), at, F.col("completed_at"), F.col("completed_at")),
-        "updated_at": F.when(tried, at).otherwise(F.col("updated_at")),
+        "completed_at": F.coalesce("_ended", "completed_at"),
+        "updated_at": at,
     }
-    joined = queue.join(outcomes.select("id", "at", "ok", "error"), "id", "left")
-    return joined.select(*[values[c].alias(c) if c in values else F.col(c) for c in queue.columns])
-
-
-def last_outcomes(outcomes: DataFrame, order: list[str]) -> DataFrame:
-    return latest(outcomes, ["id"], order)
+    return queue.join(result, "id", "left").select(
+        *[F.when(tried, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in queue.columns]
+    )
