@@ -77,33 +77,54 @@ def linked_urls(pages: DataFrame, pattern: str = ".*") -> DataFrame:
 
 
 # -------------------------------------------------------------- page state --
-def page_state(html: Column) -> dict[str, Column]:
-    """Captured values of the state block, NULL when absent. The block is read
-    from its mark to the end of the page."""
-    block = F.when(html.contains(vocab.STATE_MARK), F.substr(html, F.locate(vocab.STATE_MARK, html)))
+def _keyed(keys: list[str], shape: str) -> str:
+    return rf'"(?:{"|".join(keys)})"\s*:\s*{shape}'
 
-    def capture(key: str, shape: str) -> Column:
-        return text.blank_to_null(F.regexp_extract(block, rf'"{key}"\s*:\s*{shape}', 1))
 
-    state = {k: capture(k, r"(\d+)").try_cast("int") for k in vocab.STATE_NUMBERS}
-    state |= {k: capture(k, r'"([^"]+)"') for k in vocab.STATE_TEXTS}
-    state |= {k: capture(k, r"(\[[^\]]*\])") for k in vocab.STATE_LISTS}
-    # a bare number wins over a quoted one
-    state["FloorNum"] = F.coalesce(state["FloorNum"], capture("FloorNum", r'"?(\d+)"?').try_cast("int"))
-    state["RoomLayoutImageUrl"] = F.replace(state["RoomLayoutImageUrl"], F.lit("\\/"), F.lit("/"))
-    return state
+_NUMBERS = _keyed(vocab.STATE_NUMBERS, r"\d+")
+_TEXTS = _keyed(vocab.STATE_TEXTS, '"[^"]+"') + "|" + _keyed(["FloorNum"], r'"\d+"?')
+_LISTS = _keyed(vocab.STATE_LISTS, r"\[[^\]]*\]")
 
 
-def _positive(value: Column) -> Column:
-    return F.when(value > 0, value)
+def has_state(html: Column) -> Column:
+    """The state mark stands on the page and some known key follows it."""
+    return html.contains(vocab.STATE_MARK) & html.rlike(f"(?s){vocab.STATE_MARK}.*?(?:{_NUMBERS}|{_TEXTS}|{_LISTS})")
 
 
 def with_state(pages: DataFrame) -> DataFrame:
-    """Pages with the captured values as one struct `state`, NULL without a block."""
-    state = page_state(F.col("html"))
+    """Pages with the values of their state block as one struct `state`.
+
+    The block runs from its mark to the end of the page. One scan of it per
+    value shape collects all `"key": value` pieces; the first piece of a key
+    counts, and each key is then read from its own short piece.
+    """
+    html = F.col("html")
+    block = F.substr(html, F.locate(vocab.STATE_MARK, html))
+    pieces = pages.withColumns(
+        {
+            "_has": has_state(html),
+            "_numbers": F.regexp_extract_all(block, F.lit(_NUMBERS), 0),
+            "_texts": F.regexp_extract_all(block, F.lit(_TEXTS), 0),
+            "_lists": F.regexp_extract_all(block, F.lit(_LISTS), 0),
+        }
+    )
+
+    def first(shape: str, key: str, value: str) -> Column:
+        piece = F.get(F.filter(shape, lambda p: p.startswith(f'"{key}"')), 0)
+        return F.regexp_extract(piece, rf'(?s)^"[^"]+"\s*:\s*{value}$', 1)
+
+    state = {k: first("_numbers", k, r"(\d+)").try_cast("int") for k in vocab.STATE_NUMBERS}
+    state |= {k: first("_texts", k, '"(.*)"') for k in vocab.STATE_TEXTS}
+    state |= {k: first("_lists", k, r"(\[.*\])") for k in vocab.STATE_LISTS}
+    # a bare number wins over a quoted one
+    state["FloorNum"] = F.coalesce(state["FloorNum"], first("_texts", "FloorNum", r'"(\d+)"?').try_cast("int"))
+    state["RoomLayoutImageUrl"] = F.replace(state["RoomLayoutImageUrl"], F.lit("\\/"), F.lit("/"))
     whole = F.struct(*[v.alias(k) for k, v in state.items()])
-    found = F.greatest(*[v.isNotNull().cast("int") for v in state.values()]) == 1
-    return pages.withColumn("state", F.when(found, whole))
+    return pieces.withColumn("state", F.when(F.col("_has"), whole)).drop("_has", "_numbers", "_texts", "_lists")
+
+
+def _positive(value: Column) -> Column:
+    return F.when(value > 0, value)
 
 
 def state_fields() -> dict[str, Column]:

@@ -104,7 +104,8 @@ def cursor_column(fetched_at: str = "fetched_at", ident: str = "id") -> Column:
     """Cursor text of a row, as encode_cursor writes it for whole seconds."""
     at = F.date_format(fetched_at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     text = F.to_json(F.struct(at.alias("t"), F.col(ident).alias("id")))
-    return F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_")
+    # the last characters, line breaks, have no counterpart and vanish
+    return F.translate(F.base64(F.encode(text, "UTF-8")), "+/\r\n", "-_")
 
 
 def recent(df: DataFrame, at: str, limit: int, *ties: str) -> DataFrame:

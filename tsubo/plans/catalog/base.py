@@ -188,4 +188,5 @@ def with_views(sql: str) -> str:
     if not chosen:
         return sql
     ctes = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in chosen)
-    return f"WITH {ctes}\n{sql}"
+    own = re.match(r"\s*WITH\s", sql)
+    return f"WITH {ctes},\n{sql[own.end():]}" if own else f"WITH {ctes}\n{sql}"

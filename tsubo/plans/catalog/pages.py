@@ -31,10 +31,10 @@ def _(spark, d):
 
 @entry(
     "x1_linked_urls",
-    """SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY min(at)) - 1 AS pos FROM (
-           SELECT page_id, at, regexp_replace(regexp_replace(link, '[?#].*$', ''),
+    """SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY min(place)) - 1 AS pos FROM (
+           SELECT page_id, place, regexp_replace(regexp_replace(link, '[?#].*$', ''),
                                               '^((?:[a-z]+://[^/]*)?/.+)/$', '\\1') AS url FROM (
-               SELECT page_id, unnest(links) AS link, generate_subscripts(links, 1) AS at FROM (
+               SELECT page_id, unnest(links) AS link, generate_subscripts(links, 1) AS place FROM (
                    SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1) AS links
                    FROM pages)))
        GROUP BY page_id, url""",
@@ -82,7 +82,7 @@ def _(spark, d):
         FROM raw_attributes WHERE {HAS_STATE}""",
 )
 def _(spark, d):
-    rows = pages.with_state(fx.detail_pages(spark, d)).filter(F.col("state").isNotNull())
+    rows = pages.with_state(fx.detail_pages(spark, d).filter(pages.has_state(F.col("html"))))
     s = "state."
     return rows.select(
         "page_id",
@@ -114,7 +114,7 @@ def _(spark, d):
         "floor_plan", "building_type", "floor_label",
     ]
     fields = pages.state_fields()
-    rows = pages.with_state(fx.detail_pages(spark, d)).filter(F.col("state").isNotNull())
+    rows = pages.with_state(fx.detail_pages(spark, d).filter(pages.has_state(F.col("html"))))
     return rows.select(
         "page_id",
         *[fields[n].alias(n) for n in names],
@@ -132,10 +132,10 @@ def _(spark, d):
        FROM raw_attributes WHERE order_key % 3 = 1""",
 )
 def _(spark, d):
-    rows = fx.detail_pages(spark, d).withColumn("page_text", text.visible_text(F.col("html")))
+    without_state = fx.detail_pages(spark, d).filter(~pages.has_state(F.col("html")))
+    rows = without_state.withColumn("page_text", text.visible_text(F.col("html")))
     fields = pages.text_fields(F.col("page_text"))
-    without_state = pages.with_state(rows).filter(F.col("state").isNull())
-    return without_state.select(
+    return rows.select(
         "page_id",
         fields["walk_time"].alias("walk_time"),
         fields["building_age"].alias("building_age"),

@@ -60,7 +60,7 @@ def _(spark, d):
     return rows.select("source_property_id", "detail_url", "status", "priority", "attempts")
 
 
-OUTCOMES_SQL = """SELECT user_id AS id, event_id AS seq, ts AS at, event_type <> 'error' AS ok,
+OUTCOMES_SQL = """SELECT user_id AS id, event_id AS seq, ts AS tried, event_type <> 'error' AS ok,
         CASE WHEN event_type <> 'error' THEN '' WHEN event_id % 4 = 0 THEN 'status code 404' WHEN event_id % 4 = 1 THEN 'WAF page'
              ELSE 'timeout' END AS error FROM events"""
 
@@ -91,18 +91,18 @@ def queue_shown(rows):
     )
 
 
-OUTCOMES_RESULT = f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY at, seq) AS n FROM ({OUTCOMES_SQL})),
+OUTCOMES_RESULT = f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tried, seq) AS n FROM ({OUTCOMES_SQL})),
     k AS (SELECT *, CASE WHEN ok THEN 'done' WHEN contains(error, '404') THEN 'permanent_fail'
                  WHEN contains(error, 'WAF') THEN 'blocked' WHEN n >= 5 THEN 'spent' ELSE 'retry' END AS kind FROM o),
-    r AS (SELECT id, max(n) AS n, arg_max(kind, n) AS kind, arg_max(at, n) AS at, arg_max(error, n) AS error,
-                 arg_max(at, n) FILTER (kind IN ('done', 'permanent_fail', 'spent')) AS ended FROM k GROUP BY id)
+    r AS (SELECT id, max(n) AS n, arg_max(kind, n) AS kind, arg_max(tried, n) AS tried, arg_max(error, n) AS error,
+                 arg_max(tried, n) FILTER (kind IN ('done', 'permanent_fail', 'spent')) AS ended FROM k GROUP BY id)
     SELECT id, CASE WHEN kind IN ('done', 'permanent_fail') THEN kind ELSE 'failed' END AS status,
            CAST(n AS INTEGER) AS attempts,
            CASE kind WHEN 'done' THEN '' WHEN 'permanent_fail' THEN '404 Not Found (permanent): ' || error
                 WHEN 'blocked' THEN 'WAF/circuit breaker: ' || error
                 WHEN 'spent' THEN 'Max retries exceeded (' || n || '): ' || error ELSE error END AS last_error,
-           {stamp_sql("CASE WHEN kind = 'blocked' THEN at + INTERVAL 1 HOUR WHEN kind = 'retry' THEN at + to_seconds(list_extract([300, 900, 3600, 14400, 43200], least(n, 5))) END")} AS retry,
-           {stamp_sql('ended')} AS completed, {stamp_sql('at')} AS updated
+           {stamp_sql("CASE WHEN kind = 'blocked' THEN tried + INTERVAL 1 HOUR WHEN kind = 'retry' THEN tried + to_seconds(list_extract([300, 900, 3600, 14400, 43200], least(n, 5))) END")} AS retry,
+           {stamp_sql('ended')} AS completed, {stamp_sql('tried')} AS updated
     FROM r"""
 
 

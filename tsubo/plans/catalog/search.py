@@ -494,7 +494,9 @@ def _(spark, d):
 
 def _near_sql(f: str, w: str) -> str:
     edits = textsearch.allowed_edits(w)
-    near = f"OR (abs(length(t) - {len(w)}) <= {edits} AND levenshtein(t, '{w}') <= {edits})" if edits else ""
+    # levenshtein counts bytes here, so letters outside ASCII become one byte each
+    plain = "regexp_replace(t, '[^a-z0-9]', '#', 'g')"
+    near = f"OR (abs(length(t) - {len(w)}) <= {edits} AND levenshtein({plain}, '{w}') <= {edits})" if edits else ""
     prefix = f"OR starts_with(t, '{w}')" if w == "tionl" else ""
     return f"(len([t FOR t IN {TOKENS[f]} IF t = '{w}' {near} {prefix}]) > 0)"
 

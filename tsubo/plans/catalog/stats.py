@@ -86,9 +86,9 @@ def _(spark, d):
 @entry(
     "a11_id_quality",
     f"""SELECT count(*) AS total, count(*) FILTER (good) AS extracted, count(*) FILTER (NOT good) AS fallback,
-               CAST(0 AS BIGINT) AS missing, {stamp_sql('min(at) FILTER (NOT good)')} AS oldest,
-               {stamp_sql('max(at) FILTER (NOT good)')} AS newest
-        FROM (SELECT order_key % 4 <> 3 AS good, created_at AS at FROM listings)""",
+               CAST(0 AS BIGINT) AS missing, {stamp_sql('min(made) FILTER (NOT good)')} AS oldest,
+               {stamp_sql('max(made) FILTER (NOT good)')} AS newest
+        FROM (SELECT order_key % 4 <> 3 AS good, created_at AS made FROM listings)""",
 )
 def _(spark, d):
     plain = F.concat(F.lit("https://listings.example/other/"), F.col("order_key").cast("string"))

@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # timestamps are instants, also where a file marks them as local
+    "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
     # whole pages travel in Arrow batches, so batches are kept short
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
