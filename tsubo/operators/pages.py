@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,8 +15,9 @@ from tsubo.functions import attributes, text, urls
 
 # ------------------------------------------------------------- page parts ---
 def _tag(html: Column, tag: str, attribute: str, value: str) -> Column:
-    """First start tag that has the attribute with the value."""
-    return F.regexp_extract(html, rf"""(?is)<{tag}\b[^>]*\b{attribute}\s*=\s*["']{value}["'][^>]*>""", 0)
+    """First start tag that has the attribute with the value, or NULL."""
+    pattern = rf"""(?is)<{tag}\b[^>]*\b{attribute}\s*=\s*["']{value}["'][^>]*>"""
+    return F.regexp_substr(html, F.lit(pattern))
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -182,49 +182,55 @@ ACCESS_LINE = r"^(.+?)\s*(?:徒歩|バス|車)"
 ACCESS_RANGE = (1, 120)
 
 
-def access_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, station_name, line_name, walk_minutes, sort_order), one row per
-    access item with a station name. Minutes are 0 for bus and other access."""
+def page_access(html: Column) -> Column:
+    """Array of (station_name, line_name, walk_minutes, sort_order), one per access
+    item with a station name. Minutes are 0 for bus and other access."""
     items = F.regexp_extract_all(
-        "html", F.lit(rf"(?is)<li\b[^>]*\b{vocab.ACCESS_CLASS}\b[^>]*>(.*?)</li\s*>"), 1
+        html, F.lit(rf"(?is)<li\b[^>]*\b{vocab.ACCESS_CLASS}\b[^>]*>(.*?)</li\s*>"), 1
     )
     anchor = rf"(?is)<a\b[^>]*\b{vocab.STATION_CLASS}\b[^>]*>(.*?)</a\s*>"
 
-    def parsed(item: Column) -> Column:
-        names = F.regexp_extract_all(item, F.lit(anchor), 1)
-        name = text.strip(text.visible_text(F.try_element_at(names, F.lit(-1))))
-        return F.struct(name.alias("name"), text.squeeze(text.strip(text.visible_text(item))).alias("line"))
-
-    named = F.filter(F.transform(items, parsed), lambda i: F.coalesce(i["name"], F.lit("")) != "")
-    rows = pages.select("page_id", F.posexplode(named).alias("_pos", "_item"))
-    name, line = F.col("_item.name"), F.col("_item.line")
-    at = F.instr(line, name)
-    # the line without the first occurrence of the name
-    rest = F.when(at == 0, line).otherwise(
-        F.concat(F.left(line, at - 1), F.substr(line, at + F.length(name)))
-    )
-    rest = text.strip(F.regexp_replace(text.strip(rest), "^/", ""))
-    minutes = F.regexp_extract(rest, ACCESS_WALK, 1).try_cast("int")
-    carrier = text.blank_to_null(F.regexp_extract(rest, ACCESS_LINE, 1))
-    return rows.select(
-        "page_id",
-        name.alias("station_name"),
-        F.regexp_replace(F.coalesce(carrier, rest), "^[/ 　]+|[/ 　]+$", "").alias("line_name"),
-        F.coalesce(F.when(minutes.between(*ACCESS_RANGE), minutes), F.lit(0)).alias("walk_minutes"),
-        (F.col("_pos") + 1).alias("sort_order"),
-    )
+    # one transform per step, so that no step repeats the work of an earlier one
+    def read(item: Column) -> Column:
+        name = F.try_element_at(F.regexp_extract_all(item, F.lit(anchor), 1), F.lit(-1))
+        line = text.squeeze(text.strip(text.visible_text(item)))
+        return F.struct(text.strip(text.visible_text(name)).alias("name"), line.alias("line"))
+
+    def without_name(item: Column) -> Column:
+        name, line = item["name"], item["line"]
+        at = F.instr(line, name)
+        rest = F.concat(F.left(line, at - 1), F.substr(line, at + F.length(name)))
+        rest = text.strip(F.when(at == 0, line).otherwise(rest))
+        return F.struct(name.alias("name"), text.strip(F.regexp_replace(rest, "^/", "")).alias("rest"))
+
+    def parts(item: Column, position: Column) -> Column:
+        rest = item["rest"]
+        minutes = F.regexp_extract(rest, ACCESS_WALK, 1).try_cast("int")
+        carrier = text.blank_to_null(F.regexp_extract(rest, ACCESS_LINE, 1))
+        return F.struct(
+            item["name"].alias("station_name"),
+            F.regexp_replace(F.coalesce(carrier, rest), "^[/ 　]+|[/ 　]+$", "").alias("line_name"),
+            F.coalesce(F.when(minutes.between(*ACCESS_RANGE), minutes), F.lit(0)).alias("walk_minutes"),
+            (position + 1).alias("sort_order"),
+        )
+
+    named = F.filter(F.transform(items, read), lambda i: F.coalesce(i["name"], F.lit("")) != "")
+    return F.transform(F.transform(named, without_name), parts)
 
 
-def with_first_station(listings: DataFrame, stations: DataFrame, key: str = "page_id") -> DataFrame:
+def access_rows(pages: DataFrame) -> DataFrame:
+    """(page_id, station_name, line_name, walk_minutes, sort_order)."""
+    return pages.select("page_id", F.inline(page_access(F.col("html"))))
+
+
+def with_first_station(rows: DataFrame, access: str = "access") -> DataFrame:
     """The first station names the listing; its minutes count only when it is walkable."""
-    first = stations.filter("sort_order = 1").select(
-        key, F.col("station_name").alias("_name"), _positive(F.col("walk_minutes")).alias("_minutes")
-    )
-    return (
-        listings.join(first, key, "left")
-        .withColumn("station", F.coalesce("_name", "station"))
-        .withColumn("walk_time", F.coalesce("_minutes", "walk_time"))
-        .drop("_name", "_minutes")
+    first = F.get(access, 0)
+    return rows.withColumns(
+        {
+            "station": F.coalesce(first["station_name"], "station"),
+            "walk_time": F.coalesce(_positive(first["walk_minutes"]), "walk_time"),
+        }
     )
 
 
@@ -240,10 +246,15 @@ def image_signature(url: Column) -> Column:
 
 def distinct_images(found: Column, limit: int = vocab.MAX_IMAGES) -> Column:
     """First URL of each picture, in page order, at most `limit`."""
-    once = F.array_distinct(found)
-    signatures = F.transform(once, image_signature)
-    first = F.filter(once, lambda u, i: F.array_position(signatures, image_signature(u)) == i + 1)
-    return F.slice(first, 1, limit)
+    nothing = F.array().cast("array<struct<signature:string,url:string>>")
+
+    def add(kept: Column, url: Column) -> Column:
+        signature = image_signature(url)
+        known = F.exists(kept, lambda k: k["signature"] == signature)
+        entry = F.struct(signature.alias("signature"), url.alias("url"))
+        return F.when((F.size(kept) >= limit) | known, kept).otherwise(F.concat(kept, F.array(entry)))
+
+    return F.aggregate(F.array_distinct(found), nothing, add, lambda kept: kept["url"])
 
 
 def page_images(html: Column) -> Column:
@@ -252,12 +263,12 @@ def page_images(html: Column) -> Column:
         return F.transform(urls_, lambda u: F.replace(u, F.lit("\\/"), F.lit("/")))
 
     def non_empty(urls_: Column) -> Column:
-        return F.when(F.size(urls_) > 0, urls_)
+        return F.nullif(urls_, F.array().cast("array<string>"))
 
     by_address = F.regexp_extract_all(html, F.lit(vocab.IMAGE_URL_PATTERN), 0)
-    resized = F.regexp_extract(html, r'"ResizedExternalImageUrls"\s*:\s*\[([^\]]+)\]', 1)
+    resized = F.regexp_substr(html, F.lit(r'"ResizedExternalImageUrls"\s*:\s*\[[^\]]+\]'))
     resized = F.regexp_extract_all(resized, F.lit(r'"Url"\s*:\s*"([^"]+)"'), 1)
-    single = text.blank_to_null(F.regexp_extract(html, r'"ExternalImageUrl":"([^"]+)"', 1))
+    single = F.regexp_extract(F.regexp_substr(html, F.lit(r'"ExternalImageUrl":"[^"]+"')), ':"(.*)"$', 1)
     og = _filled(_attribute(_tag(html, "meta", "property", "og:image"), "content"))
     return F.coalesce(
         non_empty(distinct_images(by_address)),
@@ -290,38 +301,47 @@ def category_labels(page_text: Column) -> Column:
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 MAX_LABEL_BYTES = 30
 
+_PIECE = re.compile(
+    r"""<!--.*?-->|<(?P<raw>script|style)\b[^>]*>.*?</(?P=raw)\s*>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*)"""
+    r"""(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|(?P<text>[^<]+|<)""",
+    re.IGNORECASE | re.DOTALL,
+)
+
+
+def _value(attrs: str, name: str) -> str:
+    found = re.search(rf"""(?i)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", attrs)
+    return unescape(found[1] or found[2] or "") if found else ""
 
-class _Outline(HTMLParser):
+
+class _Outline:
     """Elements in document order as flat lists; a subtree is a slice of them."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+    def __init__(self, html: str):
         self.tags, self.attrs, self.parents, self.ends = [], [], [], []
         self.texts, self.starts, self.stops = [], [], []
         self.open: list[int] = []
+        for piece in _PIECE.finditer(html):
+            if piece["text"]:
+                self.texts.append(unescape(piece["text"]))
+            elif piece["tag"] and not piece["end"]:
+                self._start(piece["tag"].lower(), piece["attrs"])
+            elif piece["tag"]:
+                tag = piece["tag"].lower()
+                if any(self.tags[i] == tag for i in self.open):
+                    while self._close() != tag:
+                        pass
+        while self.open:
+            self._close()
 
-    def handle_starttag(self, tag, attrs):
+    def _start(self, tag: str, attrs: str) -> None:
         self.tags.append(tag)
-        self.attrs.append(dict(attrs))
+        self.attrs.append(attrs)
         self.parents.append(self.open[-1] if self.open else None)
         self.starts.append(len(self.texts))
         self.ends.append(None)
         self.stops.append(None)
         self.open.append(len(self.tags) - 1)
-        if tag in _VOID:
-            self._close()
-
-    def handle_endtag(self, tag):
-        if any(self.tags[i] == tag for i in self.open):
-            while self._close() != tag:
-                pass
-
-    def handle_data(self, data):
-        self.texts.append(data)
-
-    def close(self):
-        super().close()
-        while self.open:
+        if tag in _VOID or attrs.endswith("/"):
             self._close()
 
     def _close(self) -> str:
@@ -343,9 +363,7 @@ class _Outline(HTMLParser):
 
 def _section_labels(html: str) -> list[str]:
     """Labels near the amenity heading: icon texts, then short hinting texts."""
-    page = _Outline()
-    page.feed(html)
-    page.close()
+    page = _Outline(html)
     # amount of text before each piece, to skip elements that hold too much
     sizes = [0]
     for piece in page.texts:
@@ -362,8 +380,8 @@ def _section_labels(html: str) -> list[str]:
         if scope is None:
             continue
         for j in page.inner(scope):
-            alt = (page.attrs[j].get("alt") or "").strip() if page.tags[j] == "img" else ""
-            if alt and vocab.AMENITY_DISABLED not in (page.attrs[page.parents[j]].get("class") or ""):
+            alt = _value(page.attrs[j], "alt").strip() if page.tags[j] == "img" else ""
+            if alt and vocab.AMENITY_DISABLED not in _value(page.attrs[page.parents[j]], "class"):
                 labels.setdefault(alt)
         for j in page.inner(scope):
             if page.tags[j] in ("li", "span", "div"):
@@ -373,16 +391,21 @@ def _section_labels(html: str) -> list[str]:
     return list(labels)
 
 
-def section_labels(pages: DataFrame) -> DataFrame:
-    """(page_id, labels) for pages with the amenity heading.
+def page_section_labels(html: Column) -> Column:
+    """Array of labels of the amenity section, NULL on pages without its heading.
 
     The place of an icon in the tree decides, which patterns cannot express, so
-    the pages that name the heading go through Python in Arrow batches.
+    this one goes through Python in Arrow batches. Only pages that name the
+    heading are sent.
     """
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"page_id": batch["page_id"], "labels": batch["html"].map(_section_labels)})
+    @F.pandas_udf("array<string>")
+    def parse(pages: pd.Series) -> pd.Series:
+        return pages.map(_section_labels, na_action="ignore")
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    with_heading = pages.filter(F.col("html").contains(vocab.AMENITY_HEADING)).select("page_id", "html")
-    return with_heading.mapInPandas(parse, f"page_id {kind}, labels array<string>")
+    return parse(F.when(html.contains(vocab.AMENITY_HEADING), html))
+
+
+def section_labels(pages: DataFrame) -> DataFrame:
+    """(page_id, labels) for pages with the amenity heading."""
+    labelled = pages.select("page_id", page_section_labels(F.col("html")).alias("labels"))
+    return labelled.filter(F.col("labels").isNotNull())

@@ -3,13 +3,18 @@ pages were written from, not from a second parser."""
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsubo import schemas, vocab
 from tsubo.functions import text
 from tsubo.operators import pages
 from tsubo.plans import ingest
 from tsubo.plans.catalog.base import entry
 from tsubo.plans.catalog.values import KEYS_OF_CODES, PLAN_SQL, TYPE_SQL, listed
+from tsubo.session import written
 from tsubo.sources import fixtures as fx
 
 CRAWLED = "2001-08-02 00:00:00"
@@ -162,8 +167,10 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = fx.detail_pages(spark, d)
-    listings = rows.select("page_id", F.lit("").alias("station"), F.lit(777).alias("walk_time"))
-    return pages.with_first_station(listings, pages.access_rows(rows))
+    listings = rows.select(
+        "page_id", pages.page_access(F.col("html")).alias("access"), F.lit("").alias("station"), F.lit(777).alias("walk_time")
+    )
+    return pages.with_first_station(listings).drop("access")
 
 
 PICTURE = "'https://realestate-pctr.c.yimg.jp/' || rpad(CAST(order_key AS VARCHAR), 110, 'a')"
@@ -186,8 +193,6 @@ def _(spark, d):
     "SELECT order_key AS page_id, CASE WHEN order_key % 7 <> 0 THEN 2 ELSE 0 END AS n FROM raw_attributes",
 )
 def _(spark, d):
-    from tsubo import vocab
-
     found = F.regexp_extract_all("html", F.lit(vocab.IMAGE_URL_PATTERN), 0)
     return fx.detail_pages(spark, d).select("page_id", F.size(pages.distinct_images(found)).alias("n"))
 
@@ -222,7 +227,7 @@ def _(spark, d):
         FROM raw_attributes""",
 )
 def pages_to_listings(spark, d):
-    rows = ingest.extract(fx.detail_pages(spark, d), fx.SOURCE, CRAWLED).listings
+    rows = ingest.split(ingest.page_rows(fx.detail_pages(spark, d), fx.SOURCE, CRAWLED)).listings
     by_state = F.col("building_name").isNotNull()
     return rows.select(
         "source_property_id",
@@ -232,3 +237,27 @@ def pages_to_listings(spark, d):
         "station",
         (F.size(F.coalesce("facilities", F.array().cast("array<string>"))) > 0).alias("with_facilities"),
     )
+
+
+@entry(
+    "pages_to_stored_tables",
+    """WITH p AS (SELECT *, order_key % 2 = 0 AS known FROM raw_attributes)
+       SELECT 'listings' AS part, CAST(count(*) AS BIGINT) AS n FROM p
+       UNION ALL SELECT 'kept_created', count(*) FILTER (known) FROM p
+       UNION ALL SELECT 'stations', 2 * count(*) FROM p
+       UNION ALL SELECT 'images', count(*) FILTER (order_key % 7 = 0) + 2 * count(*) FILTER (order_key % 7 <> 0) FROM p
+       UNION ALL SELECT 'new_property', count(*) FROM p""",
+)
+def _(spark, d):
+    """Pages merged into a table that already holds every second listing."""
+    rows = written(ingest.page_rows(fx.detail_pages(spark, d), fx.SOURCE, CRAWLED), "page-rows")
+    old = rows.filter(F.col("page_id") % 2 == 0).withColumn("created_at", F.lit("1999-01-01").cast("timestamp"))
+    stored = schemas.conform(ingest.split(old).listings, "properties")
+    nothing = {t: schemas.empty(spark, t) for t in ("property_stations", "property_images", "property_snapshots")}
+    after = ingest.store(ingest.split(rows), stored, *nothing.values(), CRAWLED)
+    kept = after.listings.filter(F.year("created_at") == 1999)
+    new = after.changes.filter("change_type = 'new_property'")
+    parts = {"listings": after.listings, "kept_created": kept, "stations": after.stations, "images": after.images,
+             "new_property": new}
+    counts = [frame.agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name, frame in parts.items()]
+    return functools.reduce(DataFrame.unionByName, counts)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # UTC because snapshot days and trailing windows are defined on UTC instants.
 # The top-k threshold sends very deep offsets to a distributed sort instead of
@@ -59,3 +59,11 @@ def work_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="tsubo-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder: costly rows are made once, and
+    the table outlives the executors that made it."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
