@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -175,29 +176,33 @@ def read_queue(spark: SparkSession, root: str) -> DataFrame:
 
 # ------------------------------------------------------ snapshot change feed
 def write_change_feed(snapshots: DataFrame, root: str, order: list[str]) -> StreamingQuery:
-    """Changes of each arriving snapshot against the listing's previous one.
+    """Changes of each arriving snapshot against the listing's previous day.
 
-    The state is the latest snapshot per listing, one version per micro-batch.
-    Days of a listing must arrive in order.
+    The state is the last two days per listing, one version per micro-batch: a
+    day that goes on in the next micro-batch is compared with the day before it
+    again. Days of a listing must arrive in order.
     """
     columns = [c for c in snapshots.columns if c not in order]
+    day = ["property_id", "snapshot_at"]
 
     def write(batch: DataFrame, number: int) -> None:
         daily = history.one_per_day(batch, order).select(*columns)
         before = batch.sparkSession.read.parquet(_version(root, number - 1)).select(*columns)
-        # a later row of a known day replaces it
-        kept = before.join(daily.select("property_id", "snapshot_at"), ["property_id", "snapshot_at"], "left_anti")
+        kept = before.join(daily.select(*day), day, "left_anti")
         both = kept.withColumn("_fresh", F.lit(False)).unionByName(daily.withColumn("_fresh", F.lit(True)))
-        compared = history.compared_days(both).filter("_fresh")
-        history.change_log(compared).write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
-        newest = latest(both.drop("_fresh"), ["property_id"], ["snapshot_at"])
-        newest.write.mode("overwrite").parquet(_version(root, number))
+        compared = history.compared_days(both).filter("_fresh").select(*day, "changes")
+        compared.write.mode("overwrite").parquet(f"{root}/compared/batch={number}")
+        newest_first = W.partitionBy("property_id").orderBy(F.desc("snapshot_at"))
+        last_two = both.withColumn("_age", F.row_number().over(newest_first)).filter("_age <= 2")
+        last_two.select(*columns).write.mode("overwrite").parquet(_version(root, number))
 
     return _batches(snapshots, root, "append", write)
 
 
 def read_changes(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/changes").drop("batch")
+    """The change log by the last comparison of each listing and day."""
+    compared = spark.read.parquet(f"{root}/compared")
+    return history.change_log(latest(compared, ["property_id", "snapshot_at"], ["batch"]))
 
 
 # --------------------------------------------------------------- duplicates
