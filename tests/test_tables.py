@@ -212,3 +212,46 @@ def test_store_twice_changes_nothing_more(spark, rows):
     assert kept.stations.count() == 1 and kept.images.count() == 1
     emptied = ingest.store(bare, first.listings, first.stations, first.images, empty[3], T1, replace_empty=True)
     assert emptied.stations.count() == 0 and emptied.images.count() == 0
+
+
+def test_outcomes_against_one_by_one(spark):
+    """Random outcome rows, most of them on one item, against a plain loop."""
+    import random
+    from datetime import timedelta
+
+    r = random.Random(5)
+    delays = [300, 900, 3600, 14400, 43200]
+    start = {i: r.randrange(0, 4) for i in range(8)}
+    tried = []
+    for seq in range(160):
+        item = 0 if r.random() < 0.5 else r.randrange(1, 8)
+        error = r.choice(["", "timeout", "timeout", "WAF", "404"])
+        tried.append((item, seq, T0 + timedelta(minutes=r.randrange(4000)), error == "", error))
+    want = {}
+    for i, attempts in start.items():
+        state = ["pending", attempts, "", None, None]
+        for _, _, at, ok, error in sorted((t for t in tried if t[0] == i), key=lambda t: (t[2], t[1])):
+            attempts += 1
+            if ok:
+                state = ["done", attempts, "", None, at]
+            elif error == "404":
+                state = ["permanent_fail", attempts, "404 Not Found (permanent): 404", None, at]
+            elif error == "WAF":
+                state = ["failed", attempts, "WAF/circuit breaker: WAF", at + timedelta(hours=1), state[4]]
+            elif attempts >= 5:
+                state = ["failed", attempts, f"Max retries exceeded ({attempts}): timeout", None, at]
+            else:
+                state = ["failed", attempts, "timeout", at + timedelta(seconds=delays[attempts - 1]), state[4]]
+        want[i] = tuple(state)
+    for parts in (1, 3):
+        # the same outcomes applied in one go or in several in time order
+        ordered = sorted(tried, key=lambda t: (t[2], t[1]))
+        items = spark.createDataFrame([(i, "pending", n, "", None, None, T0) for i, n in start.items()], QUEUE)
+        step = -(-len(ordered) // parts)
+        for at in range(0, len(ordered), step):
+            part = spark.createDataFrame(ordered[at:at + step], "id long, seq long, at timestamp, ok boolean, error string")
+            items = queue.apply_outcomes(items, part, ("at", "seq"))
+        got = {
+            x.id: (x.status, x.attempts, x.last_error, x.next_retry_at, x.completed_at) for x in items.collect()
+        }
+        assert got == want

@@ -60,19 +60,18 @@ def facility_codes_text(text: Column) -> Column:
     return F.when(codes.isNull(), text).when(F.size(keys) == 0, F.lit("")).otherwise(F.to_json(keys))
 
 
-def label_key(label: Column) -> Column:
-    """Exact label first, else the longest known label contained in it."""
-    table = _lookup(vocab.FACILITY_LABELS)
+def _trimmed_label_key(label: Column) -> Column:
     by_length = sorted(vocab.FACILITY_LABELS, key=lambda k: (-len(k), k))
-    label = strip(label)
     partial = _first_contained(label, [(k, vocab.FACILITY_LABELS[k]) for k in by_length], None)
-    return F.coalesce(F.try_element_at(table, label), partial)
+    return F.coalesce(F.try_element_at(_lookup(vocab.FACILITY_LABELS), label), partial)
 
 
 def label_keys(labels: Column) -> Column:
-    """Array of page labels -> sorted distinct keys."""
-    known = F.filter(F.transform(labels, label_key), lambda k: k.isNotNull())
-    return F.array_sort(F.array_distinct(known))
+    """Array of page labels -> sorted distinct keys. An exact label counts first,
+    else the longest known label contained in it."""
+    # trimmed in a step of its own, since every test below reads the label
+    known = F.transform(F.transform(labels, strip), _trimmed_label_key)
+    return F.array_sort(F.array_distinct(F.filter(known, lambda k: k.isNotNull())))
 
 
 def merge_keys(*arrays: Column) -> Column:

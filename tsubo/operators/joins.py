@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,33 +17,47 @@ def text_contains(column: str, text: str, case_free: bool = False) -> Column:
     return F.col(column).contains(text)
 
 
-def having_station(listings: DataFrame, stations: DataFrame, condition: Column) -> DataFrame:
-    """Listings with at least one station that meets the condition.
+def having_stations(listings: DataFrame, stations: DataFrame, *conditions: Column) -> DataFrame:
+    """Listings with, for each condition, some station that meets it.
 
-    The ids are made distinct before the join, so that a listing with very many
-    stations is reduced map-side; the join reuses the partitioning of the
-    distinct step.
+    Different stations may meet different conditions. All conditions are tested
+    in one scan and one aggregation of the stations; its map-side combine
+    reduces a listing with very many stations, and the join reuses its
+    partitioning.
     """
-    ids = stations.filter(condition).select(F.col("property_id").alias("id")).distinct()
-    return listings.join(ids, "id", "left_semi")
+    if not conditions:
+        return listings
+    flags = [f"_met_{i}" for i in range(len(conditions))]
+    met = (
+        stations.select(F.col("property_id").alias("id"), *[c.alias(f) for c, f in zip(conditions, flags)])
+        .filter(functools.reduce(lambda a, b: a | b, [F.col(f) for f in flags]))
+        .groupBy("id")
+        .agg(*[F.bool_or(f).alias(f) for f in flags])
+        .filter(functools.reduce(lambda a, b: a & b, [F.col(f) for f in flags]))
+    )
+    return listings.join(met, "id", "left_semi")
 
 
 def station_named(listings: DataFrame, stations: DataFrame, text: str, case_free: bool = False) -> DataFrame:
-    return having_station(listings, stations, text_contains("station_name", text, case_free))
+    return having_stations(listings, stations, text_contains("station_name", text, case_free))
 
 
 def line_named(listings: DataFrame, stations: DataFrame, text: str, case_free: bool = False) -> DataFrame:
-    return having_station(listings, stations, text_contains("line_name", text, case_free))
+    return having_stations(listings, stations, text_contains("line_name", text, case_free))
 
 
-def any_station_within(listings: DataFrame, stations: DataFrame, minutes: int) -> DataFrame:
+def walk_within(minutes: int) -> Column:
     """0 minutes (bus access) qualifies too; NULL does not."""
-    return having_station(listings, stations, F.col("walk_minutes") <= minutes)
+    return F.col("walk_minutes") <= minutes
+
+
+def any_station_within(listings: DataFrame, stations: DataFrame, minutes: int) -> DataFrame:
+    return having_stations(listings, stations, walk_within(minutes))
 
 
 def known_and_unseen(urls: DataFrame, listings: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Split rows by whether a listing with the same key exists."""
-    known = listings.select(*key).distinct()
+    """Split rows by whether a listing with the same key, unique there, exists."""
+    known = listings.select(*key)
     return urls.join(known, key, "left_semi"), urls.join(known, key, "left_anti")
 
 

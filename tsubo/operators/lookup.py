@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsubo import vocab
+from tsubo.session import fixed_rows
 
 _TABLES = {
     "facility_codes": vocab.FACILITY_CODES,
@@ -16,7 +17,7 @@ _TABLES = {
 
 
 def dimension(spark: SparkSession, table: str) -> DataFrame:
-    return spark.createDataFrame(list(_TABLES[table].items()), "code string, name string")
+    return fixed_rows(spark, list(_TABLES[table].items()), "code string, name string")
 
 
 def named(spark: SparkSession, items: DataFrame, array_column: str, table: str) -> DataFrame:

@@ -100,17 +100,16 @@ def with_state(pages: DataFrame) -> DataFrame:
     """
     html = F.col("html")
     block = F.substr(html, F.locate(vocab.STATE_MARK, html))
+    shapes = {"_numbers": _NUMBERS, "_texts": _TEXTS, "_lists": _LISTS}
     pieces = pages.withColumns(
-        {
-            "_has": has_state(html),
-            "_numbers": F.regexp_extract_all(block, F.lit(_NUMBERS), 0),
-            "_texts": F.regexp_extract_all(block, F.lit(_TEXTS), 0),
-            "_lists": F.regexp_extract_all(block, F.lit(_LISTS), 0),
-        }
+        {"_has": has_state(html), **{n: F.regexp_extract_all(block, F.lit(p), 0) for n, p in shapes.items()}}
+    )
+    pieces = pieces.withColumns(
+        {f"{n}_keys": F.transform(n, lambda p: F.substring_index(F.substring(p, 2, 99), '"', 1)) for n in shapes}
     )
 
     def first(shape: str, key: str, value: str) -> Column:
-        piece = F.get(F.filter(shape, lambda p: p.startswith(f'"{key}"')), 0)
+        piece = F.get(shape, F.array_position(f"{shape}_keys", key).cast("int") - 1)
         return F.regexp_extract(piece, rf'(?s)^"[^"]+"\s*:\s*{value}$', 1)
 
     state = {k: first("_numbers", k, r"(\d+)").try_cast("int") for k in vocab.STATE_NUMBERS}
@@ -120,7 +119,9 @@ def with_state(pages: DataFrame) -> DataFrame:
     state["FloorNum"] = F.coalesce(state["FloorNum"], first("_texts", "FloorNum", r'"(\d+)"?').try_cast("int"))
     state["RoomLayoutImageUrl"] = F.replace(state["RoomLayoutImageUrl"], F.lit("\\/"), F.lit("/"))
     whole = F.struct(*[v.alias(k) for k, v in state.items()])
-    return pieces.withColumn("state", F.when(F.col("_has"), whole)).drop("_has", "_numbers", "_texts", "_lists")
+    return pieces.withColumn("state", F.when(F.col("_has"), whole)).drop(
+        "_has", *shapes, *[f"{n}_keys" for n in shapes]
+    )
 
 
 def _positive(value: Column) -> Column:
@@ -287,13 +288,9 @@ def image_rows(pages: DataFrame) -> DataFrame:
 # --------------------------------------------------------------- amenities --
 def category_labels(page_text: Column) -> Column:
     """Labels of lines that start with an amenity category, split at '/'."""
-    heads = "^(?:" + "|".join(re.escape(c) for c in vocab.FACILITY_CATEGORIES) + ")"
-    lines = F.transform(F.split(page_text, "\r?\n"), text.strip)
-    lists = F.transform(
-        F.filter(lines, lambda line: line.rlike(heads)),
-        lambda line: F.split(F.regexp_replace(line, heads, ""), "/"),
-    )
-    labels = F.transform(F.flatten(lists), text.strip)
+    heads = "|".join(re.escape(c) for c in vocab.FACILITY_CATEGORIES)
+    rests = F.regexp_extract_all(page_text, F.lit(rf"(?Umd)^[^\S\n]*(?:{heads})(.*)$"), 1)
+    labels = F.transform(F.flatten(F.transform(rests, lambda rest: F.split(rest, "/"))), text.strip)
     return F.array_distinct(F.filter(labels, lambda label: label != ""))
 
 

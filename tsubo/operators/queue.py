@@ -72,7 +72,7 @@ def enqueue_unseen(queue: DataFrame, found: DataFrame, listings: DataFrame, as_o
 
     Items in work, finished or lost for good stay as they are.
     """
-    unseen = keyed_urls(found, source).join(listings.select(*KEY).distinct(), KEY, "left_anti")
+    unseen = keyed_urls(found, source).join(listings.select(*KEY), KEY, "left_anti")
     marks = unseen.select(*KEY, F.lit(True).alias("_listed"))
     reset = F.coalesce(F.col("_listed"), F.lit(False)) & (F.col("status") == "failed")
     at = _moment(as_of)
@@ -107,43 +107,51 @@ def apply_outcomes(queue: DataFrame, outcomes: DataFrame, order: tuple[str, ...]
     """State of the queue after outcomes(id, at, ok, error); an item may have many.
 
     Every outcome is one more attempt. The last one decides the state; the last
-    one that ended the item decides completed_at. Both are aggregates, so an
-    item with very many outcomes is combined map-side.
+    one that ended the item decides completed_at. Outcomes are reduced to one
+    row per item, with a map-side combine, before they meet the queue.
     """
     error = F.coalesce("error", F.lit(""))
-    tries = numbered(outcomes, ["id"], list(order), F.date_trunc("hour", "at"), "_try")
-    tries = tries.join(queue.select("id", F.col("attempts").alias("_before")), "id")
-    n = (F.col("_before") + F.col("_try")).cast("int")
     kind = (
         F.when(F.col("ok"), "done")
         .when(_contains_any(error, PERMANENT_WORDS), "permanent_fail")
         .when(_contains_any(error, BLOCK_WORDS), "blocked")
-        .when(n >= vocab.MAX_ATTEMPTS, "spent")
         .otherwise("retry")
     )
-    classed = tries.select("id", "_try", "at", error.alias("error"), n.alias("n"), kind.alias("kind"))
-    ends = F.col("kind").isin("done", "permanent_fail", "spent")
-    result = classed.groupBy("id").agg(
-        F.max_by(F.struct("kind", "n", "at", "error"), "_try").alias("_last"),
-        F.max_by("at", F.when(ends, F.col("_try"))).alias("_ended"),
-    )
+    tries = numbered(outcomes, ["id"], list(order), F.date_trunc("hour", "at"), "_try")
+    tries = tries.withColumns({"_kind": kind, "_error": error})
 
-    kind, at, error = F.col("_last.kind"), F.col("_last.at"), F.col("_last.error")
-    tried = F.col("_last").isNotNull()
+    def last(*of: str) -> Column:
+        which = F.when(F.col("_kind").isin(list(of)), F.col("_try")) if of else F.col("_try")
+        return F.max_by(F.struct("_try", "at", F.col("_kind").alias("kind"), F.col("_error").alias("error")), which)
+
+    result = tries.groupBy("id").agg(
+        last().alias("_last"), last("done", "permanent_fail").alias("_closed"), last("retry").alias("_retry")
+    )
+    joined = queue.join(result, "id", "left")
+
+    # an item is spent by a retryable error from the fifth attempt on; the last
+    # such error has the highest number, so it alone decides
+    before = F.col("attempts")
+    retry_spent = before + F.col("_retry._try") >= vocab.MAX_ATTEMPTS
+    later = F.coalesce(F.col("_retry._try") > F.col("_closed._try"), F.col("_closed").isNull())
+    ended = F.when(retry_spent & later, F.col("_retry.at")).otherwise(F.col("_closed.at"))
+    n = (before + F.col("_last._try")).cast("int")
+    at, error, tried = F.col("_last.at"), F.col("_last.error"), F.col("_last").isNotNull()
+    kind = F.when((F.col("_last.kind") == "retry") & (n >= vocab.MAX_ATTEMPTS), "spent").otherwise(F.col("_last.kind"))
     values = {
         "status": F.when(kind.isin("done", "permanent_fail"), kind).otherwise("failed"),
-        "attempts": F.col("_last.n"),
+        "attempts": n,
         "last_error": F.when(kind == "done", "")
         .when(kind == "permanent_fail", F.concat(F.lit("404 Not Found (permanent): "), error))
         .when(kind == "blocked", F.concat(F.lit("WAF/circuit breaker: "), error))
-        .when(kind == "spent", F.format_string("Max retries exceeded (%d): %s", F.col("_last.n"), error))
+        .when(kind == "spent", F.format_string("Max retries exceeded (%d): %s", n, error))
         .otherwise(error),
         "next_retry_at": F.when(kind == "blocked", plus_seconds(at, vocab.BLOCK_COOLDOWN_SECONDS)).when(
-            kind == "retry", plus_seconds(at, retry_delay_seconds(F.col("_last.n") - 1))
+            kind == "retry", plus_seconds(at, retry_delay_seconds(n - 1))
         ),
-        "completed_at": F.coalesce("_ended", "completed_at"),
+        "completed_at": F.coalesce(ended, F.col("completed_at")),
         "updated_at": at,
     }
-    return queue.join(result, "id", "left").select(
+    return joined.select(
         *[F.when(tried, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in queue.columns]
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsubo import vocab
+from tsubo.session import fixed_rows
 
 
 def _moment(as_of) -> Column:
@@ -19,9 +20,10 @@ def metrics(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 
 def zero_filled(spark: SparkSession, counts: DataFrame, column: str, words: list[str]) -> DataFrame:
-    """Add the missing words of a fixed list with a count of 0."""
-    every = spark.createDataFrame([(w,) for w in words], f"{column} string")
-    return every.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+    """One row per word of a fixed list, 0 where it does not occur. The counts
+    have at most one row per word, hence the broadcast."""
+    every = fixed_rows(spark, [(w,) for w in words], f"{column} string")
+    return every.join(F.broadcast(counts.filter(F.col(column).isin(words))), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def total(df: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def top_stations(listings: DataFrame, limit: int = 20) -> DataFrame:
 def rent_histogram(listings: DataFrame) -> DataFrame:
     """Six half-open bins in one pass; empty bins show 0."""
     spark = listings.sparkSession
-    bins = spark.createDataFrame(vocab.RENT_BINS, "range_label string, min_rent int, max_rent int")
+    bins = fixed_rows(spark, vocab.RENT_BINS, "range_label string, min_rent int, max_rent int")
     low = F.lit(None).cast("int")
     for _, start, end in reversed(vocab.RENT_BINS):
         low = F.when((F.col("rent") >= start) & (F.col("rent") < end), F.lit(start)).otherwise(low)
@@ -63,7 +65,8 @@ def rent_histogram(listings: DataFrame) -> DataFrame:
         .groupBy(low.alias("min_rent"))
         .agg(F.count("*").alias("n"))
     )
-    joined = F.broadcast(bins).join(counts, "min_rent", "left")
+    # one row per bin at most on either side
+    joined = bins.join(F.broadcast(counts), "min_rent", "left")
     return joined.select("range_label", "min_rent", "max_rent", F.coalesce("n", F.lit(0)).alias("n"))
 
 

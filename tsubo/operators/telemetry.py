@@ -167,24 +167,31 @@ def hour_band(
     )
 
 
-def block_state(requests: DataFrame, as_of, cooling_seconds: int = vocab.BLOCK_COOLDOWN_SECONDS) -> DataFrame:
+def block_state(
+    requests: DataFrame, as_of, cooling_seconds: int = vocab.BLOCK_COOLDOWN_SECONDS, chunk: str = "hour"
+) -> DataFrame:
     """State of every key after its log: counters, last times, block and can_run.
 
     A success clears the block and the failure counter, so only what follows the
-    last success counts. Both steps are aggregates with a map-side combine.
+    last success counts, and all of that has failed. With the requests of a key
+    numbered, everything is one aggregate with a map-side combine.
     """
-    moment = F.struct("ts", "id")
-    success = ~F.col("failed")
-    last = requests.groupBy("key").agg(F.max(F.when(success, moment)).alias("_last"))
-    marked = requests.join(last, "key")
-    open_ = F.col("failed") & (F.col("_last").isNull() | (moment > F.col("_last")))
-    blocking = open_ & F.col("status_code").isin(vocab.STREAK_BLOCK_CODES)
-    state = marked.groupBy("key").agg(
-        F.count_if(open_).alias("failure_count"),
-        F.count_if(success).alias("success_count"),
+    ordered = running(
+        requests, ["key"], ["ts", "id"], F.date_trunc(chunk, "ts"), sums={"n": F.lit(1).cast("bigint")}
+    )
+    failed = F.col("failed")
+    blocking = failed & F.col("status_code").isin(vocab.STREAK_BLOCK_CODES)
+    state = ordered.groupBy("key").agg(
+        F.max("n").alias("_n"),
+        F.coalesce(F.max(F.when(~failed, F.col("n"))), F.lit(0)).alias("_last_success"),
+        F.count_if(~failed).alias("success_count"),
         F.max("ts").alias("last_attempt"),
-        F.max(F.when(success, F.col("ts"))).alias("last_success"),
-        F.max(F.when(blocking, F.struct("ts", "id", "status_code"))).alias("_block"),
+        F.max(F.when(~failed, F.col("ts"))).alias("last_success"),
+        F.max(F.when(blocking, F.struct("n", "ts", "status_code"))).alias("_blocking"),
+    )
+    is_open = F.col("_blocking.n") > F.col("_last_success")
+    state = state.withColumns(
+        {"failure_count": F.col("_n") - F.col("_last_success"), "_block": F.when(is_open, F.col("_blocking"))}
     )
     until = plus_seconds(F.col("_block.ts"), cooling_seconds)
     is_blocked = F.col("_block").isNotNull()

@@ -25,10 +25,6 @@ def query_tokens(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if w))
 
 
-def words_of(text: Column) -> Column:
-    return F.split(F.lower(text), _NOT_WORD)
-
-
 def _exact(text: Column, token: str, prefix: bool) -> Column:
     """Whole word or word start. The plain containment test runs first and
     spares most rows the pattern."""
@@ -40,17 +36,15 @@ def allowed_edits(token: str) -> int:
     return next((edits for length, edits in TYPO_LENGTHS if len(token) >= length), 0)
 
 
-def _close(text: Column, token: str, prefix: bool) -> Column:
-    """A word of the text equals the token, starts with it, or is few edits away."""
+def _near(words: str, token: str) -> Column:
+    """Some word of the array is few enough edits away from the token."""
     edits = allowed_edits(token)
-    if not edits:
-        return _exact(text, token, prefix)
 
     def near(word: Column) -> Column:
         fits = F.length(word).between(len(token) - edits, len(token) + edits)
         return fits & (F.levenshtein(word, F.lit(token), edits) >= 0)
 
-    return _exact(text, token, prefix) | F.exists(F.split(text, _NOT_WORD), near)
+    return F.exists(words, near)
 
 
 def scored(
@@ -66,13 +60,19 @@ def scored(
     tokens = query_tokens(query)
     if not tokens:
         return df.withColumns({"score": F.lit(0), "best_rank": F.lit(0)})
-    test = _close if typos else _exact
-    lowered = {f: F.lower(F.coalesce(F.col(f), F.lit(""))) for f in fields}
-    hits = {
-        (f, t): test(text, t, prefix_last and t == tokens[-1]) for f, text in lowered.items() for t in tokens
-    }
-    flags = {f"_hit_{i}_{j}": hits[f, t] for i, f in enumerate(fields) for j, t in enumerate(tokens)}
-    marked = df.withColumns(flags)
+    texts = {f"_text_{i}": F.lower(F.coalesce(F.col(f), F.lit(""))) for i, f in enumerate(fields)}
+    marked = df.withColumns(texts)
+    fuzzy = [t for t in tokens if typos and allowed_edits(t)]
+    if fuzzy:
+        distinct_words = {f"_words_{i}": F.array_distinct(F.split(f"_text_{i}", _NOT_WORD)) for i in range(len(fields))}
+        marked = marked.withColumns(distinct_words)
+
+    def hit(i: int, token: str) -> Column:
+        exact = _exact(F.col(f"_text_{i}"), token, prefix_last and token == tokens[-1])
+        return exact | _near(f"_words_{i}", token) if token in fuzzy else exact
+
+    flags = {f"_hit_{i}_{j}": hit(i, t) for i in range(len(fields)) for j, t in enumerate(tokens)}
+    marked = marked.withColumns(flags).drop(*texts)
 
     def any_of(names: list[str]) -> Column:
         return functools.reduce(lambda a, b: a | b, [F.col(n) for n in names])
@@ -81,7 +81,7 @@ def scored(
     score = functools.reduce(lambda a, b: a + b, found)
     ranks = [F.when(any_of([f"_hit_{i}_{j}" for j in range(len(tokens))]), i + 1) for i in range(len(fields))]
     matched = marked.withColumn("score", score).withColumn("best_rank", F.coalesce(*ranks))
-    return matched.filter(F.col("score") > 0).drop(*flags)
+    return matched.filter(F.col("score") > 0).select(*df.columns, "score", "best_rank")
 
 
 def search(

@@ -65,16 +65,18 @@ class SearchPage(NamedTuple):
 
 
 def by_station(listings: DataFrame, stations: DataFrame | None, o: SearchOptions) -> DataFrame:
-    """Station and line may be met by different stations, so each is its own test."""
+    """Station, line and walk may be met by different stations; all the station
+    tests share one pass over the station table."""
+    conditions = []
     if o.station:
-        listings = joins.station_named(listings, stations, o.station, o.case_free)
+        conditions.append(joins.text_contains("station_name", o.station, o.case_free))
     if o.line:
-        listings = joins.line_named(listings, stations, o.line, o.case_free)
+        conditions.append(joins.text_contains("line_name", o.line, o.case_free))
     if o.by_any_station:
-        listings = joins.any_station_within(listings, stations, o.max_walk)
+        conditions.append(joins.walk_within(o.max_walk))
     elif o.max_walk:
         listings = filters.keep(listings, filters.nearest_walk(o.max_walk))
-    return listings
+    return joins.having_stations(listings, stations, *conditions)
 
 
 def matching(listings: DataFrame, stations: DataFrame | None, o: SearchOptions) -> DataFrame:

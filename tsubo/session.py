@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 # UTC because snapshot days and trailing windows are defined on UTC instants.
@@ -47,6 +50,17 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per Spark context."""
+    context = spark.sparkContext
+    if not getattr(context, "_tsubo_shipped", False):
+        # the driver serves the archive to the executors itself
+        archive = os.path.join(tempfile.mkdtemp(prefix="tsubo-"), "tsubo")
+        package = Path(__file__).resolve().parent
+        context.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))
+        context._tsubo_shipped = True
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the shared folder named by spark.checkpoint.dir.
 
@@ -67,3 +81,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fixed_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as a local relation, whose size the optimizer knows."""
+    names = [column.split()[0] for column in schema.split(",")]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=names), schema)

@@ -308,7 +308,8 @@ def raw_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One detail page per order, two thirds of them with a state block."""
-    rows = raw_texts(spark, folder)
+    # a page costs much more than its order, so orders from few files are spread
+    rows = raw_texts(spark, folder).repartition(spark.sparkContext.defaultParallelism)
     k = F.col("order_key")
     number = k.cast("string")
 
