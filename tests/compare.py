@@ -75,11 +75,13 @@ def main() -> int:
             continue
         start = time.time()
         try:
-            problems = differences(e.run(spark, folder), con.sql(e.sql)) if e.sql else [f"rows {e.run(spark, folder).count()}"]
+            frame = e.run(spark, folder)
+            problems = differences(frame, con.sql(e.sql)) if e.sql else []
+            note = "" if e.sql else f"no SQL, {frame.count()} rows"
         except Exception as error:  # report and go on to the next query
-            problems = [f"{type(error).__name__}: {str(error)[:700]}"]
-        bad += bool(problems and e.sql)
-        print(f"{'ok ' if not problems else 'BAD'} {name} {time.time() - start:.1f}s {problems or ''}", flush=True)
+            problems, note = [f"{type(error).__name__}: {str(error)[:700]}"], ""
+        bad += bool(problems)
+        print(f"{'ok ' if not problems else 'BAD'} {name} {time.time() - start:.1f}s {problems or note}", flush=True)
     print("bad", bad, "of", len(CATALOG))
     return bad
 

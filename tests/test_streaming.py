@@ -1,5 +1,7 @@
 """Streams over several files give what the batch gives."""
 
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,21 @@ def test_progress_over_many_batches(spark, folder, requests, rows):
     assert rows(got.select("id", F.round("recent_rate", 6))) == rows(rate)
 
 
+def test_admission_against_a_loop(spark, folder, requests):
+    root = work_dir(spark, "admission")
+    limits = {"minute": 1, "hour": 2, "day": 6}
+    jobs.finish(jobs.write_admission(jobs.admission(requests, limits), root))
+    got = {r.id: r.admitted for r in jobs.read_rows(spark, root).collect()}
+    want, held = {}, {}
+    for r in sorted(fx.requests(spark, folder).collect(), key=lambda r: (r.key, r.ts, r.id)):
+        times = held.setdefault(r.key, [])
+        spans = [(timedelta(seconds=telemetry.WINDOWS[w]), n) for w, n in limits.items()]
+        want[r.id] = all(sum(t > r.ts - span for t in times) < n for span, n in spans)
+        if want[r.id]:
+            times.append(r.ts)
+    assert got == want and len(set(want.values())) == 2
+
+
 def test_queue_states(spark, folder, in_files, rows):
     start = fresh_queue(fx.queue(spark, folder))
     root = work_dir(spark, "queue")

@@ -113,6 +113,11 @@ def test_second_detection_of_a_day_gives_the_same_changes(spark, rows):
     before = spark.createDataFrame([("p", date(2024, 1, 1), 4, None, "active"), ("p", date(2024, 1, 2), 5, None, "active")], SNAPS)
     found = rows(history.change_log(history.detect_changes(listings, before, "2024-01-02 23:59:59")))
     assert [(r[1], r[2], r[3], r[4]) for r in found] == [(date(2024, 1, 2), "rent_changed", "4", "5")]
+    # two kept days are as good as the whole history
+    older = spark.createDataFrame([("p", date(2023, 1, n), n, None, "active") for n in range(1, 9)], SNAPS)
+    kept = history.last_days(older.union(before))
+    assert kept.count() == 2
+    assert rows(history.change_log(history.detect_changes(listings, kept, "2024-01-02 23:59:59"))) == found
 
 
 QUEUE = "id long, status string, attempts int, last_error string, next_retry_at timestamp, completed_at timestamp, updated_at timestamp"

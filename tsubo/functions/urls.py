@@ -40,11 +40,13 @@ def existence_form(url: Column) -> Column:
     return _readable(url, F.regexp_replace(_bare(url), r"/$", ""))
 
 
+_STEP = r"(?:(?!/detail/)[^?#])"
+_DETAIL = rf"^{_STEP}*/detail/({_STEP}+?)/{{0,2}}(?:[?#].*)?$"
+
+
 def detail_key(url: Column) -> Column:
     """The path part after the only /detail/, of any length; NULL when there is none."""
-    parts = F.split(url, "/detail/")
-    tail = F.regexp_replace(F.substring_index(F.get(parts, 1), "?", 1), r"/$", "")
-    return F.when(F.size(parts) == 2, tail)
+    return F.nullif(F.regexp_extract(url, f"(?s){_DETAIL}", 1), F.lit(""))
 
 
 def source_id(url: Column) -> Column:

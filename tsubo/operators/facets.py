@@ -14,12 +14,3 @@ def facets(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
     texts = df.select(*[F.col(f).cast("string").alias(f) for f in fields])
     long = texts.unpivot([], fields, "field", "value").filter(F.col("value").isNotNull())
     return long.groupBy("field", "value").agg(F.count("*").alias("n"))
-
-
-def facet_map(rows: DataFrame) -> DataFrame:
-    """One map per field, for answers that want {field: {value: count}}.
-
-    Only for facets with few values, such as floor plans.
-    """
-    entries = F.collect_list(F.struct("value", "n"))
-    return rows.groupBy("field").agg(F.map_from_entries(F.sort_array(entries)).alias("values"))

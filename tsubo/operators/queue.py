@@ -62,8 +62,10 @@ def reenqueue(listings: DataFrame, queue: DataFrame, as_of, limit: int = vocab.M
 
 def keyed_urls(found: DataFrame, source: str) -> DataFrame:
     """URLs of a list page with their key; addresses without one are left out."""
-    url = urls.existence_form(F.col("url"))
-    keyed = found.select(F.lit(source).alias("source"), urls.detail_key(url).alias(KEY[1]), url.alias("detail_url"))
+    url = F.col("url")
+    keyed = found.select(
+        F.lit(source).alias("source"), urls.detail_key(url).alias(KEY[1]), urls.existence_form(url).alias("detail_url")
+    )
     return keyed.filter(F.col(KEY[1]).isNotNull()).groupBy(*KEY).agg(F.min("detail_url").alias("detail_url"))
 
 

@@ -42,21 +42,12 @@ def with_children(listings: DataFrame, stations: DataFrame, images: DataFrame) -
     return listings.join(children, listings["id"] == children["property_id"], "left").drop("property_id")
 
 
-def listing_document(
+def listing_with_children(
     listings: DataFrame, stations: DataFrame, images: DataFrame, listing_id: str
 ) -> DataFrame:
-    """The nested answer for one listing; the id filter reaches every scan."""
-    def nested(children: DataFrame, name: str) -> DataFrame:
-        mine = children.filter(F.col("property_id") == listing_id)
-        rest = [c for c in children.columns if c not in ("property_id", "sort_order")]
-        items = F.sort_array(F.collect_list(F.struct("sort_order", *rest)))
-        return mine.groupBy("property_id").agg(items.alias(name)).withColumnRenamed("property_id", "id")
-
-    return (
-        by_id(listings, listing_id)
-        .join(nested(stations, "stations"), "id", "left")
-        .join(nested(images, "images"), "id", "left")
-    )
+    """The same for one listing; the id filter reaches every scan."""
+    stations, images = (c.filter(F.col("property_id") == listing_id) for c in (stations, images))
+    return with_children(by_id(listings, listing_id), stations, images)
 
 
 def listing_frame(listings: DataFrame, *conditions, sort: str = "newest", status: str | None = None) -> DataFrame:

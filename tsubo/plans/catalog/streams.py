@@ -54,6 +54,14 @@ def _(spark, d):
     return rows.select("id", "n", "failures", "streak", F.round("recent_rate", 6).alias("recent_rate"))
 
 
+@entry("w4_admitted_requests")
+def _(spark, d):
+    """Each answer depends on the earlier ones; compared with brute force in the tests."""
+    root = work_dir(spark, "admission")
+    jobs.finish(jobs.write_admission(jobs.admission(_requests(spark, d), {"hour": 2, "day": 6}), root))
+    return jobs.read_rows(spark, root).select("key", "id", "admitted")
+
+
 @entry("r3_queue_states", OUTCOMES_RESULT)
 def _(spark, d):
     root = work_dir(spark, "queue-states")

@@ -7,12 +7,12 @@ executor or a restart gives the same result.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tsubo import vocab
 from tsubo.operators import history, queue
 from tsubo.operators.keyed import latest
+from tsubo.operators.telemetry import WINDOWS
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 16) -> DataFrame:
@@ -145,6 +146,45 @@ def write_progress(progress: DataFrame, root: str) -> StreamingQuery:
     return _append(progress, root)
 
 
+# ------------------------------------------------------- admitted requests
+_ADMISSION = "key bigint, id bigint, admitted boolean"
+
+
+def admission(requests: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Which requests a limiter with these trailing limits would have let through.
+
+    Only admitted requests count against the limits, so every answer depends on
+    the ones before it; this cannot be a window. State per key are the admitted
+    times of the longest window, at most as many as the limit of that window.
+    """
+    spans = sorted((WINDOWS[w] * 1_000_000, n) for w, n in limits.items())
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = deque(state.get[0] if state.exists else [])
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        answers = []
+        for at in rows["ts"].astype("datetime64[us]").astype("int64"):
+            while held and held[0] <= at - spans[-1][0]:
+                held.popleft()
+            # the n-th latest admitted request must have left its window
+            free = all(len(held) < n or (n and held[-n] <= at - span) for span, n in spans)
+            if free:
+                held.append(at)
+            answers.append(free)
+        state.update((list(held),))
+        yield pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy(), "admitted": answers})
+
+    return (
+        requests.select("key", "ts", "id")
+        .groupBy("key")
+        .applyInPandasWithState(decide, _ADMISSION, "held array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    )
+
+
+def write_admission(admitted: DataFrame, root: str) -> StreamingQuery:
+    return _append(admitted, root)
+
+
 # ----------------------------------------------------------------- versions
 def _version(root: str, number: int) -> str:
     return f"{root}/state/version={number}"
@@ -192,9 +232,7 @@ def write_change_feed(snapshots: DataFrame, root: str, order: list[str]) -> Stre
         both = kept.withColumn("_fresh", F.lit(False)).unionByName(daily.withColumn("_fresh", F.lit(True)))
         compared = history.compared_days(both).filter("_fresh").select(*day, "changes")
         compared.write.mode("overwrite").parquet(f"{root}/compared/batch={number}")
-        newest_first = W.partitionBy("property_id").orderBy(F.desc("snapshot_at"))
-        last_two = both.withColumn("_age", F.row_number().over(newest_first)).filter("_age <= 2")
-        last_two.select(*columns).write.mode("overwrite").parquet(_version(root, number))
+        history.last_days(both.select(*columns)).write.mode("overwrite").parquet(_version(root, number))
 
     return _batches(snapshots, root, "append", write)
 
