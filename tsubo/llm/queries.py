@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsubo.llm import mixing, warc
+from tsubo.llm import epsilon, fingerprint, langid, mixing, packing, substrings, urlfilter, warc
 from tsubo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,11 +19,51 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a page's label is that of the document with its id: bad if toxic
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
+    return urlfilter.judged(table(spark, sf_dir, "pages"), labels)
+
+
 @query
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, keep=("doc_id", "held_out"))
+
+
+@query
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # pages carry no time; their id stands in for seconds since the start of the crawl

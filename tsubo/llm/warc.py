@@ -256,7 +256,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return index.select("file").distinct().mapInArrow(read, RECORD)
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.select("file").distinct().repartition(parts).mapInArrow(read, RECORD)
 
 
 def archive_round_trip(captures: DataFrame) -> DataFrame:
