@@ -56,18 +56,19 @@ def budgets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = MO
 
 
 def mix(docs: DataFrame, weight: Column | None = None, seed: int = 17, share: float = 1.0,
-        cycle: tuple[int, ...] = (1, 2, 3), most: int = MOST_REPEATS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken per document.
+        cycle: tuple[int, ...] = (1, 2, 3), most: int = MOST_REPEATS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, times and the columns to carry, per document.
 
-    taken = whole epochs times size, plus size for documents at the head of the key order. The
+    taken = times * size; times = whole epochs, plus 1 for documents at the head of the key order. The
     document at the budget's end is taken if that comes nearer to the target.
     """
-    sized = docs.select("doc_id", "source", "text", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    extra = [F.col(c).alias(f"carry_{c}") for c in carry]
+    sized = docs.select("doc_id", "source", "text", *extra, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
     key = -F.log(uniform(F.col("doc_id"), F.lit(seed))) / (quality_weight() if weight is None else weight)
     rows = stored(sized.select(
         "doc_id", "source", "size", key.alias("key"),
-        F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit(""))).alias("source_key")),
-        "mix-rows")
+        F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit(""))).alias("source_key"),
+        *[f"carry_{c}" for c in carry]), "mix-rows")
     # a place in (0, 1] that rises with the key
     place = 1 - F.exp(-F.col("key") / 2)
     slices = [F.least(F.floor(place * SLICES**(i + 1)), F.lit(SLICES**(i + 1) - 1)) % SLICES for i in range(LEVELS)]
@@ -102,6 +103,7 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = 17, share: fl
     order = W.partitionBy("source_key").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     last = joined.where(inside).withColumn("_before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     last = last.withColumn("again", F.col("_before") + F.col("size") / 2.0 <= F.col("left")).drop("_before")
+    times = (F.col("epochs") + F.col("again").cast("int")).cast("int")
     return plain.unionByName(last).select(
-        "doc_id", "source", "size", "source_size", "target",
-        ((F.col("epochs") + F.col("again").cast("int")) * F.col("size")).cast("bigint").alias("taken"))
+        "doc_id", "source", "size", "source_size", "target", (times * F.col("size")).cast("bigint").alias("taken"),
+        times.alias("times"), *[F.col(f"carry_{c}").alias(c) for c in carry])
