@@ -1,14 +1,17 @@
-"""Removal of repeated word sequences by paths of a de Bruijn graph.
+"""Removal of repeated word sequences by a compacted de Bruijn graph.
 
-Runs of `width` words are the edges of the graph. Only edges that may occur in two documents matter, so
-sparse anchors are counted first: of every `width` consecutive words the short run with the
-smallest hash. Two documents that share an edge share its anchor; edges whose anchor is in one
-document only are left out. The set of shared anchors is a Bloom filter of fixed size: when it
-fills up, more edges pass, and the result stays the same.
+Runs of `width` words are the edges of the graph. Each edge has an anchor, the short run in it with the
+smallest hash, so equal edges have equal anchors. Neighbouring edges of a text with the same anchor
+cannot branch unless the anchor stands in other surroundings elsewhere; they travel as one path.
 
-The remaining edges are aggregated to their first document and place (the source), joined back, and
-checked against the source's second hash. Neighbouring edges whose sources are neighbours too (one
-diagonal, nothing branches off) are compacted to paths, and paths become spans of words to remove.
+1. Anchors that only one document has are left out: their edges do not repeat. The shared ones are a
+   Bloom filter of fixed size; when it fills up, more paths pass, and the result stays the same.
+2. Paths are aggregated to their first document and place (the source) and joined back: a path that an
+   earlier document has too is removed as a whole.
+3. Where an anchor has several different paths (the graph branches), the first copy of each path is
+   split into its edges, and the edges are aggregated and joined in the same way.
+4. Every match is checked against a second hash at its source; matches that continue each other at
+   the same distance from their source are joined to long spans, and spans are cut from the text.
 
 Cases: null and empty texts have no words; a text shorter than `width` keeps all of them. A null id is
 smaller than no id, so its row neither loses words nor is a source. Equal ids are not smaller than
@@ -23,7 +26,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tsubo.llm.common import WordHashes, mix, stored, text_bytes, window_hashes
@@ -31,6 +33,9 @@ from tsubo.llm.common import WordHashes, mix, stored, text_bytes, window_hashes
 WIDTH = 13
 ANCHOR = 7
 FILTER_BITS = 26
+_SHIFT = 22  # the second place of a value in the filter; values have 48 bits
+_LOW = np.uint64((1 << 48) - 1)
+_SALT = np.uint64(0xA24BAED4963EE407)
 
 
 def _anchors(short: np.ndarray, span: int) -> np.ndarray:
@@ -55,7 +60,7 @@ def shared_anchors(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
                 words = text.split()
                 if len(words) >= width:
                     short = window_hashes(hashes(words), anchor)
-                    found.append(np.unique(short[np.unique(_anchors(short, width - anchor + 1))]))
+                    found.append(np.unique(short[np.unique(_anchors(short, width - anchor + 1))] & _LOW))
             values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(values)], names=["anchor"])
 
@@ -67,7 +72,7 @@ def bloom(values: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray
     """A Bloom filter with two bits per value, as uint64 words; 2^bits bits whatever the input."""
     mask = F.lit((1 << bits) - 1)
     places = values.select(F.explode(F.array(
-        F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, bits).bitwiseAND(mask))).alias("p"))
+        F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, _SHIFT).bitwiseAND(mask))).alias("p"))
     words = places.groupBy(F.shiftrightunsigned("p", 6).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
     table = np.zeros(1 << (bits - 6), np.uint64)
@@ -78,84 +83,188 @@ def bloom(values: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray
 
 def in_bloom(table: np.ndarray, hashes: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
     mask, found = np.uint64((1 << bits) - 1), np.ones(len(hashes), bool)
-    for p in (hashes & mask, (hashes >> np.uint64(bits)) & mask):
+    for p in (hashes & mask, (hashes >> np.uint64(_SHIFT)) & mask):
         found &= (table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
     return found
 
 
-def candidate_edges(docs: DataFrame, anchors: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
-    """(edge, check, doc_id, place) of edges whose anchor is shared."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(anchors, "anchor"))  # 8 MB
+class _Paths:
+    """The paths of a text: runs of edges with one anchor place."""
+
+    def __init__(self, words: list[bytes], hashes: WordHashes, width: int, anchor: int):
+        own = hashes(words)
+        short = window_hashes(own, anchor)
+        at = _anchors(short, width - anchor + 1)
+        self.first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        self.edges = np.diff(np.r_[self.first, len(at)])
+        self.anchors = short[at[self.first]] & _LOW
+        self.edge = window_hashes(own, width)
+        self.own = own
+        self.width = width
+
+    def checks(self) -> np.ndarray:
+        return window_hashes(mix(self.own ^ _SALT), self.width)
+
+    def of(self, edge: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Hashes of the paths k: a path is shorter than two edges, so its first and last edge are all of it."""
+        first, n = self.first[k], self.edges[k]
+        return mix(mix(edge[first]) ^ (edge[first + n - 1] + n.astype(np.uint64)))
+
+
+def _batch(columns: list[list[np.ndarray]], names: list[str], kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(c).astype(t) if c else np.empty(0, t)) for c, t in zip(columns, kinds)], names=names)
+
+
+def paths(docs: DataFrame, shared: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
+    """(anchor, path, check, doc_id, place, edges) of paths whose anchor is shared."""
+    filled = docs.sparkSession.sparkContext.broadcast(shared)  # 8 MB
+    names = ["anchor", "path", "check", "doc_id", "place", "edges"]
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = text.split()
+                if len(words) < width:
+                    continue
+                found = _Paths(words, hashes, width, anchor)
+                k = np.flatnonzero(in_bloom(filled.value, found.anchors))
+                if len(k):
+                    row = (found.anchors[k], found.of(found.edge, k), found.of(found.checks(), k) >> np.uint64(33),
+                           np.full(len(k), doc_id, np.int64), found.first[k], found.edges[k])
+                    for column, values in zip(out, row):
+                        column.append(values)
+            yield _batch(out, names, [np.int64, np.int64, np.int32, np.int64, np.int32, np.int32])
+
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), text_bytes("text")).mapInArrow(
+        run, "anchor bigint, path bigint, check int, doc_id bigint, place int, edges int")
+
+
+def _occurrence(path: np.ndarray, doc_id) -> np.ndarray:
+    """A 48-bit key of a path in a document."""
+    with np.errstate(over="ignore"):
+        return mix(path ^ mix(np.asarray(doc_id).astype(np.int64).view(np.uint64))) & _LOW
+
+
+def branching_edges(docs: DataFrame, firsts: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
+    """(path, check, doc_id, place, edges = 1): the single edges of the paths in firsts(path, doc_id)."""
+    def keys(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_occurrence(
+                batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()).view(np.int64))], names=["key"])
+
+    wanted = firsts.select("path", "doc_id").mapInArrow(keys, "key bigint")
+    filled = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "key"))  # 8 MB
+    names = ["path", "check", "doc_id", "place", "edges"]
 
     def run(batches):
         hashes = WordHashes()
-        salt = np.uint64(0xA24BAED4963EE407)
         for batch in batches:
-            edges, checks, ids, places = [], [], [], []
+            out: list[list[np.ndarray]] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = text.split()
                 if len(words) < width:
                     continue
-                own = hashes(words)
-                short = window_hashes(own, anchor)
-                at = _anchors(short, width - anchor + 1)
-                near = np.flatnonzero(in_bloom(shared.value, short[at]))
-                if len(near):
-                    edges.append(window_hashes(own, width)[near])
-                    checks.append(window_hashes(mix(own ^ salt), width)[near])
-                    ids.append(np.full(len(near), doc_id, np.int64))
-                    places.append(near)
-            join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(join(edges, np.uint64).view(np.int64)),
-                pa.array((join(checks, np.uint64) >> np.uint64(33)).astype(np.int32)),
-                pa.array(join(ids, np.int64)), pa.array(join(places, np.int64).astype(np.int32))],
-                names=["edge", "check", "doc_id", "place"])
+                found = _Paths(words, hashes, width, anchor)
+                every = np.arange(len(found.first))
+                k = np.flatnonzero(in_bloom(filled.value, _occurrence(found.of(found.edge, every), np.full(len(every), doc_id))))
+                if len(k):
+                    at = np.concatenate([np.arange(a, a + n) for a, n in zip(found.first[k].tolist(), found.edges[k].tolist())])
+                    row = (found.edge[at], found.checks()[at] >> np.uint64(33), np.full(len(at), doc_id, np.int64), at, np.ones(len(at)))
+                    for column, values in zip(out, row):
+                        column.append(values)
+            yield _batch(out, names, [np.int64, np.int32, np.int64, np.int32, np.int32])
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), text_bytes("text")).mapInArrow(
-        run, "edge bigint, check int, doc_id bigint, place int")
+        run, "path bigint, check int, doc_id bigint, place int, edges int")
 
 
-def repeated_paths(edges: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Spans of words (doc_id, first, last, source, source_first) that an earlier document has too."""
-    sources = edges.groupBy("edge").agg(
-        F.min("doc_id").alias("source"), F.max("doc_id").alias("_last"),
+def sources(rows: DataFrame, *keys: str) -> DataFrame:
+    """The first document of each path, one of its places there, its second hash, and the last document."""
+    return rows.groupBy(*keys, "path").agg(
+        F.min("doc_id").alias("source"), F.max("doc_id").alias("last"),
         F.min_by("place", "doc_id").alias("source_place"), F.min_by("check", "doc_id").alias("source_check"))
-    sources = sources.where("_last > source").drop("_last")
-    found = edges.join(sources, "edge").where("doc_id > source AND check = source_check")
-    # one diagonal = same distance to the source; a run without gaps on it is a path
-    same = ["doc_id", "source", "diagonal"]
-    rows = found.select("doc_id", "place", "source", (F.col("place") - F.col("source_place")).alias("diagonal"))
-    run = F.col("place") - F.row_number().over(W.partitionBy(*same).orderBy("place"))
-    paths = rows.withColumn("_run", run).groupBy(*same, "_run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    return paths.select("doc_id", "first", (F.col("last") + width - 1).alias("last"), "source",
-                        (F.col("first") - F.col("diagonal")).alias("source_first"))
+
+
+def matches(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, place, edges, source, source_place) of paths that an earlier document has too."""
+    repeated = found.where("last > source").select("path", "source", "source_place", "source_check")
+    return rows.select("path", "check", "doc_id", "place", "edges").join(repeated, "path").where(
+        "doc_id > source AND check = source_check").select("doc_id", "place", "edges", "source", "source_place")
+
+
+def spans(found: list[dict], width: int) -> list[tuple[int, int, int, int]]:
+    """(first word, end, source, first word there) of the long repeats of one document: matches that
+    continue each other, in the text and in the source."""
+    out: list[list[int]] = []
+    ends: dict[tuple[int, int], list[int]] = {}
+    for m in sorted(found, key=lambda m: m["place"]):
+        key = (m["source"], m["place"] - m["source_place"])
+        last = ends.get(key)
+        if last is not None and m["place"] <= last[1] - width + 1:
+            last[1] = max(last[1], m["place"] + m["edges"] - 1 + width)
+        else:
+            ends[key] = span = [m["place"], m["place"] + m["edges"] - 1 + width, m["source"], m["source_place"]]
+            out.append(span)
+    return [tuple(x) for x in out]
+
+
+def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
+    """doc_id with its matches, an array of (place, edges, source, source_place)."""
+    rows = stored(paths(docs, bloom(shared_anchors(docs, width, anchor), "anchor"), width, anchor), "repeat-paths")
+    found = stored(sources(rows, "anchor"), "repeat-sources")
+    branching = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    firsts = found.join(branching, "anchor", "left_semi").select("path", F.col("source").alias("doc_id"))
+    edges = stored(branching_edges(docs, firsts, width, anchor), "repeat-edges")
+    every = matches(rows, found).unionByName(matches(edges, sources(edges)))
+    return every.groupBy("doc_id").agg(F.collect_list(F.struct("place", "edges", "source", "source_place")).alias("found"))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text."""
-    edges = stored(candidate_edges(docs, shared_anchors(docs, width, anchor), width, anchor), "repeat-edges")
-    spans = repeated_paths(edges, width).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text.
+
+    Only the texts of documents with repeats are shuffled, to meet their matches.
+    """
+    found = stored(repeats(docs, width, anchor), "repeat-matches")
+    filled = docs.sparkSession.sparkContext.broadcast(bloom(found.select(F.xxhash64("doc_id").alias("key")), "key"))
     kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
                       *([("text", pa.string())] if with_text else [])])
 
-    def run(batches):
+    def cut(doc_id, text: bytes, matches):
+        words = text.split()
+        kept = words
+        if matches:
+            gone = np.zeros(len(words) + 1, np.int32)
+            for first, end, _, _ in spans(matches, width):
+                gone[min(first, len(words))] += 1
+                gone[min(end, len(words))] -= 1
+            kept = [w for w, g in zip(words, np.cumsum(gone)[:-1].tolist()) if not g]
+        joined = b" ".join(kept)
+        return doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode()
+
+    def as_batch(rows):
+        columns = list(zip(*rows))[:len(kind)] if rows else [[] for _ in kind]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+
+    def may_repeat(batch):
+        return in_bloom(filled.value, batch.column("key").to_numpy().view(np.uint64))
+
+    def plain(batches):
         for batch in batches:
-            rows = []
-            for doc_id, text, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = text.split()
-                kept = words
-                if found:
-                    gone = np.zeros(len(words) + 1, np.int32)
-                    for span in found:
-                        gone[min(span["first"], len(words))] += 1
-                        gone[min(span["last"] + 1, len(words))] -= 1
-                    kept = [w for w, g in zip(words, np.cumsum(gone)[:-1].tolist()) if not g]
-                joined = b" ".join(kept)
-                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode()))
-            columns = list(zip(*rows))[:len(kind)] if rows else [[] for _ in kind]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes("text").alias("text")).join(
-        spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", text string" if with_text else ""))
+            some = batch.filter(pa.array(~may_repeat(batch)))
+            yield as_batch([cut(d, t, None) for d, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist())])
+
+    def others(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_repeat(batch))).select(["doc_id", "text"])
+
+    def cut_all(batches):
+        for batch in batches:
+            yield as_batch([cut(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(3)))])
+
+    names = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", text string" if with_text else "")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes("text").alias("text"), F.xxhash64("doc_id").alias("key"))
+    joined = rows.mapInArrow(others, "doc_id bigint, text binary").join(found, "doc_id", "left").select("doc_id", "text", "found")
+    return rows.mapInArrow(plain, names).unionByName(joined.mapInArrow(cut_all, names))
