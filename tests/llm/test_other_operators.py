@@ -84,7 +84,11 @@ def test_url_filter_runs_no_python_and_takes_nothing(spark):
 
 # ------------------------------------------------------------------ vectors
 def brute_force(vectors, least=0.95):
-    x = {i: np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, v in vectors if v is not None and len(v) == 8
+    def unit(v):
+        v = np.array(v, float) / np.abs(np.array(v, float)).max()
+        return v / np.linalg.norm(v)
+
+    x = {i: unit(v) for i, v in vectors if v is not None and len(v) == 8
          and not any(c is None for c in v) and np.isfinite(np.array(v, float)).all() and any(v)}
     links = [(a, b) for a in x for b in x if a < b and x[a] @ x[b] >= least]
     parts = grouped(links, [i for i, _ in vectors])

@@ -45,7 +45,7 @@ def directions(vectors: DataFrame, sample: int = SAMPLE, most: int = DIRECTIONS)
         return 0, np.zeros((0, 0))
     lengths, counts = np.unique([len(r) for r in rows], return_counts=True)
     width = int(lengths[np.argmax(counts)])
-    x = np.stack([r / np.linalg.norm(r) for r in rows if len(r) == width])
+    x = unit_vectors(np.stack([r for r in rows if len(r) == width]))
     x = x - x.mean(axis=0)
     _, axes = np.linalg.eigh(x.T @ x)
     return width, axes[:, ::-1][:, :min(most, width)].copy()

@@ -138,10 +138,11 @@ def _features(text: str, start: int, end: int, near: tuple[bool, bool]) -> list[
         float(plain and len(last) == 4), float(plain and len(first) <= 3), float(parts_ok), float(plain and dots == 3),
         float(len(set(re.findall(r"[^\w]", span)) - {"+", "(", ")", " "}) > 1), float("  " in span),
         float(plain and any(len(g) > 6 for g in groups) and len(groups) > 1), float(near[0]), float(near[1]),
+        float(plain and [len(g) for g in groups[-3:]] == [3, 3, 4] and n <= 13),
     ]
 
 
-N_FEATURES = 26
+N_FEATURES = 27
 
 
 class Segments:
@@ -159,7 +160,7 @@ class Segments:
                 if atoms[j - 1][0].isspace():
                     continue
                 a, b = self.cuts[i], self.cuts[j]
-                near = (a > 0 and text[a - 1].isalnum(), b < len(text) and text[b].isalnum())
+                near = (text[a - 1:a].isalnum(), text[b:b + 1].isalnum() or text[b:b + 1] in (".", "-") and text[b + 1:b + 2].isalnum())
                 row = _features(text, a, b, near)
                 if row is not None:
                     self.where.append((i, j))
@@ -234,13 +235,14 @@ def _other_forms(kind: str, span: str, k: int) -> str:
 
 def training_runs(samples: list[str]) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """(text, gold spans): runs as they are, runs in other formats, and runs that are no personal data."""
-    out = []
-    for k, sample in enumerate(samples):
+    out, seen = [], dict.fromkeys(KINDS, 0)
+    for sample in samples:
         gold = base_spans(sample)
         clean = [g for i, g in enumerate(gold) if i == 0 or g[1] >= gold[i - 1][2]]
         out.append((sample, clean))
         for kind, a, b in clean:
-            form = _other_forms(kind, sample[a:b], k)
+            form = _other_forms(kind, sample[a:b], seen[kind])
+            seen[kind] += 1
             out.append((f"x {form} x", [(kind, 2, 2 + len(form))]))
     numbers = np.random.default_rng(7).integers(0, 10**9, 200)
     for k, x in enumerate(numbers.tolist()):
@@ -252,7 +254,7 @@ def training_runs(samples: list[str]) -> list[tuple[str, list[tuple[str, int, in
     return out
 
 
-def fit(samples: list[str], rounds: int = 60, rate: float = 0.5, penalty: float = 0.01) -> np.ndarray | None:
+def fit(samples: list[str], rounds: int = 120, rate: float = 0.5, penalty: float = 0.001) -> np.ndarray | None:
     """Weights (features x kinds) by gradient ascent on the likelihood of the gold segmentations."""
     if not samples:
         return None

@@ -108,7 +108,7 @@ def write_archives(captures: DataFrame, folder: str, archive_bytes: int = ARCHIV
             for row in batch.to_pylist():
                 if out is None:
                     run = uuid.uuid4().hex
-                    out, at, index = system.open_output_stream(f"{base}/{run}.warc.gz"), 0, []
+                    out, at, index = system.open_output_stream(f"{base}/{run}.warc.gz", compression=None), 0, []
                 data = _record(row)
                 out.write(data)
                 index.append({"run": run, "file": f"{run}.warc.gz", "offset": at, "length": len(data),
@@ -232,7 +232,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name in batch.column("file").to_pylist():
                 rows = []
-                with system.open_input_stream(f"{base}/{name}") as stream:
+                with system.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for offset, content in _members(stream):
                         head, _, rest = content.partition(b"\r\n\r\n")
                         fields = dict(line.partition(b": ")[::2] for line in head.split(b"\r\n")[1:])
