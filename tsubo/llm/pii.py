@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16
-SAMPLE = 3000
+SAMPLE = 800
 LEAST_ODDS = 2.0  # log odds of the best segmentation against none, from which a span is added
 LEAST_DIGITS = 7
 
@@ -254,7 +254,7 @@ def training_runs(samples: list[str]) -> list[tuple[str, list[tuple[str, int, in
     return out
 
 
-def fit(samples: list[str], rounds: int = 120, rate: float = 0.5, penalty: float = 0.001) -> np.ndarray | None:
+def fit(samples: list[str], rounds: int = 80, rate: float = 0.5, penalty: float = 0.001) -> np.ndarray | None:
     """Weights (features x kinds) by gradient ascent on the likelihood of the gold segmentations."""
     if not samples:
         return None
