@@ -7,8 +7,6 @@ from compare import database, differences
 
 from tsubo.plans.catalog import CATALOG
 
-# compared with brute force in test_streaming
-WITHOUT_SQL = {"w4_admitted_requests"}
 SURVEYED = {"S": 10, "P": 10, "J": 10, "A": 17, "W": 10, "O": 7, "U": 4, "F": 26, "X": 11, "M": 17, "T": 5, "R": 5}
 
 
@@ -20,9 +18,6 @@ def con(folder):
 @pytest.mark.parametrize("name", sorted(CATALOG))
 def test_query_equals_sql(name, spark, folder, con):
     query = CATALOG[name]
-    if not query.sql:
-        assert name in WITHOUT_SQL and query.run(spark, folder).count() > 0
-        return
     assert differences(query.run(spark, folder), con.sql(query.sql)) == []
 
 

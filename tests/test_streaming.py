@@ -1,100 +1,72 @@
-"""Streams over several files give what the batch gives."""
+"""Streams give what the batch gives, however a table is cut into files."""
 
-from datetime import timedelta
+import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tsubo.operators import history, queue, telemetry
-from tsubo.plans.catalog.queue import fresh_queue, outcomes
+from tsubo.plans.catalog import CATALOG
 from tsubo.session import work_dir
 from tsubo.sources import fixtures as fx
 from tsubo.streaming import jobs
 
+STREAMS = sorted(name for name in CATALOG if name.startswith(("r1", "r2", "r3", "r4", "r5")))
+TABLES = ("events", "lineitem", "orders", "customer", "nation", "supplier")
+
 
 @pytest.fixture(scope="module")
-def in_files(spark, folder, tmp_path_factory):
-    """Events in eight files by time, read one file per micro-batch."""
-    root = str(tmp_path_factory.mktemp("events"))
-    events = fx.table(spark, folder, "events").orderBy("ts", "event_id").toPandas()
-    step = len(events) // 8 + 1
-    for i in range(8):
-        part = events.iloc[i * step:(i + 1) * step]
-        part.to_parquet(f"{root}/events-{i}.parquet", coerce_timestamps="us", index=False)
-    schema = fx.table(spark, folder, "events").schema
-
-    def stream(files_per_trigger=1):
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(root)
-
-    return stream
-
-
-@pytest.fixture
-def requests(in_files):
-    codes = F.array(F.lit(500), F.lit(429), F.lit(403), F.lit(404))
-    return fx.request_rows(in_files(), F.col("event_type") == "error", codes)
-
-
-def test_window_counts(spark, folder, requests, rows):
-    root = work_dir(spark, "counts")
-    jobs.finish(jobs.write_counts(jobs.window_counts(requests, "1 day", late="2 days"), root))
-    batch = fx.requests(spark, folder).groupBy("key", F.date_trunc("day", "ts").alias("start")).agg(F.count("*").alias("n"))
-    assert rows(jobs.read_counts(spark, root).select("key", "start", "n")) == rows(batch)
-
-
-def test_progress_over_many_batches(spark, folder, requests, rows):
-    root = work_dir(spark, "progress")
-    jobs.finish(jobs.write_progress(jobs.request_progress(requests), root))
-    got = jobs.read_rows(spark, root)
-    batch = telemetry.progress(fx.requests(spark, folder)).select("key", "id", "n", "failures", "streak")
-    assert rows(got.select("key", "id", "n", "failures", "streak")) == rows(batch)
-    rate = telemetry.recent_failure_rate(fx.requests(spark, folder)).select("id", F.round("recent_rate", 6))
-    assert rows(got.select("id", F.round("recent_rate", 6))) == rows(rate)
-
-
-def test_admission_against_a_loop(spark, folder, requests):
-    root = work_dir(spark, "admission")
-    limits = {"minute": 1, "hour": 2, "day": 6}
-    jobs.finish(jobs.write_admission(jobs.admission(requests, limits), root))
-    got = {r.id: r.admitted for r in jobs.read_rows(spark, root).collect()}
-    want, held = {}, {}
-    for r in sorted(fx.requests(spark, folder).collect(), key=lambda r: (r.key, r.ts, r.id)):
-        times = held.setdefault(r.key, [])
-        spans = [(timedelta(seconds=telemetry.WINDOWS[w]), n) for w, n in limits.items()]
-        want[r.id] = all(sum(t > r.ts - span for t in times) < n for span, n in spans)
-        if want[r.id]:
-            times.append(r.ts)
-    assert got == want and len(set(want.values())) == 2
-
-
-def test_queue_states(spark, folder, in_files, rows):
-    start = fresh_queue(fx.queue(spark, folder))
-    root = work_dir(spark, "queue")
-    jobs.write_first_version(start, root)
-    jobs.finish(jobs.write_queue_states(outcomes(in_files(3)), root, ("at", "seq")))
-    batch = queue.apply_outcomes(start, outcomes(fx.table(spark, folder, "events")), ("at", "seq"))
-    assert rows(jobs.read_queue(spark, root).select(*batch.columns)) == rows(batch)
-
-
-def test_change_feed(spark, folder, in_files, rows):
-    def snaps(events):
-        return events.select(
-            F.col("user_id").cast("string").alias("property_id"), F.to_date("ts").alias("snapshot_at"),
-            F.floor(F.col("value") / 10).cast("bigint").alias("rent"), F.col("event_id").alias("seq"),
-        )
-
-    root = work_dir(spark, "feed")
-    jobs.write_first_version(spark.createDataFrame([], "property_id string, snapshot_at date, rent bigint"), root)
-    jobs.finish(jobs.write_change_feed(snaps(in_files(4)), root, ["seq"]))
-    daily = history.one_per_day(snaps(fx.table(spark, folder, "events")), ["seq"]).drop("seq")
-    batch = history.change_log(history.compared_days(daily))
-    assert rows(jobs.read_changes(spark, root)) == rows(batch)
-
-
-def test_repeats_are_dropped_across_files(spark, folder, requests, rows):
-    root = work_dir(spark, "distinct")
-    jobs.finish(jobs.write_distinct(requests.union(requests), root, ["id"], late="40 days"))
-    assert rows(jobs.read_rows(spark, root).select("id")) == rows(fx.requests(spark, folder).select("id"))
+def cut(folder, tmp_path_factory):
+    """The tables as folders: by Spark's file names, and as 40 files of shuffled rows."""
+    roots = {kind: tmp_path_factory.mktemp(kind) for kind in ("spark", "shuffled")}
+    for name in TABLES:
+        table = pq.read_table(f"{folder}/{name}.parquet")
+        order = list(range(len(table)))
+        random.Random(7).shuffle(order)
+        for kind, rows, n in (("spark", table, 3), ("shuffled", table.take(order), 40 if name in ("events", "lineitem") else 1)):
+            (roots[kind] / f"{name}.parquet").mkdir()
+            step = -(-len(rows) // n)
+            for i in range(n):
+                pq.write_table(rows.slice(i * step, step), roots[kind] / f"{name}.parquet" / f"part-{i:05d}-c000.snappy.parquet")
+    return {k: str(v) for k, v in roots.items()}
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_registered_streams_do_not_depend_on_files(spark, folder, cut, rows, name):
+    run = CATALOG[name].run
+    whole = rows(run(spark, folder))
+    assert whole
+    assert rows(run(spark, cut["spark"])) == whole
+    assert rows(run(spark, cut["shuffled"])) == whole
+
+
+def test_a_late_row_corrects_an_earlier_result(spark, tmp_path, rows):
+    """Two files; the later file holds the earlier event."""
+    kind = "key bigint, ts timestamp, id bigint, failed boolean, status_code int"
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    root = work_dir(spark, "late")
+    data = [(1, "2024-01-02 10:00:00", 2, True, 500), (1, "2024-01-01 10:00:00", 1, True, 500)]
+    found = []
+    for row in data:
+        frame = spark.createDataFrame([row], "key bigint, ts string, id bigint, failed boolean, status_code int").withColumn("ts", F.to_timestamp("ts"))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path))
+        jobs.finish(jobs.write_progress(stream, root))
+        found.append(rows(jobs.read_progress(spark, root).select("id", "n", "streak")))
+    assert found == [[(2, 1, 1)], [(1, 1, 1), (2, 2, 2)]]
+
+
+def test_a_watermark_is_named_by_the_caller(spark, folder):
+    requests = fx.request_rows(jobs.file_stream(spark, folder, "events"), F.col("event_type") == "error", F.array(F.lit(500)))
+    plan = jobs.window_counts(requests, "1 hour")._jdf.queryExecution().logical().toString()
+    assert "Watermark" not in plan
+    assert "Watermark" in jobs.window_counts(requests, "1 hour", late="1 day")._jdf.queryExecution().logical().toString()
+
+
+def test_an_empty_stream_can_be_read(spark, tmp_path):
+    stream = spark.readStream.schema("key bigint, ts timestamp, id bigint, failed boolean, status_code int").parquet(str(tmp_path))
+    root = work_dir(spark, "empty")
+    jobs.finish(jobs.write_progress(stream, root))
+    assert jobs.read_progress(spark, root).collect() == []
 
 
 def test_work_dir_needs_a_shared_folder(spark):

@@ -49,26 +49,16 @@ def _(spark, d):
 )
 def _(spark, d):
     root = work_dir(spark, "progress")
-    jobs.finish(jobs.write_progress(jobs.request_progress(_requests(spark, d)), root))
-    rows = jobs.read_rows(spark, root)
+    jobs.finish(jobs.write_progress(_requests(spark, d), root))
+    rows = jobs.read_progress(spark, root)
     return rows.select("id", "n", "failures", "streak", F.round("recent_rate", 6).alias("recent_rate"))
 
 
-@entry("w4_admitted_requests")
-def _(spark, d):
-    """Each answer depends on the earlier ones; compared with brute force in the tests."""
-    root = work_dir(spark, "admission")
-    jobs.finish(jobs.write_admission(jobs.admission(_requests(spark, d), {"hour": 2, "day": 6}), root))
-    return jobs.read_rows(spark, root).select("key", "id", "admitted")
-
-
 @entry("r3_queue_states", OUTCOMES_RESULT)
 def _(spark, d):
     root = work_dir(spark, "queue-states")
-    jobs.write_first_version(fresh_queue(fx.queue(spark, d)), root)
-    tried = outcomes(jobs.file_stream(spark, d, "events"))
-    jobs.finish(jobs.write_queue_states(tried, root, ("at", "seq")))
-    return queue_shown(jobs.read_queue(spark, root))
+    jobs.finish(jobs.write_outcomes(outcomes(jobs.file_stream(spark, d, "events")), root))
+    return queue_shown(jobs.read_queue(fresh_queue(fx.queue(spark, d)), root, ("at", "seq")))
 
 
 @entry(
@@ -91,10 +81,9 @@ def _(spark, d):
         F.col("l_partkey").cast("string").alias("property_id"), F.to_date("l_shipdate").alias("snapshot_at"),
         rent.alias("rent"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_extendedprice",
     )
-    nothing = spark.createDataFrame([], "property_id string, snapshot_at date, rent bigint")
-    jobs.write_first_version(nothing, root)
-    jobs.finish(jobs.write_change_feed(raw, root, ["line", "l_extendedprice"]))
-    rows = jobs.read_changes(spark, root)
+    order = ["line", "l_extendedprice"]
+    jobs.finish(jobs.write_snapshots(raw, root, order))
+    rows = jobs.read_changes(spark, root, order)
     return rows.select("property_id", F.col("snapshot_at").cast("string").alias("day"), "change_type", "new_value")
 
 
@@ -102,5 +91,5 @@ def _(spark, d):
 def _(spark, d):
     root = work_dir(spark, "distinct")
     twice = _requests(spark, d).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    jobs.finish(jobs.write_distinct(twice, root, ["id"], late="40 days"))
+    jobs.finish(jobs.write_distinct(twice, root, ["id"]))
     return jobs.read_rows(spark, root).select("id", "status_code")

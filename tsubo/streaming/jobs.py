@@ -1,38 +1,27 @@
 """Structured Streaming jobs over request, outcome and snapshot streams.
 
-Each job writes Parquet below a folder that all executors share. Batches are
-written under their number and overwritten when a batch is replayed, so a lost
-executor or a restart gives the same result.
+A job turns each micro-batch into partial rows and writes them under the batch's number, below a
+folder that all executors share; a replayed batch overwrites its own rows. Results are made from all
+partial rows when they are read, in the order of the events. So they do not depend on how
+a table is cut into files or in which order those arrive: a late row corrects the result. A
+micro-batch writes only what arrived with it, never a whole table.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tsubo import vocab
-from tsubo.operators import history, queue
+from tsubo.operators import history, queue, telemetry
 from tsubo.operators.keyed import latest
-from tsubo.operators.telemetry import WINDOWS
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 16) -> DataFrame:
-    """A Parquet table as a stream; the trigger size bounds a micro-batch."""
+    """A Parquet table, one file or a folder of files, as a stream; the trigger size bounds a micro-batch."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}*.parquet")
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+    # a pattern, because a plain path must be a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{{{name}}}.parquet")
 
 
 def finish(started: StreamingQuery) -> None:
@@ -40,7 +29,15 @@ def finish(started: StreamingQuery) -> None:
     started.awaitTermination()
 
 
-def _batches(stream: DataFrame, root: str, mode: str, write) -> StreamingQuery:
+def _write_batches(stream: DataFrame, root: str, mode: str = "append", reduce=None) -> StreamingQuery:
+    """Rows of each micro-batch, reduced if asked for, under its number."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        (reduce(batch) if reduce else batch).write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+
+    # an empty first batch, so that a stream without rows can be read
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{root}/rows/batch=-1")
     return (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{root}/checkpoint")
@@ -50,23 +47,21 @@ def _batches(stream: DataFrame, root: str, mode: str, write) -> StreamingQuery:
     )
 
 
-def _append(stream: DataFrame, root: str) -> StreamingQuery:
-    return (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .option("path", f"{root}/rows")
-        .trigger(availableNow=True)
-        .start()
-    )
+def read_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of all micro-batches."""
+    return spark.read.parquet(f"{root}/rows").drop("batch")
 
 
 # ------------------------------------------------------- requests per window
-def window_counts(requests: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Requests per key and window; with slide the windows overlap (trailing)."""
+def window_counts(requests: DataFrame, size: str, slide: str | None = None, late: str | None = None) -> DataFrame:
+    """Requests per key and window; with slide the windows overlap (trailing).
+
+    Without `late` no row is ever too late, and the state keeps all windows: right for a replay.
+    A live stream names how late a row may be; later rows are then left out.
+    """
     span = F.window("ts", size, slide) if slide else F.window("ts", size)
     return (
-        requests.withWatermark("ts", late)
+        (requests.withWatermark("ts", late) if late else requests)
         .groupBy("key", span.alias("span"))
         .agg(F.count("*").alias("n"), F.count_if("failed").alias("failed"))
         .select("key", F.col("span.start").alias("start"), F.col("span.end").alias("end"), "n", "failed")
@@ -75,10 +70,7 @@ def window_counts(requests: DataFrame, size: str, slide: str | None = None, late
 
 def write_counts(counts: DataFrame, root: str) -> StreamingQuery:
     """Keep every update of a window, numbered by batch."""
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
-
-    return _batches(counts, root, "update", write)
+    return _write_batches(counts, root, "update")
 
 
 def read_counts(spark: SparkSession, root: str) -> DataFrame:
@@ -88,166 +80,45 @@ def read_counts(spark: SparkSession, root: str) -> DataFrame:
 
 
 # ------------------------------------------------------- streak and last 20
-_PROGRESS = "key bigint, id bigint, n bigint, failures bigint, streak bigint, recent_rate double"
-_PROGRESS_STATE = "n bigint, failures bigint, streak bigint, recent bigint"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Continue the counters of a key. `recent` holds the outcomes before this
-    batch as bits, the newest lowest."""
-    n0, failures0, streak0, recent = state.get if state.exists else (0, 0, 0, 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-    failed = rows["failed"].to_numpy(dtype=np.int64)
-    at = np.arange(1, len(failed) + 1)
-
-    last_success = np.maximum.accumulate(np.where(failed == 0, at, 0))
-    streak = np.where(last_success > 0, at - last_success, at + streak0)
-
-    keep = vocab.FAILURE_WINDOW - 1
-    known = min(n0, keep)
-    before = np.array([(recent >> i) & 1 for i in reversed(range(known))], dtype=np.int64)
-    sums = np.concatenate([[0], np.cumsum(np.concatenate([before, failed]))])
-    ends = known + at
-    starts = np.maximum(ends - vocab.FAILURE_WINDOW, 0)
-    rate = (sums[ends] - sums[starts]) / (ends - starts)
-
-    tail = np.concatenate([before, failed])[-keep:]
-    bits = 0
-    for outcome in tail:
-        bits = (bits << 1) | int(outcome)
-    state.update((n0 + len(failed), failures0 + int(failed.sum()), int(streak[-1]), bits))
-    yield pd.DataFrame(
-        {
-            "key": key[0],
-            "id": rows["id"].to_numpy(),
-            "n": n0 + at,
-            "failures": failures0 + np.cumsum(failed),
-            "streak": streak,
-            "recent_rate": rate,
-        }
-    )
-
-
-def request_progress(requests: DataFrame) -> DataFrame:
-    """Streak and recent failure rate of every request as it arrives.
-
-    Rows of a key are ordered by time inside a micro-batch; micro-batches must
-    arrive in order. State per key is four numbers. The rows of a key in one
-    micro-batch sit in one task, so the trigger size is what bounds a task.
-    """
-    return (
-        requests.select("key", "ts", "id", "failed")
-        .groupBy("key")
-        .applyInPandasWithState(_advance, _PROGRESS, _PROGRESS_STATE, "append", GroupStateTimeout.NoTimeout)
-    )
-
+def write_progress(requests: DataFrame, root: str) -> StreamingQuery:
+    return _write_batches(requests, root)
 
-def write_progress(progress: DataFrame, root: str) -> StreamingQuery:
-    return _append(progress, root)
 
+def read_progress(spark: SparkSession, root: str) -> DataFrame:
+    """Counters, streak and recent failure rate of every request that has arrived.
 
-# ------------------------------------------------------- admitted requests
-_ADMISSION = "key bigint, id bigint, admitted boolean"
-
-
-def admission(requests: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """Which requests a limiter with these trailing limits would have let through.
-
-    Only admitted requests count against the limits, so every answer depends on
-    the ones before it; this cannot be a window. State per key are the admitted
-    times of the longest window, at most as many as the limit of that window.
+    The work is split by key and time, so a key with very many requests is no single task.
     """
-    spans = sorted((WINDOWS[w] * 1_000_000, n) for w, n in limits.items())
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        answers = []
-        for at in rows["ts"].astype("datetime64[us]").astype("int64"):
-            while held and held[0] <= at - spans[-1][0]:
-                held.popleft()
-            # the n-th latest admitted request must have left its window
-            free = all(len(held) < n or (n and held[-n] <= at - span) for span, n in spans)
-            if free:
-                held.append(at)
-            answers.append(free)
-        state.update((list(held),))
-        yield pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy(), "admitted": answers})
-
-    return (
-        requests.select("key", "ts", "id")
-        .groupBy("key")
-        .applyInPandasWithState(decide, _ADMISSION, "held array<bigint>", "append", GroupStateTimeout.NoTimeout)
-    )
-
-
-def write_admission(admitted: DataFrame, root: str) -> StreamingQuery:
-    return _append(admitted, root)
-
-
-# ----------------------------------------------------------------- versions
-def _version(root: str, number: int) -> str:
-    return f"{root}/state/version={number}"
-
-
-def write_first_version(df: DataFrame, root: str) -> None:
-    df.write.mode("overwrite").parquet(_version(root, -1))
-
-
-def _newest(spark: SparkSession, root: str) -> DataFrame:
-    """The state of the highest version written."""
-    number = spark.read.parquet(f"{root}/state").agg(F.max("version")).first()[0]
-    return spark.read.parquet(_version(root, number))
+    arrived = read_rows(spark, root)
+    rates = telemetry.recent_failure_rate(arrived).select("key", "id", "recent_rate")
+    return telemetry.progress(arrived).select("key", "id", "n", "failures", "streak").join(rates, ["key", "id"])
 
 
 # -------------------------------------------------------------- queue state
-def write_queue_states(outcomes: DataFrame, root: str, order: tuple[str, ...] = ("at",)) -> StreamingQuery:
-    """Fold outcome events into the queue, one version of it per micro-batch."""
-    def write(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.parquet(_version(root, number - 1))
-        queue.apply_outcomes(before, batch, order).write.mode("overwrite").parquet(_version(root, number))
+def write_outcomes(outcomes: DataFrame, root: str) -> StreamingQuery:
+    return _write_batches(outcomes, root)
 
-    return _batches(outcomes, root, "append", write)
 
-
-def read_queue(spark: SparkSession, root: str) -> DataFrame:
-    return _newest(spark, root)
+def read_queue(start: DataFrame, root: str, order: tuple[str, ...] = ("at",)) -> DataFrame:
+    """The queue after all outcomes that have arrived, folded in the order of their time."""
+    return queue.apply_outcomes(start, read_rows(start.sparkSession, root), order)
 
 
 # ------------------------------------------------------ snapshot change feed
-def write_change_feed(snapshots: DataFrame, root: str, order: list[str]) -> StreamingQuery:
-    """Changes of each arriving snapshot against the listing's previous day.
-
-    The state is the last two days per listing, one version per micro-batch: a
-    day that goes on in the next micro-batch is compared with the day before it
-    again. Days of a listing must arrive in order.
-    """
-    columns = [c for c in snapshots.columns if c not in order]
-    day = ["property_id", "snapshot_at"]
-
-    def write(batch: DataFrame, number: int) -> None:
-        daily = history.one_per_day(batch, order).select(*columns)
-        before = batch.sparkSession.read.parquet(_version(root, number - 1)).select(*columns)
-        kept = before.join(daily.select(*day), day, "left_anti")
-        both = kept.withColumn("_fresh", F.lit(False)).unionByName(daily.withColumn("_fresh", F.lit(True)))
-        compared = history.compared_days(both).filter("_fresh").select(*day, "changes")
-        compared.write.mode("overwrite").parquet(f"{root}/compared/batch={number}")
-        history.last_days(both.select(*columns)).write.mode("overwrite").parquet(_version(root, number))
-
-    return _batches(snapshots, root, "append", write)
+def write_snapshots(snapshots: DataFrame, root: str, order: list[str]) -> StreamingQuery:
+    """One row per listing and day of each micro-batch, with its order columns."""
+    return _write_batches(snapshots, root, reduce=lambda batch: history.one_per_day(batch, order))
 
 
-def read_changes(spark: SparkSession, root: str) -> DataFrame:
-    """The change log by the last comparison of each listing and day."""
-    compared = spark.read.parquet(f"{root}/compared")
-    return history.change_log(latest(compared, ["property_id", "snapshot_at"], ["batch"]))
+def read_changes(spark: SparkSession, root: str, order: list[str]) -> DataFrame:
+    """The change log of all days that have arrived; the last row of a day counts, whatever batch it came with."""
+    daily = history.one_per_day(read_rows(spark, root), order).drop(*order)
+    return history.change_log(history.compared_days(daily))
 
 
 # --------------------------------------------------------------- duplicates
-def write_distinct(requests: DataFrame, root: str, key: list[str], late: str = "1 hour") -> StreamingQuery:
-    """Drop repeats of a key that arrive within the watermark."""
-    return _append(requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(key), root)
-
-
-def read_rows(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/rows")
+def write_distinct(requests: DataFrame, root: str, key: list[str], late: str | None = None) -> StreamingQuery:
+    """Drop repeats of a key. Without `late` the state keeps every key; with it, repeats are only
+    known within that time."""
+    once = requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(key) if late else requests.dropDuplicates(key)
+    return _write_batches(once, root)
