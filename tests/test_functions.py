@@ -114,8 +114,9 @@ def test_values_from_text(function, cases, apply):
 
 def test_address(apply):
     long = "東京都" + "あ" * 60
-    cases = {"住所 東京都新宿区1-2 \n次": "東京都新宿区1-2", long: long[:50], "北海道札幌市": None}
+    cases = {"住所 東京都新宿区1-2 \n次": "東京都新宿区1-2", long: long, "北海道札幌市": None}
     assert apply(text.address, list(cases)) == list(cases.values())
+    assert apply(lambda c: text.address(c, 50), [long]) == [long[:50]]
 
 
 def test_escapes_and_space(apply):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tsubo import vocab
 from tsubo.functions import text
 from tsubo.operators import pages
 from tsubo.plans import ingest
@@ -85,7 +86,11 @@ def test_images(spark):
     def images(text_):
         return one(page(spark, text_), pages.page_images(F.col("html")))
 
-    assert images(html) == [same[0], *others[:19]]
+    assert images(html) == [*same, *others]
+    found = F.regexp_extract_all(F.lit(html), F.lit(vocab.IMAGE_URL_PATTERN), 0)
+    assert one(page(spark, html), pages.distinct_images(found, by_signature=True)) == [same[0], *others]
+    assert one(page(spark, html), pages.distinct_images(found, 20, by_signature=True)) == [same[0], *others[:19]]
+    assert one(page(spark, html), pages.distinct_images(found, 3)) == [*same, others[0]]
     fallback = '"ResizedExternalImageUrls":[{"Url":"https:\\/\\/i.example\\/1"},{"Url":"https:\\/\\/i.example\\/1"}]'
     assert images(fallback) == ["https://i.example/1"]
     assert images('"ExternalImageUrl":"https:\\/\\/i.example\\/2"') == ["https://i.example/2"]
@@ -99,7 +104,9 @@ def test_section_labels(spark):
         <ul><li>2階以上</li><li>南向き</li><li>とても長い説明文なので設備の名前ではない可</li></ul></div></div>
         <div><img alt="外"></div>"""
     got = pages.section_labels(page(spark, html)).first().labels
-    assert got == ["オートロック", "2階以上"]
+    assert got == ["オートロック", "2階以上", "とても長い説明文なので設備の名前ではない可"]
+    short = page(spark, html).select(pages.page_section_labels(F.col("html"), 30).alias("labels")).first().labels
+    assert short == ["オートロック", "2階以上"]
     assert pages.section_labels(page(spark, "<p>x</p>")).count() == 0
     # no sibling after the heading: the parent's next sibling is the scope
     html = "<section><h2>人気の特徴・設備</h2></section><div><img alt='床暖房'></div>"

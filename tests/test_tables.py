@@ -1,12 +1,14 @@
 """Merges, diffs, history, queue and retention on inline rows."""
 
+import json
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tsubo import schemas, vocab
-from tsubo.operators import diff, history, queue, retention, upsert
+from tsubo.functions import text
+from tsubo.operators import diff, history, pages, paging, queue, retention, upsert
 from tsubo.plans import ingest
 from tsubo.sources import files
 from tsubo.sources import fixtures as fx
@@ -30,16 +32,16 @@ def incoming(spark):
 
 
 def test_upsert_keeps_ids_and_maybe_status(current, incoming, rows):
-    kept = {r.detail_url: r for r in upsert.upsert(current, incoming, ["detail_url"], keep_status=True).collect()}
+    kept = {r.detail_url: r for r in upsert.upsert(current, incoming, ["detail_url"], ["created_at"], keep_status=True).collect()}
     assert (kept["u2"].id, kept["u2"].rent, kept["u2"].status, kept["u2"].removed_at) == ("b", 20, "removed", T0)
-    revived = {r.detail_url: r for r in upsert.upsert(current, incoming, ["detail_url"]).collect()}
+    revived = {r.detail_url: r for r in upsert.upsert(current, incoming, ["detail_url"], ["created_at"]).collect()}
     assert (revived["u2"].status, revived["u2"].removed_at, revived["u2"].created_at) == ("active", None, T0)
     assert len(revived["http://h/n/"].id) == 32 and revived["u1"].rent == 1
 
 
 def test_upsert_is_idempotent(current, incoming, rows):
-    once = upsert.upsert(current, incoming, ["detail_url"])
-    assert rows(upsert.upsert(once, incoming, ["detail_url"])) == rows(once)
+    once = upsert.upsert(current, incoming, ["detail_url"], ["created_at"])
+    assert rows(upsert.upsert(once, incoming, ["detail_url"], ["created_at"])) == rows(once)
 
 
 def test_upsert_takes_the_last_of_a_batch(current, spark):
@@ -60,12 +62,12 @@ def test_children(spark, rows):
 
 def test_diff_partitions_the_ids(spark, folder):
     current, crawl = fx.listings(spark, folder), fx.crawl(spark, folder)
-    kinds = diff.crawl_diff(current, crawl, compared=["rent"])
+    kinds = diff.crawl_diff(current, crawl, ["fetched_at"], compared=["rent"])
     counts = {r.kind: r["count"] for r in kinds.groupBy("kind").count().collect()}
     active = current.filter("status = 'active'").select("id")
     union = active.union(crawl.select("id")).distinct().count()
     assert sum(counts.values()) == union == kinds.select("id").distinct().count()
-    partial = diff.crawl_diff(current, crawl, complete=False, compared=["rent"])
+    partial = diff.crawl_diff(current, crawl, ["fetched_at"], complete=False, compared=["rent"])
     assert partial.filter("kind = 'removed'").count() == 0
     assert partial.count() == union - counts["removed"]
 
@@ -167,7 +169,7 @@ def test_retention(spark):
     assert [(r.property_id, r.reason) for r in run.log.collect()] == [("old", "expired_90_days")]
     dry = retention.apply_retention(df, as_of, dry_run=True)
     assert dry.remaining.count() == 4 and dry.log.count() == 0 and [r.id for r in dry.listed.collect()] == ["old"]
-    with pytest.raises(ValueError, match="safety check"):
+    with pytest.raises(ValueError, match="would be deleted"):
         retention.apply_retention(df, as_of, cap=0)
 
 
@@ -200,6 +202,21 @@ def test_url_list_and_answers(spark, tmp_path):
     assert files.json_answer(df.orderBy("a"), "rows").first().json == '{"rows":[{"a":1},{"a":2,"b":"b"}],"count":2}'
 
 
+def test_nothing_is_cut_in_silence(spark, apply):
+    many = spark.range(30_000).withColumnRenamed("id", "a")
+    assert json.loads(files.json_answer(many, "rows").first().json)["count"] == 30_000
+    listings = many.select(F.col("a").cast("string").alias("id"), F.lit(T0).alias("fetched_at"))
+    assert paging.page(listings, limit=30_000).count() == 30_000
+    gone = many.select(F.col("a").cast("string").alias("id"), F.lit("").alias("title"), F.lit("").alias("detail_url"),
+                       F.lit("removed").alias("status"), F.lit(datetime(2020, 1, 1)).alias("removed_at"))
+    assert retention.apply_retention(gone, datetime(2024, 1, 2)).target_count == 30_000
+    page = "".join(f'<img src="https://x/{i}.jpg">' for i in range(25))
+    urls = apply(lambda c: F.size(pages.distinct_images(F.regexp_extract_all(c, F.lit("https://[^\"]+"), 0))), [page])
+    assert urls == [25]
+    address = "東京都" + "あ" * 80
+    assert apply(text.address, [address]) == [address]
+
+
 def test_store_twice_changes_nothing_more(spark, rows):
     html = ('<title>t</title>__SERVER_SIDE_CONTEXT__ {"Price":85000}<li class="DetailSummaryTable__access">'
             '<a class="_SummaryStation">新宿駅</a>/線 徒歩5分</li>"ExternalImageUrl":"https://i.example/1"')

@@ -25,7 +25,6 @@ AREA_RANGE = (5.0, 500.0)
 WALK_RANGE = (1, 60)
 AGE_RANGE = (0, 100)
 FLOOR_RANGE = (0, 100)
-ADDRESS_LENGTH = 50
 
 
 def strip(text: Column) -> Column:
@@ -117,8 +116,10 @@ def station(text: Column) -> Column:
     return blank_to_null(F.regexp_extract(text, STATION, 1))
 
 
-def address(text: Column) -> Column:
-    return blank_to_null(F.left(strip(F.regexp_extract(text, ADDRESS, 0)), F.lit(ADDRESS_LENGTH)))
+def address(text: Column, length: int | None = None) -> Column:
+    """From the prefecture to the end of the line; `length` cuts it for a column that holds no more."""
+    found = strip(F.regexp_extract(text, ADDRESS, 0))
+    return blank_to_null(F.left(found, F.lit(length)) if length else found)
 
 
 # --------------------------------------------------------------- escapes ----

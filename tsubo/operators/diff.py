@@ -16,19 +16,18 @@ COMPARED = ["title", "rent", "image_url"]
 def crawl_diff(
     current: DataFrame,
     crawl: DataFrame,
+    order: list[str],
     complete: bool = True,
     scope: Column | None = None,
     compared: list[str] | None = None,
-    order: list[str] | None = None,
 ) -> DataFrame:
     """id and kind: new, removed, updated or same.
 
     Removals are reported only for a complete crawl, and only for current rows
-    inside the scope. With order, the last row of an id in the crawl wins.
+    inside the scope. The last row of an id in the crawl, by the order columns, wins.
     """
     compared = compared or COMPARED
-    if order:
-        crawl = latest(crawl, ["id"], order)
+    crawl = latest(crawl, ["id"], order)
     columns = ["id", *compared]
     active = current.filter(F.col("status") == vocab.ACTIVE)
     expected = scope if scope is not None else F.lit(True)

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from html import unescape
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,20 +238,27 @@ SIGNATURE_START, SIGNATURE_END = 140, 240
 
 
 def image_signature(url: Column) -> Column:
+    """The part of an address that names the picture, whatever its scaling."""
     size = SIGNATURE_END - SIGNATURE_START
     middle = F.substring(url, SIGNATURE_START + 1, size)
     return F.when(F.length(url) > SIGNATURE_START, middle).otherwise(url)
 
 
-def distinct_images(found: Column, limit: int = vocab.MAX_IMAGES) -> Column:
-    """First URL of each picture, in page order, at most `limit`."""
+def distinct_images(found: Column, limit: int | None = None, by_signature: bool = False) -> Column:
+    """Different URLs in page order, all of them unless a limit is given.
+
+    by_signature takes the first URL of each picture only, told by a part of the address.
+    """
+    if not by_signature:
+        return F.array_distinct(found) if limit is None else F.slice(F.array_distinct(found), 1, limit)
     nothing = F.array().cast("array<struct<signature:string,url:string>>")
+    full = F.lit(False) if limit is None else F.lit(True)
 
     def add(kept: Column, url: Column) -> Column:
         signature = image_signature(url)
         known = F.exists(kept, lambda k: k["signature"] == signature)
         entry = F.struct(signature.alias("signature"), url.alias("url"))
-        return F.when((F.size(kept) >= limit) | known, kept).otherwise(F.concat(kept, F.array(entry)))
+        return F.when((full & (F.size(kept) >= (limit or 0))) | known, kept).otherwise(F.concat(kept, F.array(entry)))
 
     return F.aggregate(F.array_distinct(found), nothing, add, lambda kept: kept["url"])
 
@@ -294,112 +299,51 @@ def category_labels(page_text: Column) -> Column:
     return F.array_distinct(F.filter(labels, lambda label: label != ""))
 
 
-# --- fixed values: elements without an end tag, longest label in bytes -----
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-MAX_LABEL_BYTES = 30
-
-_PIECE = re.compile(
-    r"""<!--.*?-->|<(?P<raw>script|style)\b[^>]*>.*?</(?P=raw)\s*>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*)"""
-    r"""(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|(?P<text>[^<]+|<)""",
-    re.IGNORECASE | re.DOTALL,
-)
-
-
-def _value(attrs: str, name: str) -> str:
-    found = re.search(rf"""(?i)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", attrs)
-    return unescape(found[1] or found[2] or "") if found else ""
-
-
-class _Outline:
-    """Elements in document order as flat lists; a subtree is a slice of them."""
-
-    def __init__(self, html: str):
-        self.tags, self.attrs, self.parents, self.ends = [], [], [], []
-        self.texts, self.starts, self.stops = [], [], []
-        self.open: list[int] = []
-        for piece in _PIECE.finditer(html):
-            if piece["text"]:
-                self.texts.append(unescape(piece["text"]))
-            elif piece["tag"] and not piece["end"]:
-                self._start(piece["tag"].lower(), piece["attrs"])
-            elif piece["tag"]:
-                tag = piece["tag"].lower()
-                if any(self.tags[i] == tag for i in self.open):
-                    while self._close() != tag:
-                        pass
-        while self.open:
-            self._close()
-
-    def _start(self, tag: str, attrs: str) -> None:
-        self.tags.append(tag)
-        self.attrs.append(attrs)
-        self.parents.append(self.open[-1] if self.open else None)
-        self.starts.append(len(self.texts))
-        self.ends.append(None)
-        self.stops.append(None)
-        self.open.append(len(self.tags) - 1)
-        if tag in _VOID or attrs.endswith("/"):
-            self._close()
-
-    def _close(self) -> str:
-        i = self.open.pop()
-        self.ends[i], self.stops[i] = len(self.tags), len(self.texts)
-        return self.tags[i]
-
-    def text(self, i: int) -> str:
-        return "".join(self.texts[self.starts[i]:self.stops[i]]).strip()
-
-    def inner(self, i: int) -> range:
-        return range(i + 1, self.ends[i])
-
-    def following(self, i: int | None) -> int | None:
-        """The next element with the same parent."""
-        after = self.ends[i] if i is not None else len(self.tags)
-        return after if after < len(self.tags) and self.parents[after] == self.parents[i] else None
-
-
-def _section_labels(html: str) -> list[str]:
-    """Labels near the amenity heading: icon texts, then short hinting texts."""
-    page = _Outline(html)
-    # amount of text before each piece, to skip elements that hold too much
-    sizes = [0]
-    for piece in page.texts:
-        sizes.append(sizes[-1] + len("".join(piece.split())))
-    labels: dict[str, None] = {}
-    for i in range(len(page.tags)):
-        if sizes[page.stops[i]] - sizes[page.starts[i]] != len(vocab.AMENITY_HEADING):
-            continue
-        if page.text(i) != vocab.AMENITY_HEADING:
-            continue
-        parent = page.parents[i]
-        scopes = (page.following(i), page.following(parent), parent)
-        scope = next((s for s in scopes if s is not None), None)
-        if scope is None:
-            continue
-        for j in page.inner(scope):
-            alt = _value(page.attrs[j], "alt").strip() if page.tags[j] == "img" else ""
-            if alt and vocab.AMENITY_DISABLED not in _value(page.attrs[page.parents[j]], "class"):
-                labels.setdefault(alt)
-        for j in page.inner(scope):
-            if page.tags[j] in ("li", "span", "div"):
-                label = page.text(j)
-                if 0 < len(label.encode()) < MAX_LABEL_BYTES and any(h in label for h in vocab.AMENITY_HINTS):
-                    labels.setdefault(label)
-    return list(labels)
-
-
-def page_section_labels(html: Column) -> Column:
+# --- fixed values: elements without an end tag -----------------------------
+_VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+
+
+def _first_element(after: Column) -> Column:
+    """The first element that starts in the text, up to its end tag. Closing tags before it are passed over."""
+    pieces = F.regexp_extract_all(after, F.lit(r"(?s)<!--.*?-->|<[^>]*>|[^<]+"), 0)
+    void = r"(?i)^<(?:" + "|".join(_VOID) + r")\b|/>$"
+
+    def step(at: Column, piece: Column) -> Column:
+        change = F.when(piece.rlike("(?i)^</[a-z]"), -1).when(piece.rlike("(?i)^<[a-z]") & ~piece.rlike(void), 1).otherwise(0)
+        i, inside, ended = at["i"] + 1, at["first"] > 0, at["last"] > 0
+        depth = F.when(inside, at["depth"] + change).otherwise(F.greatest(change, F.lit(0)))
+        return F.struct(
+            i.alias("i"), depth.alias("depth"),
+            F.when(inside | (change <= 0), at["first"]).otherwise(i).alias("first"),
+            F.when(~ended & inside & (depth == 0), i).otherwise(at["last"]).alias("last"),
+        )
+
+    start = F.struct(*[F.lit(0).alias(n) for n in ("i", "depth", "first", "last")])
+    place = F.aggregate(pieces, start, step)
+    end = F.when(place["last"] > 0, place["last"]).otherwise(place["i"])
+    return F.when(place["first"] > 0, F.array_join(F.slice(pieces, place["first"], end - place["first"] + 1), ""))
+
+
+def page_section_labels(html: Column, longest: int | None = None) -> Column:
     """Array of labels of the amenity section, NULL on pages without its heading.
 
-    The place of an icon in the tree decides, which patterns cannot express, so
-    this one goes through Python in Arrow batches. Only pages that name the
-    heading are sent.
+    The section is the element that follows the heading. Icons count by their text unless the element
+    around them is disabled; then come short texts that hint at an amenity, of any length unless
+    `longest` bytes are given.
     """
-    @F.pandas_udf("array<string>")
-    def parse(pages: pd.Series) -> pd.Series:
-        return pages.map(_section_labels, na_action="ignore")
-
-    return parse(F.when(html.contains(vocab.AMENITY_HEADING), html))
+    heading = re.escape(vocab.AMENITY_HEADING)
+    after = F.regexp_extract(html, rf"(?is)<([a-z][a-z0-9]*)\b[^>]*>\s*{heading}\s*</\1\s*>(.*)$", 2)
+    scope = F.coalesce(_first_element(after), F.lit(""))
+    icons = F.regexp_extract_all(scope, F.lit(r"(?is)(?:<[a-z][^>]*>\s*)?<img\b[^>]*>"), 0)
+    shown = F.filter(icons, lambda i: ~F.regexp_extract(i, r"(?is)^(<(?!img)[^>]*>)?", 1).contains(vocab.AMENITY_DISABLED))
+    alts = F.transform(shown, lambda i: text.unescape_html(text.strip(
+        F.coalesce(_attribute(F.regexp_extract(i, r"(?is)(<img\b[^>]*>)$", 1), "alt"), F.lit("")))))
+    texts = F.transform(F.regexp_extract_all(scope, F.lit(r"(?is)<(?:li|span|div)\b[^>]*>([^<]+)</(?:li|span|div)\s*>"), 1),
+                        lambda t: text.strip(text.unescape_html(t)))
+    hints = "|".join(re.escape(h) for h in vocab.AMENITY_HINTS)
+    short = F.filter(texts, lambda t: t.rlike(hints) & (F.octet_length(t) < longest if longest else F.lit(True)))
+    labels = F.array_distinct(F.filter(F.concat(alts, short), lambda label: label != ""))
+    return F.when(html.contains(vocab.AMENITY_HEADING), labels)
 
 
 def section_labels(pages: DataFrame) -> DataFrame:

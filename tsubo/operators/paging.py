@@ -33,7 +33,7 @@ CURSOR_SORTS = {"", "newest", "fetched_at", "fetched_at_desc"}
 def sort_columns(sort: str, newest_by: str = "fetched_at", ident: str = "id") -> list[Column]:
     """NULLs last in both directions; the id makes the order total."""
     if sort not in SORTS:
-        raise ValueError(f"invalid sort parameter: {sort}")
+        raise ValueError(f"no such sort mode: {sort}")
     column, descending = SORTS[sort]
     by_time = column == "fetched_at"
     lead = F.col(newest_by if by_time else column)
@@ -46,9 +46,8 @@ def ordered(df: DataFrame, sort: str, newest_by: str = "fetched_at") -> DataFram
 
 
 def checked_limit(limit: int | None) -> int:
-    if not limit or limit <= 0:
-        return vocab.DEFAULT_LIMIT
-    return min(limit, vocab.MAX_LIMIT)
+    """The page size; none or a non-positive one is the default. Nothing is cut: a large page is as large as asked for."""
+    return limit if limit and limit > 0 else vocab.DEFAULT_LIMIT
 
 
 def top(df: DataFrame, columns: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -84,19 +83,19 @@ def decode_cursor(cursor: str) -> tuple[datetime, str]:
     try:
         text = base64.b64decode(cursor.encode(), altchars=b"-_", validate=True)
     except (binascii.Error, ValueError):
-        raise ValueError("invalid cursor: base64 decode failed") from None
+        raise ValueError("cursor is not base64 text") from None
     try:
         data = json.loads(text)
     except ValueError:
-        raise ValueError("invalid cursor: JSON parse failed") from None
+        raise ValueError("cursor holds no JSON") from None
     if not isinstance(data, dict) or not data.get("t") or not data.get("id"):
-        raise ValueError("invalid cursor: missing required fields")
+        raise ValueError("cursor lacks its time or id")
     try:
         at = datetime.fromisoformat(data["t"])
     except (TypeError, ValueError):
-        raise ValueError("invalid cursor: invalid timestamp format") from None
+        raise ValueError("cursor time cannot be read") from None
     if at.tzinfo is None:
-        raise ValueError("invalid cursor: invalid timestamp format")
+        raise ValueError("cursor time cannot be read")
     return at, data["id"]
 
 

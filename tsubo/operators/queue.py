@@ -52,12 +52,14 @@ def _new_items(rows: DataFrame, as_of, priority: int) -> DataFrame:
     )
 
 
-def reenqueue(listings: DataFrame, queue: DataFrame, as_of, limit: int = vocab.MAX_REENQUEUE) -> DataFrame:
-    """New items for the active listings that were seen longest ago."""
+def reenqueue(listings: DataFrame, queue: DataFrame, as_of, limit: int | None = None) -> DataFrame:
+    """New items for active listings; with a limit, for those that were seen longest ago."""
     complete = (F.col("source") != "") & (F.col("source_property_id") != "") & (F.col("detail_url") != "")
     active = listings.filter((F.col("status") == vocab.ACTIVE) & complete)
-    chosen = free_to_enqueue(active, queue, as_of).orderBy(F.asc_nulls_first("last_seen_at"), "id").limit(limit)
-    return _new_items(chosen, as_of, priority=1)
+    free = free_to_enqueue(active, queue, as_of)
+    if limit is not None:
+        free = free.orderBy(F.asc_nulls_first("last_seen_at"), "id").limit(limit)
+    return _new_items(free, as_of, priority=1)
 
 
 def keyed_urls(found: DataFrame, source: str) -> DataFrame:

@@ -42,18 +42,18 @@ def apply_retention(
     listings: DataFrame,
     as_of,
     days: int = vocab.RETENTION_DAYS,
-    cap: int = vocab.MAX_DELETIONS,
+    cap: int | None = None,
     dry_run: bool = False,
 ) -> Retention:
-    """Split off expired listings. More than `cap` of them aborts the run.
+    """Split off expired listings. If a cap is given, more of them abort the run.
 
     The split is a predicate on each row, so nothing is shuffled; only the
     count comes to the driver. A dry run lists the ids and removes nothing.
     """
     gone = expired(listings, as_of, days)
     n = gone.count()
-    if n > cap:
-        raise ValueError(f"safety check failed: {n} listings exceed the deletion limit of {cap}")
+    if cap is not None and n > cap:
+        raise ValueError(f"{n} listings would be deleted, {cap} may be")
     stays = listings if dry_run else listings.filter(~F.coalesce(is_expired(as_of, days), F.lit(False)))
     log = deletion_log(gone, as_of)
     return Retention(n, dry_run, stays, log.filter(F.lit(False)) if dry_run else log, gone.select("id"))

@@ -39,7 +39,10 @@ def with_children(listings: DataFrame, stations: DataFrame, images: DataFrame) -
         images.select("property_id", F.lit("image").alias("kind"), "sort_order", F.col("image_url").alias("value")),
         allowMissingColumns=True,
     )
-    return listings.join(children, listings["id"] == children["property_id"], "left").drop("property_id")
+    # an inner join can split a hot listing's children, a left join could only split the listings
+    joined = listings.join(children, listings["id"] == children["property_id"]).drop("property_id")
+    alone = listings.join(children, listings["id"] == children["property_id"], "left_anti")
+    return joined.unionByName(alone, allowMissingColumns=True)
 
 
 def listing_with_children(

@@ -180,7 +180,8 @@ PICTURE = "'https://realestate-pctr.c.yimg.jp/' || rpad(CAST(order_key AS VARCHA
     "x9_page_images",
     f"""SELECT order_key AS page_id, {PICTURE} || rpad('one', 100, 'b') || repeat('x', 100) AS image_url, 0 AS sort_order
         FROM raw_attributes WHERE order_key % 7 <> 0
-        UNION ALL SELECT order_key, {PICTURE} || rpad('two', 100, 'c'), 1 FROM raw_attributes WHERE order_key % 7 <> 0
+        UNION ALL SELECT order_key, {PICTURE} || rpad('one', 100, 'b'), 1 FROM raw_attributes WHERE order_key % 7 <> 0
+        UNION ALL SELECT order_key, {PICTURE} || rpad('two', 100, 'c'), 2 FROM raw_attributes WHERE order_key % 7 <> 0
         UNION ALL SELECT order_key, 'https://img.example/og' || order_key || '.jpg', 0
         FROM raw_attributes WHERE order_key % 7 = 0""",
 )
@@ -194,7 +195,7 @@ def _(spark, d):
 )
 def _(spark, d):
     found = F.regexp_extract_all("html", F.lit(vocab.IMAGE_URL_PATTERN), 0)
-    return fx.detail_pages(spark, d).select("page_id", F.size(pages.distinct_images(found)).alias("n"))
+    return fx.detail_pages(spark, d).select("page_id", F.size(pages.distinct_images(found, by_signature=True)).alias("n"))
 
 
 @entry(
@@ -245,7 +246,7 @@ def pages_to_listings(spark, d):
        SELECT 'listings' AS part, CAST(count(*) AS BIGINT) AS n FROM p
        UNION ALL SELECT 'kept_created', count(*) FILTER (known) FROM p
        UNION ALL SELECT 'stations', 2 * count(*) FROM p
-       UNION ALL SELECT 'images', count(*) FILTER (order_key % 7 = 0) + 2 * count(*) FILTER (order_key % 7 <> 0) FROM p
+       UNION ALL SELECT 'images', count(*) FILTER (order_key % 7 = 0) + 3 * count(*) FILTER (order_key % 7 <> 0) FROM p
        UNION ALL SELECT 'new_property', count(*) FROM p""",
 )
 def _(spark, d):

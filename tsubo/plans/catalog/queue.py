@@ -52,8 +52,7 @@ def m13_enqueue_unseen(spark, d):
 @entry(
     "m14_daily_reenqueue",
     f"""SELECT source_property_id, detail_url, 'pending' AS status, 1 AS priority, 0 AS attempts FROM listings
-        WHERE status = 'active' AND source_property_id NOT IN ({BUSY})
-        ORDER BY last_seen_at ASC NULLS FIRST, id LIMIT 100""",
+        WHERE status = 'active' AND source_property_id NOT IN ({BUSY})""",
 )
 def _(spark, d):
     rows = queue.reenqueue(fx.listings(spark, d), fx.queue(spark, d), fx.EVENTS_AS_OF)

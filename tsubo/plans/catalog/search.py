@@ -147,11 +147,12 @@ def _(spark, d):
 @entry(
     "p4_multi_select",
     """SELECT id, floor_plan, building_type FROM listings
-       WHERE floor_plan IN ('1K', '2LDK', '3LDK') AND building_type IN ('mansion', 'house')""",
+       WHERE floor_plan IN ('1K', '2LDK', '3LDK', '1LDK', '1DK', '1R') AND building_type IN ('mansion', 'house', 'apartment')""",
 )
 def _(spark, d):
     rows = _filtered(
-        spark, d, filters.one_of("floor_plan", ["1K", "2LDK", "3LDK"]), filters.one_of("building_type", ["mansion", "house"])
+        spark, d, filters.one_of("floor_plan", ["1K", "2LDK", "3LDK", "1LDK", "1DK", "1R"]),
+        filters.one_of("building_type", ["mansion", "house", "apartment"]),
     )
     return rows.select("id", "floor_plan", "building_type")
 
@@ -382,10 +383,10 @@ def _(spark, d):
     return paging.recent(mine, "snapshot_at", 30).select(F.col("snapshot_at").cast("string").alias("day"), "rent")
 
 
-@entry("o7_fetched_sample", "SELECT id, substr(title, 1, 100) AS title FROM listings ORDER BY updated_at DESC, id DESC LIMIT 10")
+@entry("o7_fetched_sample", "SELECT id, title FROM listings ORDER BY updated_at DESC, id DESC LIMIT 10")
 def _(spark, d):
     rows = paging.recent(fx.listings(spark, d, title=True), "updated_at", 10, "id")
-    return rows.select("id", F.substring("title", 1, 100).alias("title"))
+    return rows.select("id", "title")
 
 
 # ---------------------------------------------------------------- set union
@@ -450,6 +451,40 @@ def _(spark, d):
     return rows.select("doc_id", "score", "best_rank")
 
 
+def _listing_sql(words: list[str]) -> str:
+    """Score and rank over the weighted listing fields."""
+    def hit(f, w):
+        return f"list_contains(regexp_split_to_array(lower(coalesce({f}, '')), '[^\\p{{L}}\\p{{N}}]+'), '{w}')"
+
+    score = " + ".join("CAST(" + " OR ".join(hit(f, w) for f in vocab.SEARCH_FIELDS) + " AS INTEGER)" for w in words)
+    rank = "CASE " + " ".join(f"WHEN {' OR '.join(hit(f, w) for w in words)} THEN {i + 1}" for i, f in enumerate(vocab.SEARCH_FIELDS)) + " END"
+    return f"SELECT id, floor_plan, station, {score} AS score, {rank} AS best_rank FROM listings"
+
+
+LISTING_WORDS = ["building", "1k", "nation", "detail"]
+
+
+@entry("t1_listing_fields", f"SELECT id, score, best_rank FROM ({_listing_sql(LISTING_WORDS)}) WHERE score > 0")
+def _(spark, d):
+    rows = textsearch.scored(fx.listings(spark, d, title=True, place=True), "Building 1K, nation detail", vocab.SEARCH_FIELDS)
+    return rows.select("id", "score", "best_rank")
+
+
+@entry(
+    "t2_listing_answer",
+    f"""WITH rows AS (SELECT * FROM ({_listing_sql(['building', '2ldk'])}) WHERE score > 0)
+        SELECT 'total' AS field, '' AS value, count(*) AS n FROM rows
+        UNION ALL SELECT 'floor_plan', floor_plan, count(*) FROM rows GROUP BY floor_plan
+        UNION ALL SELECT 'station', station, count(*) FROM rows WHERE station IS NOT NULL GROUP BY station
+        UNION ALL SELECT 'hit', id, 1 FROM (SELECT id FROM rows ORDER BY score DESC, best_rank, id LIMIT 20)""",
+)
+def _(spark, d):
+    answer = textsearch.search_answer(fx.listings(spark, d, title=True, place=True), "building 2LDK", vocab.FACET_FIELDS)
+    total = answer["total"].select(F.lit("total").alias("field"), F.lit("").alias("value"), F.col("total").alias("n"))
+    hits = answer["hits"].select(F.lit("hit").alias("field"), F.col("id").alias("value"), F.lit(1).cast("bigint").alias("n"))
+    return total.unionByName(answer["facets"]).unionByName(hits)
+
+
 @entry(
     "t1_keyword_page",
     f"SELECT doc_id, score, best_rank FROM ({EXACT_SQL}) WHERE score > 0 ORDER BY score DESC, best_rank, doc_id LIMIT 20",
@@ -534,6 +569,9 @@ def _(spark, d):
 
 
 # --------------------------------------------------------------- crawl diff
+LAST = ["fetched_at"]
+
+
 @entry(
     "m6_crawl_diff",
     """SELECT coalesce(a.id, c.id) AS id,
@@ -543,7 +581,7 @@ def _(spark, d):
        FROM (SELECT * FROM listings WHERE status = 'active') a FULL JOIN crawl c ON a.id = c.id""",
 )
 def _(spark, d):
-    return diff.crawl_diff(fx.listings(spark, d, title=True), fx.crawl(spark, d, title=True))
+    return diff.crawl_diff(fx.listings(spark, d, title=True), fx.crawl(spark, d, title=True), LAST)
 
 
 @entry(
@@ -556,7 +594,7 @@ def _(spark, d):
 )
 def _(spark, d):
     return diff.crawl_diff(
-        fx.listings(spark, d), fx.crawl(spark, d), scope=F.col("floor_plan") == "1K", compared=["rent"]
+        fx.listings(spark, d), fx.crawl(spark, d), LAST, scope=F.col("floor_plan") == "1K", compared=["rent"]
     )
 
 
@@ -570,4 +608,4 @@ def _(spark, d):
 )
 def _(spark, d):
     crawl = fx.crawl(spark, d)
-    return diff.batch_result(diff.crawl_diff(fx.listings(spark, d), crawl, compared=["rent"]), crawl)
+    return diff.batch_result(diff.crawl_diff(fx.listings(spark, d), crawl, LAST, compared=["rent"]), crawl)

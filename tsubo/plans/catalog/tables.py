@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tsubo.operators import diff, keyed, retention, upsert
 from tsubo.plans.catalog.base import entry, stamp, stamp_sql
 from tsubo.plans.catalog.values import PLAN_SQL, TYPE_SQL
+from tsubo.sources import files
 from tsubo.sources import fixtures as fx
 
 AS_OF = f"TIMESTAMP '{fx.LISTINGS_AS_OF}'"
@@ -23,6 +24,9 @@ def _merge_sql(status: str, removed_at: str) -> str:
         FROM listings l FULL JOIN crawl c ON l.detail_url = c.detail_url"""
 
 
+LAST = ["fetched_at"]
+
+
 def _merged(frame):
     return frame.select(
         "detail_url", "id", "rent", "status", stamp("removed_at").alias("removed"), stamp("created_at").alias("created")
@@ -32,13 +36,13 @@ def _merged(frame):
 @entry("m1_upsert_keeping_status", _merge_sql("l.status", "l.removed_at"))
 def _(spark, d):
     incoming = upsert.prepared(fx.crawl(spark, d))
-    return _merged(upsert.upsert(fx.listings(spark, d), incoming, URL, keep_status=True))
+    return _merged(upsert.upsert(fx.listings(spark, d), incoming, URL, LAST, keep_status=True))
 
 
 @entry("m3_upsert_reviving", _merge_sql("c.status", "c.removed_at"))
 def m3_upsert_reviving(spark, d):
     incoming = upsert.prepared(fx.crawl(spark, d))
-    return _merged(upsert.upsert(fx.listings(spark, d), incoming, URL))
+    return _merged(upsert.upsert(fx.listings(spark, d), incoming, URL, LAST))
 
 
 @entry(
@@ -49,7 +53,7 @@ def m3_upsert_reviving(spark, d):
         FROM listings l FULL JOIN crawl c ON l.detail_url = c.detail_url""",
 )
 def _(spark, d):
-    merged = upsert.upsert(fx.listings(spark, d), fx.crawl(spark, d), URL, only=upsert.LEGACY_COLUMNS)
+    merged = upsert.upsert(fx.listings(spark, d), fx.crawl(spark, d), URL, LAST, only=upsert.LEGACY_COLUMNS)
     return merged.select("detail_url", "id", "rent", "status", "source_property_id")
 
 
@@ -89,7 +93,7 @@ def _(spark, d):
 )
 def _(spark, d):
     listings = fx.listings(spark, d)
-    gone = diff.crawl_diff(listings, fx.crawl(spark, d), compared=["rent"]).filter("kind = 'removed'")
+    gone = diff.crawl_diff(listings, fx.crawl(spark, d), LAST, compared=["rent"]).filter("kind = 'removed'")
     return upsert.soft_delete(listings, gone, fx.LISTINGS_AS_OF).select("id", "status", stamp("removed_at").alias("removed"))
 
 
@@ -150,7 +154,28 @@ def _(spark, d):
 )
 def _(spark, d):
     listings = fx.listings(spark, d, title=True)
-    everything = fx.table(spark, d, "orders").count()
-    run = retention.apply_retention(listings, fx.LISTINGS_AS_OF, cap=everything)
+    run = retention.apply_retention(listings, fx.LISTINGS_AS_OF)
     kept = run.remaining.select("id", F.lit("kept").alias("outcome"), F.lit("").alias("reason"))
     return kept.unionByName(run.log.select(F.col("property_id").alias("id"), F.lit("deleted").alias("outcome"), "reason"))
+
+
+# -------------------------------------------------------------- search index
+@entry(
+    "s7_index_after_save",
+    """SELECT coalesce(l.id, c.id) AS id, 'put' AS action, CAST(c.rent AS VARCHAR) AS rent, c.status
+       FROM crawl c LEFT JOIN listings l ON l.detail_url = c.detail_url""",
+)
+def _(spark, d):
+    """Only the listings of a save go to the index, under their stored id."""
+    crawl = fx.crawl(spark, d)
+    saved = upsert.upsert(fx.listings(spark, d), upsert.prepared(crawl), URL, LAST).join(crawl.select(*URL), URL, "left_semi")
+    rows = files.index_updates(saved, saved.filter(F.lit(False)))
+    field = lambda name: F.get_json_object("document", f"$.{name}").alias(name)
+    return rows.select("id", "action", field("rent"), field("status"))
+
+
+@entry("s7_index_after_retention", f"SELECT id, 'delete' AS action FROM listings WHERE {EXPIRED}")
+def _(spark, d):
+    listings = fx.listings(spark, d, title=True)
+    run = retention.apply_retention(listings, fx.LISTINGS_AS_OF)
+    return files.index_updates(listings.filter(F.lit(False)), run.listed).select("id", "action")

@@ -246,8 +246,8 @@ def _(spark, d):
 @entry(
     "f18_address_from_text",
     f"""SELECT order_key, CASE WHEN order_key % 6 <> 5 THEN
-               left(list_extract(['東京都', '大阪府', '神奈川県', '千葉県', '埼玉県', ''], order_key % 6 + 1) || {WARD}
-                    || '本町' || repeat('あ', CAST(order_key % 60 AS INTEGER)), 50) END AS address
+               list_extract(['東京都', '大阪府', '神奈川県', '千葉県', '埼玉県', ''], order_key % 6 + 1) || {WARD}
+                    || '本町' || repeat('あ', CAST(order_key % 60 AS INTEGER)) END AS address
         FROM raw_attributes""",
 )
 def _(spark, d):

@@ -7,7 +7,6 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
-from tsubo import vocab
 from tsubo.operators import filters, joins, paging, scan, stats
 
 
@@ -29,7 +28,7 @@ class SearchOptions:
     floor_plans: list[str] = field(default_factory=list)
     building_types: list[str] = field(default_factory=list)
     facilities: list[str] = field(default_factory=list)
-    exclude_ids: list[str] = field(default_factory=list)
+    exclude_ids: list[str] | DataFrame = field(default_factory=list)
     sort: str = "newest"
     limit: int | None = None
     offset: int | None = None
@@ -40,18 +39,9 @@ class SearchOptions:
         for name in ("rent", "area", "building_age", "floor"):
             low, high = getattr(self, f"min_{name}"), getattr(self, f"max_{name}")
             if low is not None and high is not None and low > high:
-                raise ValueError(f"min_{name} cannot be greater than max_{name}")
-        longest = {
-            "floor_plans": vocab.MAX_FLOOR_PLANS,
-            "building_types": vocab.MAX_BUILDING_TYPES,
-            "facilities": vocab.MAX_FACILITIES,
-            "exclude_ids": vocab.MAX_EXCLUDED_IDS,
-        }
-        for name, most in longest.items():
-            if len(getattr(self, name)) > most:
-                raise ValueError(f"{name}: maximum {most} items allowed")
+                raise ValueError(f"min_{name} is above max_{name}")
         if self.sort not in paging.SORTS:
-            raise ValueError(f"invalid sort parameter: {self.sort}")
+            raise ValueError(f"no such sort mode: {self.sort}")
         return self
 
     @property

@@ -20,7 +20,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # timestamps are instants, also where a file marks them as local
     "spark.sql.parquet.inferTimestampNTZ.enabled": "false",

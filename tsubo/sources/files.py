@@ -36,6 +36,14 @@ def index_documents(listings: DataFrame) -> DataFrame:
     return listings.select(*[c for c in vocab.INDEX_FIELDS if c in listings.columns])
 
 
+def index_updates(saved: DataFrame, gone: DataFrame) -> DataFrame:
+    """What a search index has to change: (id, action, document), documents as JSON to put for the
+    saved listings, and the ids to delete of those that are gone."""
+    docs = index_documents(saved)
+    put = docs.select("id", F.lit("put").alias("action"), F.to_json(F.struct(*docs.columns)).alias("document"))
+    return put.unionByName(gone.select("id", F.lit("delete").alias("action"), F.lit(None).cast("string").alias("document")))
+
+
 def export_index(listings: DataFrame, path: str, fmt: str = "parquet") -> dict[str, int]:
     """Write the index documents of all listings and count them in the same pass.
 
@@ -58,11 +66,10 @@ def json_rows(df: DataFrame, *columns: str) -> DataFrame:
 def json_answer(rows: DataFrame, name: str) -> DataFrame:
     """A page of rows as one JSON object {name: [...], count: n}.
 
-    Only for a page, whose size is capped; whole tables go through json_rows.
+    Takes an already paged frame and cuts nothing; whole tables go through json_rows.
     """
-    capped = rows.limit(vocab.MAX_LIMIT)
     items = F.collect_list(F.struct(*rows.columns))
-    return capped.agg(F.to_json(F.struct(items.alias(name), F.count("*").alias("count"))).alias("json"))
+    return rows.agg(F.to_json(F.struct(items.alias(name), F.count("*").alias("count"))).alias("json"))
 
 
 def write_json(df: DataFrame, path: str) -> None:
