@@ -93,3 +93,44 @@ SELECT page_id, payload_bytes, q.payload_digest,
        CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id < first THEN first END AS refers_to
 FROM q LEFT JOIN m ON q.payload_digest = m.payload_digest"""
+
+
+# ------------------------------------------------------------------ SQL twins of pair and path operators
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op2_ngram_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM documents),
+     s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 2), ' ') AS s
+           FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+     link AS (SELECT x, y FROM shared JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * k >= 90 * (p.n + q.n - k)),
+     step AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+     reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT a, y FROM reach JOIN step ON b = x)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON a = w.doc_id"""
+
+SQL["op7_substring_dedup"] = rf"""
+WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+     win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS s
+             FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+     own AS (SELECT s, min(doc_id) AS o FROM win GROUP BY s),
+     gone AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN own ON win.s = own.s CROSS JOIN (SELECT unnest(range(13)) AS k)
+              WHERE o < doc_id),
+     word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+     kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS k
+              FROM word WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = word.doc_id AND gone.p = word.p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id"""
+
+SQL["op9_near_vectors"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+     link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id
+              WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+     step AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+     n AS (SELECT x, count(*) AS n FROM step GROUP BY x),
+     reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT a, y FROM reach JOIN step ON b = x),
+     part AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v LEFT JOIN n ON vec_id = x JOIN part ON vec_id = a"""
