@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -97,11 +98,9 @@ def with_state(pages: DataFrame) -> DataFrame:
     counts, and each key is then read from its own short piece.
     """
     html = F.col("html")
-    block = F.substr(html, F.locate(vocab.STATE_MARK, html))
+    block = F.when(html.contains(vocab.STATE_MARK), F.substr(html, F.locate(vocab.STATE_MARK, html)))
     shapes = {"_numbers": _NUMBERS, "_texts": _TEXTS, "_lists": _LISTS}
-    pieces = pages.withColumns(
-        {"_has": has_state(html), **{n: F.regexp_extract_all(block, F.lit(p), 0) for n, p in shapes.items()}}
-    )
+    pieces = pages.withColumns({n: F.regexp_extract_all(block, F.lit(p), 0) for n, p in shapes.items()})
     pieces = pieces.withColumns(
         {f"{n}_keys": F.transform(n, lambda p: F.substring_index(F.substring(p, 2, 99), '"', 1)) for n in shapes}
     )
@@ -117,9 +116,8 @@ def with_state(pages: DataFrame) -> DataFrame:
     state["FloorNum"] = F.coalesce(state["FloorNum"], first("_texts", "FloorNum", r'"(\d+)"?').try_cast("int"))
     state["RoomLayoutImageUrl"] = F.replace(state["RoomLayoutImageUrl"], F.lit("\\/"), F.lit("/"))
     whole = F.struct(*[v.alias(k) for k, v in state.items()])
-    return pieces.withColumn("state", F.when(F.col("_has"), whole)).drop(
-        "_has", *shapes, *[f"{n}_keys" for n in shapes]
-    )
+    some = functools.reduce(lambda a, b: a | b, [F.coalesce(F.size(n) > 0, F.lit(False)) for n in shapes])
+    return pieces.withColumn("state", F.when(some, whole)).drop(*shapes, *[f"{n}_keys" for n in shapes])
 
 
 def _positive(value: Column) -> Column:
