@@ -37,6 +37,7 @@ SKETCH_BITS = 22
 SKETCH_PARTS = 64
 BLOCK = 256
 PARTNERS = 64
+RANGE_BITS = 6
 
 
 def shingles(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
@@ -112,7 +113,7 @@ def document_sets(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, perce
                     order = np.partition(order, first - 1)[:first]
                 order.sort()
                 prefixes.append(order.tobytes())
-                ranges.append(np.minimum(np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=32), 255).astype(np.uint8).tobytes())
+                ranges.append(np.minimum(np.bincount((found >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.binary()),
                  pa.array(ranges, pa.binary())], names=["doc_id", "n_shingles", "set_key", "prefix", "ranges"])
@@ -121,7 +122,8 @@ def document_sets(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, perce
         run, "doc_id bigint, n_shingles bigint, set_key binary, prefix binary, ranges binary")
 
 
-_POST = "token bigint, doc bigint, size int, place int, own int, r0 bigint, r1 bigint, r2 bigint, r3 bigint"
+_RANGES = [f"r{i}" for i in range((1 << RANGE_BITS) // 8)]  # eight counts of one byte each
+_POST = ", ".join(["token bigint, doc bigint, size int, place int, own int", *[f"{r} bigint" for r in _RANGES]])
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
@@ -161,7 +163,7 @@ class _Rows:
     def __init__(self, batch, extra: tuple[str, ...] = ()):
         get = lambda n: batch.column(n).to_numpy(zero_copy_only=False)
         self.doc, self.size, self.place = get("doc"), get("size").astype(np.int64), get("place").astype(np.int64)
-        self.ranges = np.stack([get(f"r{i}") for i in range(4)], axis=1).copy().view(np.uint8).astype(np.int16)
+        self.ranges = np.stack([get(r) for r in _RANGES], axis=1).copy().view(np.uint8).astype(np.int16)
         self.extra = {n: get(n) for n in extra}
 
     def near(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
