@@ -88,36 +88,60 @@ class Scorer:
     """Scores texts with a model; scores of words are kept in a bounded cache."""
 
     def __init__(self, model: dict, room: int = CACHED_WORDS):
-        self.languages, self.words, self.grams = model["languages"], model["words"], model["grams"]
-        self.room = room
+        self.languages, self.room = model["languages"], room
+        # one matrix for words and n-grams, and tables of its rows
+        rows: list[np.ndarray] = []
+        self.words = self._numbered(model["words"], rows)
+        self.grams = [self._numbered(table, rows) for table in model["grams"]]
+        self.matrix = np.array(rows).reshape(-1, max(len(self.languages), 1))
         self._clear()
 
+    @staticmethod
+    def _numbered(table: dict[str, np.ndarray], rows: list[np.ndarray]) -> dict[str, int]:
+        start = len(rows)
+        rows.extend(table.values())
+        return dict(zip(table, range(start, len(rows))))
+
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.rows = np.zeros((1024, max(len(self.languages), 1)))
+        self.scores = np.zeros((1024, self.matrix.shape[1]))
         self.n = 1  # row 0: chunks without letters
 
-    def word(self, word: str) -> np.ndarray:
+    def _rows_of(self, word: str) -> list[int]:
+        """Matrix rows whose mean is the word's score: its own, else those of its longest known n-grams."""
         found = self.words.get(word)
         if found is not None:
-            return found
+            return [found]
         marked = f"^{word}$"
         for size in range(min(len(self.grams) - 1, len(marked)), 0, -1):
             table = self.grams[size]
-            hits = [table[g] for g in (marked[i:i + size] for i in range(len(marked) - size + 1)) if g in table]
+            hits = [table[g] for g in [marked[i:i + size] for i in range(len(marked) - size + 1)] if g in table]
             if hits:
-                return np.mean(hits, axis=0)
-        return np.zeros(len(self.languages))
-
-    def _learn(self, chunk: bytes) -> int:
-        word = chunk.decode("utf-8", "replace").strip(EDGES).lower()
-        if not any(c.isalpha() for c in word):
-            return 0
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.n] = self.word(word)
-        self.n += 1
-        return self.n - 1
+                return hits
+        return []
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        words: dict[str, int] = {}
+        for chunk in chunks:
+            word = chunk.decode("utf-8", "replace").strip(EDGES).lower()
+            if word.isalpha() or any(map(str.isalpha, word)):
+                self.known[chunk] = self.n + words.setdefault(word, len(words))
+            else:
+                self.known[chunk] = 0
+        if not words:
+            return
+        while self.n + len(words) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        found = [self._rows_of(word) for word in words]
+        sizes = np.array([len(f) for f in found])
+        has = np.flatnonzero(sizes)
+        if len(has):
+            flat = self.matrix[[row for f in found for row in f]]
+            starts = (np.cumsum(sizes) - sizes)[has]
+            self.scores[self.n + has] = np.add.reduceat(flat, starts, axis=0) / sizes[has, None]
+        # rows are used again after the cache was cleared
+        self.scores[self.n + np.flatnonzero(sizes == 0)] = 0
+        self.n += len(words)
 
     def __call__(self, text: bytes) -> tuple[str, float]:
         if not self.languages:
@@ -125,15 +149,18 @@ class Scorer:
         chunks = text.split()
         if len(self.known) > self.room:
             self._clear()
-        for chunk in set(chunks).difference(self.known):
-            self.known[chunk] = self._learn(chunk)
+        new = set(chunks).difference(self.known)
+        if new:
+            self._learn(sorted(new))
         ids = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        ids = ids[ids > 0]
-        if not len(ids):
+        different, n = np.unique(ids, return_counts=True)
+        if len(different) and different[0] == 0:
+            different, n = different[1:], n[1:]
+        if not len(different):
             return UNKNOWN, 0.0
-        total = self.rows[ids].sum(axis=0)
+        total = n @ self.scores[different]
         # words of a text are not independent: the evidence is damped by the root of their number
-        total = (total - total.max()) / math.sqrt(len(ids))
+        total = (total - total.max()) / math.sqrt(n.sum())
         odds = np.exp(total)
         best = int(np.argmax(odds))
         return self.languages[best], float(odds[best] / odds.sum())
