@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +84,12 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+@functools.lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One per worker process, so that the tasks of a worker share what it knows."""
+    return WordHashes()
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """A hash of every run of `width` words; equal runs have equal hashes."""
     n = len(words) - width + 1

@@ -13,6 +13,7 @@ each; an empty table gives no rows; a text of any length is tokenized whole.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from bisect import bisect_left
 
@@ -29,37 +30,83 @@ END = 1
 GRID = 32
 MOST_PARTS = 4
 SALTS = 64
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+class _Recent:
+    """A dictionary of the entries used last: two generations of at most `room` each."""
+
+    def __init__(self, room: int):
+        self.room, self.now, self.old = room, {}, {}
+
+    def turn(self) -> None:
+        if len(self.now) > self.room:
+            self.old, self.now = self.now, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys that are in neither generation; those of the old one come along."""
+        out = []
+        for key in keys.difference(self.now):
+            value = self.old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                self.now[key] = value
+        return out
+
+
 class WordIds:
     """Token ids (as little-endian bytes) of a text, by a cache of white-space separated chunks.
 
-    The tokenizer never joins text across ASCII white space, so a text's ids are those of its
-    chunks one after the other. A tokenizer of another kind needs `split=False`.
+    The tokenizer never joins text across ASCII white space, lower-cases, and splits a full stop or comma
+    that ends a chunk after a letter. So a text's ids are those of its chunks one after the other, and
+    chunks differ from known words by capitals and such an ending only. A tokenizer of another kind
+    needs `split=False`.
     """
 
     def __init__(self, path: str, room: int = CACHED_WORDS, split: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.split = Tokenizer.from_file(path), room, split
-        self.known: dict[bytes, bytes] = {}
+        self.tokenizer, self.split = Tokenizer.from_file(path), split
+        self.chunks, self.words = _Recent(room), _Recent(room)
+        self.ends = dict(zip(b".,", self._encode([".", ","])))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _learn(self, chunks: list[bytes]) -> None:
+        parts = []
+        for chunk in chunks:
+            word, end = chunk, b""
+            if b"<" not in chunk:  # special tokens are case sensitive
+                word = chunk.lower()
+                if len(word) > 1 and word[-1] in self.ends and 97 <= word[-2] <= 122:
+                    end, word = self.ends[word[-1]], word[:-1]
+            parts.append((chunk, word, end))
+        self.words.turn()
+        new = self.words.missing({word for _, word, _ in parts})
+        if new:
+            self.words.now.update(zip(new, self._encode([w.decode() for w in new])))
+        for chunk, word, end in parts:
+            self.chunks.now[chunk] = self.words.now[word] + end
+
     def __call__(self, text: bytes) -> bytes:
         if not self.split:
             return self._encode([text.decode()])[0]
-        known, chunks = self.known, text.split()
-        if len(known) > self.room:
-            known.clear()
-        new = list(set(chunks).difference(known))
+        chunks = text.split()
+        self.chunks.turn()
+        new = self.chunks.missing(set(chunks))
         if new:
-            known.update(zip(new, self._encode([c.decode() for c in new])))
-        return b"".join(map(known.__getitem__, chunks))
+            self._learn(new)
+        return b"".join(map(self.chunks.now.__getitem__, chunks))
+
+
+@functools.lru_cache(maxsize=1)
+def _word_ids(path: str, split: bool) -> WordIds:
+    """One per worker process, so that the tasks of a worker share what it knows."""
+    return WordIds(path, split=split)
 
 
 def pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END, with_ids: bool = False, split: bool = True) -> DataFrame:
@@ -71,7 +118,7 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END, with_id
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, last = WordIds(path, split=split), np.array([end], dtype="<u4").tobytes()
+        ids_of, last = _word_ids(path, split), np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -108,7 +155,7 @@ def patterns(units: int, most: int = MOST_PARTS) -> np.ndarray:
     return table
 
 
-def nonnegative_fit(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
+def nonnegative_fit(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Lawson and Hanson's active set method: x >= 0 with the smallest |a x - b|."""
     x, active = np.zeros(a.shape[1]), []
     scale = max(float(np.abs(b).max()), 1.0)
@@ -116,12 +163,12 @@ def nonnegative_fit(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarr
         gain = a.T @ (b - a @ x)
         gain[active] = -np.inf
         best = int(np.argmax(gain))
-        if gain[best] <= 1e-9 * scale:
+        if gain[best] <= 1e-4 * scale:
             break
         active.append(best)
         while True:
             part = a[:, active]
-            solved = np.linalg.lstsq(part, b, rcond=None)[0]
+            solved = np.linalg.solve(part.T @ part + 1e-9 * np.eye(len(active)), part.T @ b)
             if (solved > 0).all():
                 break
             old = x[active]
@@ -185,10 +232,12 @@ def plan(counts: np.ndarray, room: int = ROOM, grid: int = GRID, most: int = MOS
                 continue
             segments = [(sequences, n, 0)]
             sequences += n
-            for part in parts:
+            for i, part in enumerate(parts):
                 filled = []
                 length = min(part * grid, room)
                 for first, size, offset in segments:
+                    if i == len(parts) - 1:
+                        length = room - offset  # the last part may use what rounding up has left free
                     while size:
                         while not left[length]:
                             length -= 1
