@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsubo.llm.common import WordHashes, components, stored, text_bytes, window_hashes
+from tsubo.llm.common import WordHashes, components, stored, text_bytes, window_hashes, word_hashes
 from tsubo.llm.substrings import bloom, in_bloom
 
 WIDTH = 3
@@ -53,7 +53,7 @@ def rarity(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     size, step = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_PARTS
 
     def count(batches):
-        hashes, total, waiting, n = WordHashes(), np.zeros(size, np.uint32), [], 0
+        hashes, total, waiting, n = word_hashes(), np.zeros(size, np.uint32), [], 0
         mask = np.uint64(size - 1)
 
         def flush():
@@ -98,7 +98,7 @@ def document_sets(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, perce
     def run(batches):
         import xxhash
 
-        hashes, mask = WordHashes(), np.uint64((1 << SKETCH_BITS) - 1)
+        hashes, mask = word_hashes(), np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
             sizes, keys, prefixes, ranges = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -123,7 +123,7 @@ def document_sets(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, perce
 
 
 _RANGES = [f"r{i}" for i in range((1 << RANGE_BITS) // 8)]  # eight counts of one byte each
-_POST = ", ".join(["token bigint, doc bigint, size int, place int, own int", *[f"{r} bigint" for r in _RANGES]])
+_POST = ", ".join(["token bigint, doc bigint, size int, place int, own int, first bigint, second bigint", *[f"{r} bigint" for r in _RANGES]])
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
@@ -137,19 +137,21 @@ def _tokens(classes: DataFrame) -> DataFrame:
 def postings(classes: DataFrame) -> DataFrame:
     """A row per class and prefix n-gram that other classes have too (or seem to, by the filter)."""
     many = _tokens(classes).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    shared = classes.sparkSession.sparkContext.broadcast(bloom(many, "token"))  # 8 MB
+    filled = classes.sparkSession.sparkContext.broadcast(bloom(many, "token"))  # 8 MB
 
     def run(batches):
         for batch in batches:
             parts = []
             for doc, size, prefix, ranges in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 tokens = np.frombuffer(prefix, np.uint64)
-                places = np.flatnonzero(in_bloom(shared.value, tokens))
+                places = np.flatnonzero(in_bloom(filled.value, tokens))
                 n = len(places)
                 if n:
                     r = np.frombuffer(ranges, np.int64)
-                    parts.append((tokens[places].view(np.int64), np.full(n, doc), np.full(n, size, np.int32), places.astype(np.int32),
-                                  np.full(n, len(tokens) - n, np.int32), *[np.full(n, x) for x in r]))
+                    shared = tokens[places].view(np.int64)
+                    parts.append((shared, np.full(n, doc), np.full(n, size, np.int32), places.astype(np.int32),
+                                  np.full(n, len(tokens) - n, np.int32), np.full(n, shared[0]), np.full(n, shared[min(1, n - 1)]),
+                                  *[np.full(n, x) for x in r]))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)],
                                                  names=[c.split()[0] for c in _POST.split(", ")])
@@ -179,6 +181,16 @@ class _Rows:
         return ok
 
 
+    def seen(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs meet at an earlier n-gram too, as far as the first two of each tell."""
+        token, first, second = (self.extra[n].view(np.uint64) for n in ("token", "first", "second"))
+        out = np.zeros(len(i), bool)
+        for a in (first[i], second[i]):
+            for b in (first[j], second[j]):
+                out |= (a == b) & (a < token[i])
+        return out
+
+
 def _whole_groups(batches, keys: tuple[str, ...]):
     """Record batches recut so that no group of equal keys is split (groups are contiguous and short)."""
     rest = None
@@ -243,7 +255,7 @@ def remaining_pairs(rows: DataFrame, parts_of: DataFrame, percent: int, block: i
 
     def run(batches):
         for batch in _whole_groups(batches, keys):
-            group, data, found = _starts(batch, keys), _Rows(batch, ("component", "own_block", "lo", "hi")), []
+            group, data, found = _starts(batch, keys), _Rows(batch, ("component", "own_block", "lo", "hi", "token", "first", "second")), []
             part, own, within = data.extra["component"], data.extra["own_block"], data.extra["lo"] == data.extra["hi"]
             i = np.arange(len(group))
             for d in range(1, len(group)):
@@ -253,6 +265,7 @@ def remaining_pairs(rows: DataFrame, parts_of: DataFrame, percent: int, block: i
                     break
                 j = i + d
                 new = (part[i] != part[j]) & (within[i] | (own[i] != own[j]))
+                new[new] = ~data.seen(i[new], j[new])
                 a, b = i[new], j[new]
                 ok = data.near(a, b, percent)
                 x, y = data.doc[a[ok]], data.doc[b[ok]]
@@ -280,7 +293,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, partne
     right = grouped.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "part", "b", "text")
 
     def run(batches):
-        hashes, mine, key = WordHashes(), [], None
+        hashes, mine, key = word_hashes(), [], None
         for batch in batches:
             out = []
             for a, part, b, text in zip(*(batch.column(n).to_pylist() for n in ("a", "part", "b", "text"))):

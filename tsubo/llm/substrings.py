@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsubo.llm.common import WordHashes, mix, stored, text_bytes, window_hashes
+from tsubo.llm.common import WordHashes, mix, stored, text_bytes, window_hashes, word_hashes
 
 WIDTH = 13
 ANCHOR = 7
@@ -53,7 +53,7 @@ def _anchors(short: np.ndarray, span: int) -> np.ndarray:
 def shared_anchors(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
     """Anchors (hashes) that more than one document has."""
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             found = []
             for text in batch.column(0).to_pylist():
@@ -122,7 +122,7 @@ def paths(docs: DataFrame, shared: np.ndarray, width: int = WIDTH, anchor: int =
     names = ["anchor", "path", "check", "doc_id", "place", "edges"]
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -143,7 +143,7 @@ def paths(docs: DataFrame, shared: np.ndarray, width: int = WIDTH, anchor: int =
 
 
 def _occurrence(path: np.ndarray, doc_id) -> np.ndarray:
-    """A 48-bit key of a path in a document."""
+    """A 48-bit key of a path in a document, or of the document for path 0."""
     with np.errstate(over="ignore"):
         return mix(path ^ mix(np.asarray(doc_id).astype(np.int64).view(np.uint64))) & _LOW
 
@@ -152,17 +152,20 @@ def branching_edges(docs: DataFrame, firsts: DataFrame, width: int = WIDTH, anch
     """(path, check, doc_id, place, edges = 1): the single edges of the paths in firsts(path, doc_id)."""
     def keys(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_occurrence(
-                batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()).view(np.int64))], names=["key"])
+            path, doc_id = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            found = np.concatenate([_occurrence(path, doc_id), np.unique(_occurrence(np.zeros_like(path), doc_id))])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["key"])
 
     wanted = firsts.select("path", "doc_id").mapInArrow(keys, "key bigint")
     filled = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "key"))  # 8 MB
     names = ["path", "check", "doc_id", "place", "edges"]
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in names]
+            ids = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array(in_bloom(filled.value, _occurrence(np.zeros(len(ids), np.uint64), ids))))
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = text.split()
                 if len(words) < width:
