@@ -74,6 +74,31 @@ def test_similar_branches_merge(spark):
     assert {r["branch"] for r in urlfilter.merged_branches(only).collect()} == {"/a/~"}
 
 
+def test_like_siblings_merge_beside_others(spark):
+    templates = [("h", "/a/x", 100, 100, 2), ("h", "/a/y", 100, 100, 3), ("h", "/a/z", 100, 100, 90), ("h", "/a/n", 5, 0, 0),
+                 *[("g", f"/{i}", 6, 6, 6) for i in range(5)], ("g", "/big", 500, 500, 5),
+                 # alike as wholes, not below
+                 ("k", "/a/x", 50, 50, 50), ("k", "/a/y", 50, 50, 0), ("k", "/b/x", 50, 50, 0), ("k", "/b/y", 50, 50, 50), ("k", "", 1, 1, 0),
+                 # equal names of unlike branches below merged ones
+                 ("m", "/a/x", 200, 200, 0), ("m", "/a/y", 200, 200, 100), ("m", "/b/x", 400, 400, 100), ("m", "/~2", 9, 9, 9)]
+    df = spark.createDataFrame(templates, "host string, template string, pages bigint, labelled bigint, bad bigint")
+    found = {(r["host"], r["template"]): r["branch"] for r in urlfilter.merged_branches(df).collect()}
+    assert len(found) == len(templates)
+    assert found["h", "/a/x"] == found["h", "/a/y"] == found["h", "/a/n"] != found["h", "/a/z"]
+    assert len({found["g", f"/{i}"] for i in range(5)}) == 1 and found["g", "/0"] != found["g", "/big"]
+    assert len({found["m", t] for t in ("/a/x", "/a/y", "/b/x", "/~2")}) == 4
+    assert found["k", "/a/x"] == found["k", "/b/y"] != found["k", "/a/y"] == found["k", "/b/x"]
+
+
+def test_like_inner_branches_merge(spark):
+    """Twelve bad sections with seven labels each are bad together."""
+    rows = [(i, f"http://bad.org/a{i % 12}/{i}", None, "", "", 0) for i in range(84)]
+    rows += [(i, f"http://good{i % 8}.org/{i}", None, "", "", 0) for i in range(84, 840)]
+    labels = spark.createDataFrame([(r[0], int(r[0] < 84)) for r in rows], "page_id bigint, bad int")
+    for r in urlfilter.judged(spark.createDataFrame(rows, PAGE), labels).collect():
+        assert r["verdict"] == ("block" if r["host"] == "bad.org" else "allow")
+
+
 def test_url_filter_runs_no_python_and_takes_nothing(spark):
     none = spark.createDataFrame([], PAGE)
     marks = spark.createDataFrame([], "page_id bigint, bad int")

@@ -1,8 +1,8 @@
 """URL filter by a tree of path templates, with DataFrame functions only.
 
 Per host the paths of labelled and unlabelled pages form a tree. Level by level a segment that takes
-many values under its parent becomes a wildcard; then sibling branches whose labelled share of bad
-pages does not differ significantly from the rest of their parent are merged into one branch. A
+many values under its parent becomes a wildcard; then, level by level, sibling branches whose labelled
+shares of bad pages do not differ significantly are merged into one branch and share what is below. A
 template is rejected when its smoothed share of bad pages is high: (bad + prior share * strength) /
 (labelled + strength). Explicit rules go first, the longest that fits.
 
@@ -26,6 +26,7 @@ LEAST_VALUES = 8      # fewer different values are branches, not a variable
 VARIABLE_SHARE = 0.2  # different values per page from which a segment counts as variable
 STRENGTH = 10.0       # of the prior, in labelled pages
 SIMILAR = 1.96        # z score up to which branches count as alike
+LEAST_LABELS = 5      # branches with fewer are compared together, not each by itself
 REJECT = 0.5
 
 
@@ -84,19 +85,62 @@ def template_tree(paths: DataFrame, depth: int = DEPTH, least_values: int = LEAS
     return rows.withColumn("template", F.when(longer, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_parts")
 
 
+def _groups(nodes: DataFrame, similar: float) -> DataFrame:
+    """nodes(host, up, leaf, kind, l, b) with group, groups: siblings in order of their bad share, cut where the
+    next one differs (two-sample z test) from all of the group so far. Equal counts are one entry, and so
+    are all siblings with too few labels, so a parent's list is bounded by its labels, not by its children."""
+    key = ["host", "up", "leaf"]
+    entries = nodes.groupBy(*key, "kind").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.max("l").alias("own_l"), F.max("b").alias("own_b"))
+    few = F.col("kind") == "few"
+    item = F.struct("l", "b", F.when(few, F.col("l")).otherwise(F.col("own_l")).alias("n"),
+                    F.when(few, F.col("b")).otherwise(F.col("own_b")).alias("k"), "kind")
+    lists = entries.groupBy(*key).agg(F.collect_list(item).alias("items"), (F.sum("b") / F.greatest(F.sum("l"), F.lit(1))).alias("all"))
+    # what has no label stands at the share of all
+    lists = lists.withColumn("items", F.expr(
+        "array_sort(transform(items, x -> struct(if(x.l = 0, all, x.b / x.l) AS share, x.kind AS kind, x.l AS l, x.b AS b, x.n AS n, x.k AS k)))"))
+    pooled = "((s.b + x.k) / greatest(s.l + x.n, 1))"
+    alike = (f"(s.l = 0 OR x.n = 0 OR abs(x.k / greatest(x.n, 1) - s.b / greatest(s.l, 1)) <= "
+             f"{similar}D * sqrt({pooled} * (1 - {pooled}) * (1 / greatest(s.l, 1) + 1 / greatest(x.n, 1))) + 1e-12D)")
+    cuts = F.expr(
+        "aggregate(items, named_struct('at', 0, 'l', 0L, 'b', 0L, 'cuts', cast(array() AS array<int>)), (s, x) -> "
+        f"if({alike}, named_struct('at', s.at + 1, 'l', s.l + x.l, 'b', s.b + x.b, 'cuts', s.cuts), "
+        "named_struct('at', s.at + 1, 'l', x.l, 'b', x.b, 'cuts', concat(s.cuts, array(s.at)))), s -> s.cuts)")
+    placed = lists.withColumn("cuts", cuts).select(*key, "cuts", F.posexplode("items.kind").alias("at", "kind"))
+    return nodes.join(placed.select(*key, "kind", F.expr("size(filter(cuts, c -> c <= at))").alias("group"),
+                                    (F.size("cuts") + 1).alias("groups")), [*key, "kind"])
+
+
 def merged_branches(templates: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """templates(host, template, pages, labelled, bad) with branch: siblings whose bad share does not
-    differ from their other siblings' (pooled two-sample z test) share the branch parent/~."""
-    parent = F.regexp_replace("template", r"/[^/]*$", "")
-    rows = templates.withColumn("parent", parent)
-    sums = rows.groupBy("host", "parent").agg(F.sum("labelled").alias("_l"), F.sum("bad").alias("_b"))
-    rows = rows.join(sums, ["host", "parent"])
-    other_l, other_b = F.col("_l") - F.col("labelled"), F.col("_b") - F.col("bad")
-    pooled = F.col("_b") / F.greatest(F.col("_l"), F.lit(1))
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("labelled"), F.lit(1)) + 1 / F.greatest(other_l, F.lit(1))))
-    gap = F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - other_b / F.greatest(other_l, F.lit(1)))
-    alike = (F.col("labelled") == 0) | (other_l == 0) | (gap <= similar * spread)
-    return rows.withColumn("branch", F.when(alike, F.concat("parent", F.lit("/~"))).otherwise(F.col("template"))).drop("_l", "_b", "parent")
+    """templates(host, template, pages, labelled, bad) with branch: siblings with a like bad share are one branch.
+
+    Level by level, whole branches (with all pages below them) are compared with their siblings; what is
+    below merged branches has one parent then and is compared again. A merged branch is named ~, with
+    its number if its parent has several groups; an inner branch that is like no other keeps its name, and so
+    does a template unless it is alone under its parent.
+    """
+    parts = F.split("template", "/")
+    rows = templates.withColumn("_parts", F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).withColumn("up", F.lit(""))
+    deepest = rows.agg(F.max(F.size("_parts"))).first()[0] or 0  # one number
+    rows = rows.withColumn("branch", F.when(F.size("_parts") == 0, F.col("template")))
+    for level in range(1, deepest + 1):
+        size = F.size("_parts")
+        here = rows.where(size >= level).withColumn("leaf", size == level).withColumn(
+            "node", F.array_join(F.slice("_parts", 1, level), "/"))
+        key = ["host", "up", "leaf", "node"]
+        nodes = here.groupBy(*key).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).withColumn(
+            "kind", F.when(F.col("l") < LEAST_LABELS, "few").otherwise(F.concat_ws("/", "l", "b")))
+        grouped = _groups(nodes, similar)
+        last = F.element_at(F.split("node", "/"), -1)  # under merged branches it names several nodes
+        members = grouped.groupBy("host", "up", "leaf", "group").agg(F.count("*").alias("_members"))
+        named = grouped.join(members, ["host", "up", "leaf", "group"]).select(
+            *key, F.when((F.col("_members") == 1) & ~(F.col("leaf") & (F.col("groups") == 1)) & ~F.contains("up", F.lit("/~"))
+                         & ~F.startswith(last, F.lit("~")), last)
+            .when(F.col("groups") == 1, "~").otherwise(F.concat(F.lit("~"), F.col("group"))).alias("_name"))
+        moved = here.join(named, key).withColumn("_to", F.concat("up", F.lit("/"), "_name")).select(
+            *[F.when(F.col("leaf"), F.col("_to")).alias("branch") if c == "branch" else
+              F.when(F.col("leaf"), F.col("up")).otherwise(F.col("_to")).alias("up") if c == "up" else F.col(c) for c in rows.columns])
+        rows = stored(rows.where(size < level).unionByName(moved), "url-branches")
+    return rows.drop("_parts", "up")
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules=RULES, strength: float = STRENGTH, reject: float = REJECT,
@@ -112,7 +156,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, strength: float = S
     rows = stored(template_tree(rows, depth), "url-templates")
     templates = rows.groupBy("host", "template").agg(
         F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    branches = merged_branches(templates)
+    branches = merged_branches(stored(templates, "url-counts"))
     sums = branches.groupBy("host", "branch").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     prior = rows.agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.count("bad"), F.lit(1))).alias("prior"))
     prior = prior.first()["prior"]  # one number
