@@ -99,6 +99,25 @@ def test_like_inner_branches_merge(spark):
         assert r["verdict"] == ("block" if r["host"] == "bad.org" else "allow")
 
 
+def test_templates_do_not_depend_on_repeats_or_deeper_pages(spark):
+    paths = [f"/user/{i}x/{j}" for i in range(60) for j in range(7)]  # more than five pages per id
+    paths += [f"/s{i}/{j}.html" for i in range(12) for j in range(70)] + [f"/one{i}" for i in range(9)]
+    once = spark.createDataFrame([("h", p, i, int(p.startswith("/s3/"))) for i, p in enumerate(paths)], "host string, path string, page_id int, bad int")
+    again = once.crossJoin(spark.range(6).select(F.col("id").alias("n")))
+    found = {(r["path"], r["template"]) for r in urlfilter.template_tree(once).collect()}
+    repeated = urlfilter.template_tree(again).collect()
+    assert len(repeated) == 6 * len(paths) and {(r["path"], r["template"]) for r in repeated} == found
+    assert {t for p, t in found if p.startswith("/user/")} == {"/user/<any>/" + str(j) for j in range(7)}
+    assert {t for p, t in found if p.startswith("/s")} == {f"/s{i}/<num>.html" for i in range(12)}
+    assert {t for p, t in found if p.startswith("/one")} == {"/<any>"}
+
+
+def test_a_rare_value_with_clear_labels_stays_a_branch(spark):
+    rows = [("h", f"/s{i}/{i * 20 + j}", int(i == 7)) for i in range(50) for j in range(20)]
+    found = urlfilter.template_tree(spark.createDataFrame(rows, "host string, path string, bad int")).collect()
+    assert {r["template"] for r in found} == {"/s7/<num>", "/<any>/<num>"}
+
+
 def test_url_filter_runs_no_python_and_takes_nothing(spark):
     none = spark.createDataFrame([], PAGE)
     marks = spark.createDataFrame([], "page_id bigint, bad int")

@@ -1,7 +1,7 @@
 """URL filter by a tree of path templates, with DataFrame functions only.
 
-Per host the paths of labelled and unlabelled pages form a tree. Level by level a segment that takes
-many values under its parent becomes a wildcard; then, level by level, sibling branches whose labelled
+Per host the paths of labelled and unlabelled pages form a tree. Level by level the rare values of a segment
+that takes many of them under its parent become a wildcard; then, level by level, sibling branches whose labelled
 shares of bad pages do not differ significantly are merged into one branch and share what is below. A
 template is rejected when its smoothed share of bad pages is high: (bad + prior share * strength) /
 (labelled + strength). Explicit rules go first, the longest that fits.
@@ -14,6 +14,8 @@ not named here are ignored.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,9 @@ from tsubo.llm.common import stored
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 DEPTH = 4
 LEAST_VALUES = 8      # fewer different values are branches, not a variable
-VARIABLE_SHARE = 0.2  # different values per page from which a segment counts as variable
+FEW_PATHS = 5         # a value with at most so many paths is rare
+MANY_VALUES = 24      # and so is one with less than this part of its parent's paths
+DIFFERENT = 4.0       # z score from which the labels of a rare value keep it a branch
 STRENGTH = 10.0       # of the prior, in labelled pages
 SIMILAR = 1.96        # z score up to which branches count as alike
 LEAST_LABELS = 5      # branches with fewer are compared together, not each by itself
@@ -61,28 +65,56 @@ def shape(segment: Column) -> Column:
 
 
 def template_tree(paths: DataFrame, depth: int = DEPTH, least_values: int = LEAST_VALUES,
-                  variable_share: float = VARIABLE_SHARE) -> DataFrame:
-    """paths(host, path, ...) with template: segments up to `depth`, variable ones as wildcards, the
-    rest of a longer path as one last segment that is always a wildcard.
-
-    Values are counted by approximate distinct counts, combined map-side, so a host with a
-    third of the pages costs one small sketch per task.
+                  few_paths: int = FEW_PATHS, many_values: int = MANY_VALUES) -> DataFrame:
+    """paths(host, path, ...; bad if there are labels) with template: segments up to `depth`, variable ones as
+    wildcards, the rest of a longer path as one last segment that is always a wildcard.
+
+    Everything is counted in different paths, so repeated pages change nothing. A value is rare if it holds at most
+    `few_paths` of its parent's paths, or less than one in `many_values`, however many pages are below it. Rare
+    values are variable where there are `least_values` of them; common ones stay branches, and so does a
+    rare one with enough labels of its own that differ clearly from the rest.
     """
+    bad = F.max("bad") if "bad" in paths.columns else F.lit(None).cast("int")
     parts = F.split(F.regexp_replace("path", r"^/", ""), "/", depth + 1)
-    rows = paths.withColumn("_parts", parts).withColumn("template", F.lit(""))
-    for level in range(depth):
-        segment = F.get("_parts", F.lit(level))
-        here = rows.withColumn("_segment", segment)
-        stats = here.where("_segment IS NOT NULL").groupBy("host", "template").agg(
-            F.count("*").alias("_n"), F.approx_count_distinct("_segment").alias("_values"))
-        variable = stats.where((F.col("_values") >= least_values) & (F.col("_values") >= variable_share * F.col("_n"))).select(
-            "host", "template", F.lit(True).alias("_variable"))
+    rows = stored(paths.groupBy("host", "path").agg(bad.alias("_bad")), "url-paths").withColumn("_parts", parts).withColumn("template", F.lit(""))
+    done, level = [], 0
+    while True:
+        if level == depth:
+            done.append(rows.select("host", "path", F.concat("template", F.lit("/**")).alias("template")))
+            break
+        here = rows.withColumn("_segment", F.get("_parts", F.lit(level)))
+        values = stored(here.groupBy("host", "template", "_segment").agg(
+            F.count("*").alias("c"), F.count("_bad").alias("l"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("b")), "url-values")
+        # below a parent with fewer paths than that no segment at any level is variable
+        open_parents = values.groupBy("host", "template").agg(F.sum("c").alias("n")).where(F.col("n") >= least_values).select(
+            "host", "template", F.lit(True).alias("_open"))
+        variable = stored(_variable(values, least_values, few_paths, many_values), "url-variable")
+        rest = F.array_join(F.slice("_parts", level + 2, F.size("_parts")), "/")
+        ends = F.size("_parts") <= level + 1
         piece = F.when(F.col("_variable"), shape(F.col("_segment"))).otherwise(F.col("_segment"))
-        rows = here.join(variable, ["host", "template"], "left").withColumn(
-            "template", F.when(F.col("_segment").isNull(), F.col("template")).otherwise(
-                F.concat("template", F.lit("/"), piece))).drop("_variable", "_segment")
-    longer = F.size("_parts") > depth
-    return rows.withColumn("template", F.when(longer, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_parts")
+        whole = F.col("_open").isNull() & ~ends & (F.size("_parts") <= depth)
+        after = stored(here.join(open_parents, ["host", "template"], "left").join(variable, ["host", "template", "_segment"], "left").select(
+            "host", "path", "_bad", "_parts", (ends | whole).alias("_done"),
+            F.concat("template", F.lit("/"), piece, F.when(whole, F.concat(F.lit("/"), rest)).otherwise("")).alias("template")), "url-level")
+        done.append(after.where("_done").select("host", "path", "template"))
+        rows, level = after.where("NOT _done").drop("_done"), level + 1
+        if rows.isEmpty():
+            break
+    return paths.join(functools.reduce(DataFrame.unionByName, done), ["host", "path"])
+
+
+def _variable(values: DataFrame, least_values: int, few_paths: int, many_values: int) -> DataFrame:
+    """values(host, template, _segment, c paths, l labelled and b bad ones): those that become wildcards."""
+    parents = values.groupBy("host", "template").agg(
+        F.sum("c").alias("n"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.count("*").alias("values"))
+    values = values.join(parents.where(F.col("values") >= least_values), ["host", "template"])
+    rest_l, p = F.col("all_l") - F.col("l"), F.col("all_b") / F.greatest("all_l", F.lit(1))
+    gap = F.abs(F.col("b") / F.greatest("l", F.lit(1)) - (F.col("all_b") - F.col("b")) / F.greatest(rest_l, F.lit(1)))
+    clear = (F.col("l") >= STRENGTH) & (rest_l > 0) & (gap > DIFFERENT * F.sqrt(p * (1 - p) * (1 / F.greatest("l", F.lit(1)) + 1 / F.greatest(rest_l, F.lit(1)))))
+    rare = ((F.col("c") <= few_paths) | (F.col("c") * many_values < F.col("n"))) & ~clear
+    values = values.where(rare).select("host", "template", "_segment")
+    enough = values.groupBy("host", "template").agg(F.count("*").alias("k")).where(F.col("k") >= least_values).select("host", "template")
+    return values.join(enough, ["host", "template"], "left_semi").withColumn("_variable", F.lit(True))
 
 
 def _groups(nodes: DataFrame, similar: float) -> DataFrame:
