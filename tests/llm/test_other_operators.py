@@ -118,6 +118,16 @@ def test_a_rare_value_with_clear_labels_stays_a_branch(spark):
     assert {r["template"] for r in found} == {"/s7/<num>", "/<any>/<num>"}
 
 
+def test_deep_paths_are_told_apart(spark):
+    rows = [(i, f"http://h.org/2024/05/12/city/{'adult' if i % 2 else 'news'}/x/{i}", None, "", "", 0) for i in range(100)]
+    rows += [(100, "http://h.org/" + "d/" * 60 + "end", None, "", "", 0), (101, "http://h.org/2024/05/12/city", None, "", "", 0)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "page_id bigint, bad int")
+    found = {r["page_id"]: r for r in urlfilter.judged(spark.createDataFrame(rows, PAGE), labels).collect()}
+    assert all(found[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(100))
+    assert found[1]["template"] == "/2024/05/12/city/adult/x/<num>"
+    assert found[100]["template"] == found[100]["path"] and found[101]["template"] == "/2024/05/12/city"
+
+
 def test_url_filter_runs_no_python_and_takes_nothing(spark):
     none = spark.createDataFrame([], PAGE)
     marks = spark.createDataFrame([], "page_id bigint, bad int")

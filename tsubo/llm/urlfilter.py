@@ -23,7 +23,6 @@ from tsubo.llm.common import stored
 
 # (rule, verdict): fixed by the contract
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-DEPTH = 4
 LEAST_VALUES = 8      # fewer different values are branches, not a variable
 FEW_PATHS = 5         # a value with at most so many paths is rare
 MANY_VALUES = 24      # and so is one with less than this part of its parent's paths
@@ -64,10 +63,10 @@ def shape(segment: Column) -> Column:
     return F.concat(kind, ending)
 
 
-def template_tree(paths: DataFrame, depth: int = DEPTH, least_values: int = LEAST_VALUES,
+def template_tree(paths: DataFrame, least_values: int = LEAST_VALUES,
                   few_paths: int = FEW_PATHS, many_values: int = MANY_VALUES) -> DataFrame:
-    """paths(host, path, ...; bad if there are labels) with template: segments up to `depth`, variable ones as
-    wildcards, the rest of a longer path as one last segment that is always a wildcard.
+    """paths(host, path, ...; bad if there are labels) with template: all segments, variable ones as
+    wildcards. Levels go on until no path has a further segment that could be variable.
 
     Everything is counted in different paths, so repeated pages change nothing. A value is rare if it holds at most
     `few_paths` of its parent's paths, or less than one in `many_values`, however many pages are below it. Rare
@@ -75,13 +74,10 @@ def template_tree(paths: DataFrame, depth: int = DEPTH, least_values: int = LEAS
     rare one with enough labels of its own that differ clearly from the rest.
     """
     bad = F.max("bad") if "bad" in paths.columns else F.lit(None).cast("int")
-    parts = F.split(F.regexp_replace("path", r"^/", ""), "/", depth + 1)
+    parts = F.split(F.regexp_replace("path", r"^/", ""), "/")
     rows = stored(paths.groupBy("host", "path").agg(bad.alias("_bad")), "url-paths").withColumn("_parts", parts).withColumn("template", F.lit(""))
     done, level = [], 0
     while True:
-        if level == depth:
-            done.append(rows.select("host", "path", F.concat("template", F.lit("/**")).alias("template")))
-            break
         here = rows.withColumn("_segment", F.get("_parts", F.lit(level)))
         values = stored(here.groupBy("host", "template", "_segment").agg(
             F.count("*").alias("c"), F.count("_bad").alias("l"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("b")), "url-values")
@@ -92,7 +88,7 @@ def template_tree(paths: DataFrame, depth: int = DEPTH, least_values: int = LEAS
         rest = F.array_join(F.slice("_parts", level + 2, F.size("_parts")), "/")
         ends = F.size("_parts") <= level + 1
         piece = F.when(F.col("_variable"), shape(F.col("_segment"))).otherwise(F.col("_segment"))
-        whole = F.col("_open").isNull() & ~ends & (F.size("_parts") <= depth)
+        whole = F.col("_open").isNull() & ~ends
         after = stored(here.join(open_parents, ["host", "template"], "left").join(variable, ["host", "template", "_segment"], "left").select(
             "host", "path", "_bad", "_parts", (ends | whole).alias("_done"),
             F.concat("template", F.lit("/"), piece, F.when(whole, F.concat(F.lit("/"), rest)).otherwise("")).alias("template")), "url-level")
@@ -152,12 +148,17 @@ def merged_branches(templates: DataFrame, similar: float = SIMILAR) -> DataFrame
     """
     parts = F.split("template", "/")
     rows = templates.withColumn("_parts", F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).withColumn("up", F.lit(""))
-    deepest = rows.agg(F.max(F.size("_parts"))).first()[0] or 0  # one number
-    rows = rows.withColumn("branch", F.when(F.size("_parts") == 0, F.col("template")))
-    for level in range(1, deepest + 1):
+    done, level = [rows.where(F.size("_parts") == 0).withColumn("branch", F.col("template"))], 1
+    rows = rows.where(F.size("_parts") > 0)
+    while not rows.isEmpty():
         size = F.size("_parts")
-        here = rows.where(size >= level).withColumn("leaf", size == level).withColumn(
-            "node", F.array_join(F.slice("_parts", 1, level), "/"))
+        # a template that is alone has nothing to be compared with, however deep it goes
+        alone = rows.groupBy("host", "up").agg(F.count("*").alias("n")).where("n = 1").select("host", "up", F.lit(True).alias("_alone"))
+        here = stored(rows.join(alone, ["host", "up"], "left").withColumn("leaf", size == level).withColumn(
+            "node", F.array_join(F.slice("_parts", 1, level), "/")), "url-nodes")
+        between = F.slice("_parts", F.lit(level), size - level)
+        done.append(here.where("_alone").withColumn("branch", F.array_join(F.concat(F.array("up"), between, F.array(F.lit("~"))), "/")))
+        here = here.where("_alone IS NULL")
         key = ["host", "up", "leaf", "node"]
         nodes = here.groupBy(*key).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).withColumn(
             "kind", F.when(F.col("l") < LEAST_LABELS, "few").otherwise(F.concat_ws("/", "l", "b")))
@@ -168,15 +169,13 @@ def merged_branches(templates: DataFrame, similar: float = SIMILAR) -> DataFrame
             *key, F.when((F.col("_members") == 1) & ~(F.col("leaf") & (F.col("groups") == 1)) & ~F.contains("up", F.lit("/~"))
                          & ~F.startswith(last, F.lit("~")), last)
             .when(F.col("groups") == 1, "~").otherwise(F.concat(F.lit("~"), F.col("group"))).alias("_name"))
-        moved = here.join(named, key).withColumn("_to", F.concat("up", F.lit("/"), "_name")).select(
-            *[F.when(F.col("leaf"), F.col("_to")).alias("branch") if c == "branch" else
-              F.when(F.col("leaf"), F.col("up")).otherwise(F.col("_to")).alias("up") if c == "up" else F.col(c) for c in rows.columns])
-        rows = stored(rows.where(size < level).unionByName(moved), "url-branches")
-    return rows.drop("_parts", "up")
+        after = stored(here.join(named, key).withColumn("up", F.concat("up", F.lit("/"), "_name")), "url-branches")
+        done.append(after.where("leaf").withColumn("branch", F.col("up")))
+        rows, level = after.where("NOT leaf").select(rows.columns), level + 1
+    return functools.reduce(DataFrame.unionByName, [d.select(*templates.columns, "branch") for d in done])
 
 
-def judged(pages: DataFrame, labels: DataFrame, rules=RULES, strength: float = STRENGTH, reject: float = REJECT,
-           depth: int = DEPTH) -> DataFrame:
+def judged(pages: DataFrame, labels: DataFrame, rules=RULES, strength: float = STRENGTH, reject: float = REJECT) -> DataFrame:
     """page_id, host, path, rule, verdict, template, branch, purity for every page.
 
     labels(page_id, bad): bad is 1 or 0. Labels that repeat a page are averaged to the worst.
@@ -185,7 +184,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, strength: float = S
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     worst = labels.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     rows = rows.join(worst, "page_id", "left")
-    rows = stored(template_tree(rows, depth), "url-templates")
+    rows = stored(template_tree(rows), "url-templates")
     templates = rows.groupBy("host", "template").agg(
         F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     branches = merged_branches(stored(templates, "url-counts"))
