@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.data import DOC, documents, jaccard_groups, sentence, substring_cuts
+from tests.llm.data import DOC, documents, jaccard_groups, sentence, shingle_set, substring_cuts
 from tsubo.llm import fingerprint, langid, mixing, ngrams, packing, pii, substrings
 from tsubo.llm.common import components, stored
 from tsubo.llm.queries import tokenizer_path
@@ -83,6 +83,15 @@ def test_a_group_of_near_copies_is_linked_without_its_pairs(spark):
     assert ngrams.remaining_pairs(posts, parts, 90).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_every_link_is_counted(docs, rows, block):
+    sets = {r[0]: shingle_set(r[1], 3) for r in rows}
+    groups = jaccard_groups([r[:2] for r in rows], 3, 90)
+    expected = {d: (sum(d != e and bool(x) and 100 * len(x & y) >= 90 * len(x | y) for e, y in sets.items()), groups[d][1]) for d, x in sets.items()}
+    assert by_id(ngrams.linked_documents(docs, 3, 90, block), "n_links", "component_id") == expected
+    assert max(n for n, _ in expected.values()) > 3
+
+
 # ------------------------------------------------------------------ substrings
 @pytest.mark.parametrize(("width", "anchor"), [(13, 7), (5, 3)])
 def test_removal_against_brute_force(docs, rows, width, anchor):

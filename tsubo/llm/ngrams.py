@@ -329,3 +329,36 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
         "set_key", F.coalesce("component", "rep").alias("component_id"))
     return sets.select("doc_id", "n_shingles", "set_key").join(state, "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links (a, b) with a < b between classes, by their smallest ids, each verified once; then the sets of all
+    rows and (set_key, rep, members) of the classes. A group of near copies turns into all its pairs here."""
+    levels = rarity(docs, width)
+    sets = stored(document_sets(docs, levels, width, percent), "ngram-sets")
+    usable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    # each id counts once in a class
+    heads = stored(usable.select("set_key", "doc_id").distinct().groupBy("set_key").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("members")), "ngram-heads")
+    classes = stored(usable.join(heads.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(
+        ["set_key"]).withColumnRenamed("doc_id", "rep"), "ngram-classes")
+    rows = stored(postings(classes), "ngram-postings")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc"), text_bytes("text").alias("text"))
+    apart = docs.sparkSession.createDataFrame([], "node bigint, component bigint")  # every class is its own part, so no pair is skipped
+    found = stored(verified(remaining_pairs(rows, apart, percent, block), texts, width, percent).distinct(), "ngram-links")
+    return found, sets, heads
+
+
+def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id per row of docs(doc_id, text): n_links is the number of other
+    documents it links with, equal sets among them. If an id repeats with unlike texts, each row has its own number."""
+    found, sets, heads = links(docs, width, percent, block)
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(heads.select(F.col("rep").alias("b"), "members"), "b").groupBy("a").agg(F.sum("members").alias("others"))
+    state = heads.join(others.withColumnRenamed("a", "rep"), "rep", "left").join(
+        components(found, "ngram-parts").withColumnRenamed("node", "rep"), "rep", "left").select(
+        "set_key", (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = F.col("doc_id").isNotNull()
+    return sets.select("doc_id", "n_shingles", "set_key").join(state, "set_key", "left").select(
+        "doc_id", "n_shingles", F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"),
+        F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -31,6 +31,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.similar_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # with the number of links of each document, so all pairs are looked at
+    return ngrams.linked_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
