@@ -5,12 +5,12 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tsubo import vocab
 from tsubo.functions import urls
 from tsubo.functions.attributes import plus_seconds, retry_delay_seconds
-from tsubo.operators.keyed import numbered
 
 KEY = ["source", "source_property_id"]
 OPEN = ["pending", "processing"]
@@ -107,12 +107,13 @@ def _contains_any(text: Column, words: list[str]) -> Column:
     return functools.reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def apply_outcomes(queue: DataFrame, outcomes: DataFrame, order: tuple[str, ...] = ("at",)) -> DataFrame:
-    """State of the queue after outcomes(id, at, ok, error); an item may have many.
+def summary(outcomes: DataFrame, order: tuple[str, ...] = ("at",)) -> DataFrame:
+    """One row per item of outcomes(id, at, ok, error): what decides its state, whatever other outcomes there are.
 
-    Every outcome is one more attempt. The last one decides the state; the last
-    one that ended the item decides completed_at. Outcomes are reduced to one
-    row per item, with a map-side combine, before they meet the queue.
+    `firsts` are the places of the first attempts, as many as an item may have; `last`, `closed` and
+    `retry` are the last outcome of any kind, one that ended the item, and a retryable error. Only the first
+    few rows of an item leave a map task, and the rest is combined there, so a hot item is no single task.
+    Summaries of parts of the outcomes give the summary of all, see merged_summaries.
     """
     error = F.coalesce("error", F.lit(""))
     kind = (
@@ -121,25 +122,52 @@ def apply_outcomes(queue: DataFrame, outcomes: DataFrame, order: tuple[str, ...]
         .when(_contains_any(error, BLOCK_WORDS), "blocked")
         .otherwise("retry")
     )
-    tries = numbered(outcomes, ["id"], list(order), F.date_trunc("hour", "at"), "_try")
-    tries = tries.withColumns({"_kind": kind, "_error": error})
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    tries = outcomes.select("id", F.struct(place.alias("place"), "at", kind.alias("kind"), error.alias("error")).alias("_o"))
+    first = tries.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy("_o"))).filter(F.col("_n") <= vocab.MAX_ATTEMPTS)
+    firsts = first.groupBy("id").agg(F.sort_array(F.collect_list("_o.place")).alias("firsts"))
 
-    def last(*of: str) -> Column:
-        which = F.when(F.col("_kind").isin(list(of)), F.col("_try")) if of else F.col("_try")
-        return F.max_by(F.struct("_try", "at", F.col("_kind").alias("kind"), F.col("_error").alias("error")), which)
+    def last(*kinds: str) -> Column:
+        return F.max(F.when(F.col("_o.kind").isin(list(kinds)), F.col("_o")) if kinds else F.col("_o"))
 
-    result = tries.groupBy("id").agg(
-        last().alias("_last"), last("done", "permanent_fail").alias("_closed"), last("retry").alias("_retry")
+    rest = tries.groupBy("id").agg(
+        F.count("*").alias("tries"), last().alias("last"), last("done", "permanent_fail").alias("closed"), last("retry").alias("retry")
     )
-    joined = queue.join(result, "id", "left")
+    # a missing id belongs to no item
+    return rest.join(firsts, "id").select("id", "tries", "firsts", "last", "closed", "retry")
+
+
+def merged_summaries(summaries: DataFrame) -> DataFrame:
+    """One summary per item; there are as many rows of an item as parts."""
+    firsts = F.sort_array(F.flatten(F.collect_list("firsts")))
+    return summaries.groupBy("id").agg(
+        F.sum("tries").alias("tries"), F.slice(firsts, 1, vocab.MAX_ATTEMPTS).alias("firsts"),
+        F.max("last").alias("last"), F.max("closed").alias("closed"), F.max("retry").alias("retry"),
+    )
+
+
+def apply_outcomes(queue: DataFrame, outcomes: DataFrame, order: tuple[str, ...] = ("at",)) -> DataFrame:
+    """State of the queue after outcomes(id, at, ok, error); an item may have many.
+
+    Every outcome is one more attempt. The last one decides the state; the last
+    one that ended the item decides completed_at. Outcomes are reduced to one
+    row per item, with a map-side combine, before they meet the queue.
+    """
+    return apply_summaries(queue, summary(outcomes, order))
+
+
+def apply_summaries(queue: DataFrame, summaries: DataFrame) -> DataFrame:
+    """State of the queue after the outcomes that the summaries (one per item) stand for."""
+    joined = queue.join(summaries.withColumnsRenamed({c: f"_{c}" for c in ("tries", "firsts", "last", "closed", "retry")}), "id", "left")
 
     # an item is spent by a retryable error from the fifth attempt on; the last
-    # such error has the highest number, so it alone decides
+    # such error is the latest of them, so it alone decides
     before = F.col("attempts")
-    retry_spent = before + F.col("_retry._try") >= vocab.MAX_ATTEMPTS
-    later = F.coalesce(F.col("_retry._try") > F.col("_closed._try"), F.col("_closed").isNull())
+    nth = F.size(F.filter("_firsts", lambda f: f <= F.col("_retry.place")))  # exact below the limit
+    retry_spent = before + nth >= vocab.MAX_ATTEMPTS
+    later = F.coalesce(F.col("_retry") > F.col("_closed"), F.col("_closed").isNull())
     ended = F.when(retry_spent & later, F.col("_retry.at")).otherwise(F.col("_closed.at"))
-    n = (before + F.col("_last._try")).cast("int")
+    n = (before + F.col("_tries")).cast("int")
     at, error, tried = F.col("_last.at"), F.col("_last.error"), F.col("_last").isNotNull()
     kind = F.when((F.col("_last.kind") == "retry") & (n >= vocab.MAX_ATTEMPTS), "spent").otherwise(F.col("_last.kind"))
     values = {

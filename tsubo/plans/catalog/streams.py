@@ -25,8 +25,8 @@ def _requests(spark, d):
 )
 def _(spark, d):
     root = work_dir(spark, "window-counts")
-    jobs.finish(jobs.write_counts(jobs.window_counts(_requests(spark, d), "1 hour"), root))
-    return jobs.read_counts(spark, root).select("key", stamp("start").alias("start"), "n", "failed")
+    jobs.finish(jobs.write_counts(_requests(spark, d), root))
+    return jobs.read_counts(spark, root, "1 hour").select("key", stamp("start").alias("start"), "n", "failed")
 
 
 @entry(
@@ -37,9 +37,8 @@ def _(spark, d):
 )
 def _(spark, d):
     root = work_dir(spark, "sliding-counts")
-    counts = jobs.window_counts(_requests(spark, d), "1 hour", "30 minutes")
-    jobs.finish(jobs.write_counts(counts, root))
-    return jobs.read_counts(spark, root).select("key", stamp("start").alias("start"), "n")
+    jobs.finish(jobs.write_counts(_requests(spark, d), root))
+    return jobs.read_counts(spark, root, "1 hour", "30 minutes").select("key", stamp("start").alias("start"), "n")
 
 
 @entry(
@@ -57,8 +56,8 @@ def _(spark, d):
 @entry("r3_queue_states", OUTCOMES_RESULT)
 def _(spark, d):
     root = work_dir(spark, "queue-states")
-    jobs.finish(jobs.write_outcomes(outcomes(jobs.file_stream(spark, d, "events")), root))
-    return queue_shown(jobs.read_queue(fresh_queue(fx.queue(spark, d)), root, ("at", "seq")))
+    jobs.finish(jobs.write_outcomes(outcomes(jobs.file_stream(spark, d, "events")), root, ("at", "seq")))
+    return queue_shown(jobs.read_queue(fresh_queue(fx.queue(spark, d)), root))
 
 
 @entry(
@@ -83,7 +82,7 @@ def _(spark, d):
     )
     order = ["line", "l_extendedprice"]
     jobs.finish(jobs.write_snapshots(raw, root, order))
-    rows = jobs.read_changes(spark, root, order)
+    rows = jobs.read_changes(spark, root)
     return rows.select("property_id", F.col("snapshot_at").cast("string").alias("day"), "change_type", "new_value")
 
 
