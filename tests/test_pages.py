@@ -113,6 +113,34 @@ def test_section_labels(spark):
     assert pages.section_labels(page(spark, html)).first().labels == ["床暖房"]
 
 
+def test_first_element():
+    nested = "<div><div>a<p>b</p></div><br><img><section>c</section></div>"
+    cases = {
+        nested + "<div>d</div>": nested, "</p></div>x" + nested + "y": nested, "<!-- <div> -->" + nested: nested,
+        "<div>a<!-- </div> -->b</div>c": "<div>a<!-- </div> -->b</div>", "<br><hr/><ul><li>1<li>2</ul>": "<ul><li>1<li>2</ul>",
+        "<DIV>a</DIV>b": "<DIV>a</DIV>", "<div/><p>x</p>": "<p>x</p>", "no tag < here": None, "": None, "<div>open": "<div>open",
+    }
+    for after, element in cases.items():
+        assert pages.first_element(after) == element, after
+    assert pages.first_element(None) is None
+
+
+def test_a_page_of_five_megabytes(spark):
+    depth = 30_000
+    html = "<h3>人気の特徴・設備</h3>" + "<div>" * depth + "<li>2階以上</li>" + "<p>x</p>" * 400_000 + "</div>" * depth + "<li>ペット可</li>"
+    assert len(html) > 5_000_000 * 0.7
+    assert pages.section_labels(page(spark, html + "<span>" * 200_000)).first().labels == ["2階以上"]
+
+
+def test_ten_thousand_images_on_a_page(spark):
+    base = "https://realestate-pctr.c.yimg.jp/" + "a" * 106
+    found = [base + f"{i % 6000:06d}" + "t" * 94 + f"{i}" for i in range(10_000)]
+    frame = spark.createDataFrame([(found,), ([],), (None,), ([None, "b", None, "b"],)], "urls array<string>").coalesce(1)
+    whole = [r[0] for r in frame.select(pages.distinct_images(F.col("urls"), by_signature=True)).collect()]
+    assert whole == [found[:6000], [], None, ["b"]]
+    assert frame.select(pages.distinct_images(F.col("urls"), 7, by_signature=True)).first()[0] == found[:7]
+
+
 def test_category_lines(spark):
     html = "<div>\n バス・トイレ シャワー / トイレ / シャワー\r\nキッチン IHコンロ/\nその他\n無関係 a/b</div>"
     got = one(page(spark, html), pages.category_labels(text.visible_text(F.col("html"))))

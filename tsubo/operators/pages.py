@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -247,18 +248,18 @@ def distinct_images(found: Column, limit: int | None = None, by_signature: bool
 
     by_signature takes the first URL of each picture only, told by a part of the address.
     """
-    if not by_signature:
-        return F.array_distinct(found) if limit is None else F.slice(F.array_distinct(found), 1, limit)
-    nothing = F.array().cast("array<struct<signature:string,url:string>>")
-    full = F.lit(False) if limit is None else F.lit(True)
-
-    def add(kept: Column, url: Column) -> Column:
-        signature = image_signature(url)
-        known = F.exists(kept, lambda k: k["signature"] == signature)
-        entry = F.struct(signature.alias("signature"), url.alias("url"))
-        return F.when((full & (F.size(kept) >= (limit or 0))) | known, kept).otherwise(F.concat(kept, F.array(entry)))
-
-    return F.aggregate(F.array_distinct(found), nothing, add, lambda kept: kept["url"])
+    if by_signature:
+        # neighbours in the order of (signature, place): the first of each signature stays
+        entries = F.sort_array(F.transform(found, lambda url, i: F.struct(
+            image_signature(url).alias("signature"), i.alias("place"), url.alias("url"))))
+        before = F.concat(F.array(F.lit(None).cast("struct<signature:string,place:int,url:string>")), entries)
+        pairs = F.filter(F.arrays_zip(entries.alias("own"), before.alias("before")),
+                         lambda p: p["own"].isNotNull() & ~p["own"]["signature"].eqNullSafe(p["before"]["signature"]))
+        kept = F.sort_array(F.transform(pairs, lambda p: F.struct(p["own"]["place"].alias("place"), p["own"]["url"].alias("url"))))
+        found = F.transform(kept, lambda p: p["url"])
+    else:
+        found = F.array_distinct(found)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def page_images(html: Column) -> Column:
@@ -301,25 +302,38 @@ def category_labels(page_text: Column) -> Column:
 _VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
 
-def _first_element(after: Column) -> Column:
-    """The first element that starts in the text, up to its end tag. Closing tags before it are passed over."""
-    pieces = F.regexp_extract_all(after, F.lit(r"(?s)<!--.*?-->|<[^>]*>|[^<]+"), 0)
-    void = r"(?i)^<(?:" + "|".join(_VOID) + r")\b|/>$"
+_PIECE = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][A-Za-z0-9]*)[^>]*?(/?)>", re.S)
 
-    def step(at: Column, piece: Column) -> Column:
-        change = F.when(piece.rlike("(?i)^</[a-z]"), -1).when(piece.rlike("(?i)^<[a-z]") & ~piece.rlike(void), 1).otherwise(0)
-        i, inside, ended = at["i"] + 1, at["first"] > 0, at["last"] > 0
-        depth = F.when(inside, at["depth"] + change).otherwise(F.greatest(change, F.lit(0)))
-        return F.struct(
-            i.alias("i"), depth.alias("depth"),
-            F.when(inside | (change <= 0), at["first"]).otherwise(i).alias("first"),
-            F.when(~ended & inside & (depth == 0), i).otherwise(at["last"]).alias("last"),
-        )
 
-    start = F.struct(*[F.lit(0).alias(n) for n in ("i", "depth", "first", "last")])
-    place = F.aggregate(pieces, start, step)
-    end = F.when(place["last"] > 0, place["last"]).otherwise(place["i"])
-    return F.when(place["first"] > 0, F.array_join(F.slice(pieces, place["first"], end - place["first"] + 1), ""))
+def first_element(after: str | None) -> str | None:
+    """The first element that starts in the text, up to its end tag. Closing tags before it are passed over.
+
+    One pass over the tags with the depth of open elements; a text without the end tag is taken to its end.
+    """
+    start, depth = None, 0
+    for piece in _PIECE.finditer(after or ""):
+        closing, name, void = piece.groups()
+        if name is None or void or name.lower() in _VOID:
+            continue
+        if closing:
+            if start is None:
+                continue
+            depth -= 1
+            if depth == 0:
+                return after[start:piece.end()]
+        else:
+            start = piece.start() if start is None else start
+            depth += 1
+    return None if start is None else after[start:]
+
+
+def _first_elements(after: Column) -> Column:
+    # nesting is no regular language, and a fold over an array of tags is interpreted row by row
+    @F.pandas_udf("string")
+    def elements(texts: pd.Series) -> pd.Series:
+        return texts.map(first_element)
+
+    return elements(after)
 
 
 def page_section_labels(html: Column, longest: int | None = None) -> Column:
@@ -331,7 +345,7 @@ def page_section_labels(html: Column, longest: int | None = None) -> Column:
     """
     heading = re.escape(vocab.AMENITY_HEADING)
     after = F.regexp_extract(html, rf"(?is)<([a-z][a-z0-9]*)\b[^>]*>\s*{heading}\s*</\1\s*>(.*)$", 2)
-    scope = F.coalesce(_first_element(after), F.lit(""))
+    scope = F.coalesce(_first_elements(after), F.lit(""))
     icons = F.regexp_extract_all(scope, F.lit(r"(?is)(?:<[a-z][^>]*>\s*)?<img\b[^>]*>"), 0)
     shown = F.filter(icons, lambda i: ~F.regexp_extract(i, r"(?is)^(<(?!img)[^>]*>)?", 1).contains(vocab.AMENITY_DISABLED))
     alts = F.transform(shown, lambda i: text.unescape_html(text.strip(

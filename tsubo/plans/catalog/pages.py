@@ -191,11 +191,16 @@ def _(spark, d):
 
 @entry(
     "u4_distinct_images",
-    "SELECT order_key AS page_id, CASE WHEN order_key % 7 <> 0 THEN 2 ELSE 0 END AS n FROM raw_attributes",
+    """WITH p AS (SELECT order_key, 'https://realestate-pctr.c.yimg.jp/' || rpad(CAST(order_key AS VARCHAR), 110, 'a') AS picture FROM raw_attributes)
+       SELECT order_key AS page_id, unnest(range(2)) AS pos,
+              unnest([picture || rpad('one', 100, 'b') || repeat('x', 100), picture || rpad('two', 100, 'c')]) AS url
+       FROM p WHERE order_key % 7 <> 0""",
 )
 def _(spark, d):
     found = F.regexp_extract_all("html", F.lit(vocab.IMAGE_URL_PATTERN), 0)
-    return fx.detail_pages(spark, d).select("page_id", F.size(pages.distinct_images(found, by_signature=True)).alias("n"))
+    kept = pages.distinct_images(found, by_signature=True)
+    rows = fx.detail_pages(spark, d).select("page_id", F.posexplode(kept).alias("pos", "url"))
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @entry(

@@ -308,7 +308,8 @@ def raw_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One detail page per order, two thirds of them with a state block."""
-    rows = raw_texts(spark, folder)
+    # dealt out while the rows are narrow, so that a file with one row group is not one task of pages
+    rows = raw_texts(spark, folder).repartition("order_key")
     k = F.col("order_key")
     number = k.cast("string")
 
