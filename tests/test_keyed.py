@@ -53,6 +53,40 @@ def test_progress(requests, chunk):
     assert got == want
 
 
+def hot_hour(n=6000):
+    """A third of all rows in one hour of one key, half of those within two seconds."""
+    r = random.Random(11)
+    rows = [(1, START + timedelta(microseconds=r.choice([r.randrange(3_600_000_000), 10**9 + r.randrange(2_000_000)])), i) for i in range(n // 3)]
+    rows += [(r.randrange(2, 40), START + timedelta(seconds=r.randrange(40 * 86400)), i) for i in range(n // 3, n)]
+    return [(*row, r.random() < 0.5, 500) for row in rows]
+
+
+def test_a_hot_hour_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "HOT_ROWS", 50)
+    rows = spark.createDataFrame(hot_hour(), SCHEMA).repartition(4)
+    cut = keyed.chunked(rows, ["key"], F.date_trunc("hour", "ts"), "ts")
+    sizes = sorted(r["count"] for r in cut.groupBy("key", "_chunk").count().collect())
+    assert sum(sizes) == 6000 and sizes[-1] <= 6000 // 16
+    per_task = sorted(r["count"] for r in cut.repartition(4, "key", "_chunk").groupBy(F.spark_partition_id()).count().collect())
+    assert per_task[-1] <= 2 * per_task[len(per_task) // 2]
+    # chunks follow the order, so results are those of whole keys
+    whole = {r["id"]: r["n"] for r in rows.selectExpr("id", "row_number() OVER (PARTITION BY key ORDER BY ts, id) AS n").collect()}
+    assert {r["id"]: r["n"] for r in keyed.running(
+        rows, ["key"], ["ts", "id"], F.date_trunc("hour", "ts"), {"n": F.lit(1)}, at="ts").collect()} == whole
+    for function in (telemetry.progress, telemetry.recent_failure_rate, lambda f: telemetry.trailing_counts(f, {"hour": 3})):
+        with monkeypatch.context() as none:
+            none.setattr(keyed, "HOT_ROWS", 10**9)
+            plain = sorted(map(repr, function(rows).collect()))
+        assert sorted(map(repr, function(rows).collect())) == plain
+
+
+def test_rows_of_one_time_stay_together(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(1, START + timedelta(seconds=i // 90), i, True, 500) for i in range(95)] + [(1, START, 100, True, 500)], SCHEMA)
+    cut = keyed.chunked(rows, ["key"], F.date_trunc("hour", "ts"), "ts").groupBy("_chunk").agg(F.collect_set("ts").alias("t"), F.count("*").alias("n"))
+    assert sorted((len(r["t"]), r["n"]) for r in cut.collect()) == [(1, 5), (1, 91)]
+
+
 @pytest.mark.parametrize("block", [20, 23, 100_000])
 def test_recent_failure_rate(requests, block, monkeypatch):
     monkeypatch.setattr(telemetry, "ROWS_PER_BLOCK", block)

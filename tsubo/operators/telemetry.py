@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tsubo import vocab
 from tsubo.functions.attributes import plus_seconds
-from tsubo.operators.keyed import running
+from tsubo.operators.keyed import chunked, running
 
 # --- fixed values: trailing windows in seconds -----------------------------
 WINDOWS = {"minute": 60, "hour": 3600, "day": 86400}
@@ -42,6 +42,7 @@ def trailing_counts(
         F.date_trunc(chunk, "_at"),
         sums={f"last_{w}": F.col(f"_d_{w}") for w in windows},
         peers=True,
+        at="_at",
     )
     used = counted.filter(F.col("id").isNotNull())
     return used.select(
@@ -86,7 +87,7 @@ def progress(requests: DataFrame, chunk: str = "hour") -> DataFrame:
     failed = F.col("failed")
     inside = W.partitionBy(*part).orderBy("ts", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
     local = (
-        requests.withColumn("_chunk", F.date_trunc(chunk, "ts"))
+        chunked(requests, ["key"], F.date_trunc(chunk, "ts"), "ts")
         .withColumn("_n", F.count("*").over(inside))
         .withColumn("_f", F.count_if(failed).over(inside))
         .withColumn("_s", F.max(F.when(~failed, F.col("_n"))).over(inside))
@@ -132,7 +133,7 @@ def recent_failure_rate(requests: DataFrame, last: int = vocab.FAILURE_WINDOW, c
     """
     size = max(ROWS_PER_BLOCK, last)
     numbered = running(
-        requests, ["key"], ["ts", "id"], F.date_trunc(chunk, "ts"), sums={"n": F.lit(1).cast("bigint")}
+        requests, ["key"], ["ts", "id"], F.date_trunc(chunk, "ts"), sums={"n": F.lit(1).cast("bigint")}, at="ts"
     )
     block = F.floor((F.col("n") - 1) / size)
     tail = (F.col("n") - 1) % size >= size - (last - 1)
@@ -177,7 +178,7 @@ def block_state(
     numbered, everything is one aggregate with a map-side combine.
     """
     ordered = running(
-        requests, ["key"], ["ts", "id"], F.date_trunc(chunk, "ts"), sums={"n": F.lit(1).cast("bigint")}
+        requests, ["key"], ["ts", "id"], F.date_trunc(chunk, "ts"), sums={"n": F.lit(1).cast("bigint")}, at="ts"
     )
     failed = F.col("failed")
     blocking = failed & F.col("status_code").isin(vocab.STREAK_BLOCK_CODES)
