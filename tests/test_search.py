@@ -1,6 +1,7 @@
 """Options, cursors, pages, facets and keyword search."""
 
 import base64
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -154,6 +155,48 @@ def test_keyword_search_ranks(spark):
     assert len(hits(spark, texts, " ")) == 4
 
 
+def test_near_words_are_those_by_edit_distance(spark, monkeypatch):
+    rng = random.Random(2)
+    tokens = ["house", "apartment", "stations", "été12", "abcdefghij"]
+
+    def changed(word):
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(word) + 1)
+            word = rng.choice([word[:i] + word[i + 1:], word[:i] + "x" + word[i:], word[:i] + "é" + word[i + 1:]])
+        return word
+
+    texts = sorted({changed(t) for t in tokens for _ in range(120)} | {"", "a"})
+    words = textsearch.vocabulary(spark.createDataFrame([(t, None) for t in texts], "a string, b string"), ["a", "b"])
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {(t, w) for t in tokens for w in texts if w and 0 < distance(t, w) <= textsearch.allowed_edits(t)}
+    found = [tuple(r) for r in textsearch.near_words(words, tokens).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    # beyond the number of words that are listed, rows are measured; a kept vocabulary gives the same
+    rows = spark.createDataFrame([(i, f"the {t}, now") for i, t in enumerate(texts)], "id int, a string")
+    query = " ".join(tokens)
+    listed = sorted(map(tuple, textsearch.scored(rows, query, ["a"], typos=True).collect()))
+    assert listed == sorted(map(tuple, textsearch.scored(rows, query, ["a"], typos=True, words=words).collect()))
+    monkeypatch.setattr(textsearch, "FEW_WORDS", 3)
+    assert listed == sorted(map(tuple, textsearch.scored(rows, query, ["a"], typos=True).collect()))
+    monkeypatch.setattr(textsearch, "LISTED_WORDS", 3)
+    assert listed == sorted(map(tuple, textsearch.scored(rows, query, ["a"], typos=True).collect()))
+
+
+def test_no_edit_distance_over_rows(spark):
+    rows = spark.createDataFrame([(1, "a large hause")], "id int, a string")
+    found = textsearch.scored(rows, "house", ["a"], typos=True)
+    assert [r["id"] for r in found.collect()] == [1]
+    assert "levenshtein" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_typos_by_length(spark):
     texts = [("house", ""), ("hause", ""), ("heuse2", ""), ("apartments", ""), ("apartmant", ""), ("blue", ""), ("blau", "")]
     found = {i for i, *_ in hits(spark, texts, "house", typos=True)}

@@ -36,6 +36,51 @@ def allowed_edits(token: str) -> int:
     return next((edits for length, edits in TYPO_LENGTHS if len(token) >= length), 0)
 
 
+def vocabulary(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(word): the distinct lower-case words of the fields, combined before the shuffle."""
+    text = F.lower(F.concat_ws(" ", *[F.col(f).cast("string") for f in fields]))
+    words = df.select(F.explode(F.array_distinct(F.split(text, _NOT_WORD))).alias("word"))
+    return words.filter(F.col("word") != "").distinct()
+
+
+def _deletions(word: Column, edits: int) -> Column:
+    """The word and all that is left of it after up to `edits` deletions of a letter."""
+    def shorter(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.left(w, i - 1), F.substr(w, i + 1)))
+
+    found = F.array(word)
+    for _ in range(edits):
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, shorter))))
+    return found
+
+
+def _left_after_deletions(word: str, edits: int) -> set[str]:
+    found = {word}
+    for _ in range(edits):
+        found |= {w[:i] + w[i + 1:] for w in found for i in range(len(w))}
+    return found
+
+
+def near_words(words: DataFrame, tokens: list[str]) -> DataFrame:
+    """(token, word): other words few enough edits away from a token.
+
+    Two words k edits apart have something in common after k deletions in each, so candidates meet by
+    equality of what is left, and only they are measured. Words of unlike length are dropped first.
+    """
+    keys = [(t, allowed_edits(t), k) for t in tokens for k in _left_after_deletions(t, allowed_edits(t))]
+    keyed = F.broadcast(words.sparkSession.createDataFrame(keys, "token string, edits int, _left string"))  # a few dozen rows a token
+
+    def alike(edits: int) -> Column:
+        near = [F.length("word").between(len(t) - edits, len(t) + edits) for t in tokens if allowed_edits(t) == edits]
+        return functools.reduce(lambda a, b: a | b, near, F.lit(False))
+
+    most = sorted({allowed_edits(t) for t in tokens}, reverse=True)
+    left = functools.reduce(lambda c, e: c.when(alike(e), _deletions(F.col("word"), e)), most, F)
+    some = words.filter(functools.reduce(lambda a, b: a | b, [alike(e) for e in most]))
+    met = some.select("word", F.explode(left).alias("_left")).join(keyed, "_left").select("token", "edits", "word").distinct()
+    return met.filter((F.levenshtein("word", "token") <= F.col("edits")) & (F.col("word") != F.col("token"))).select("token", "word")
+
+
 def _near(words: str, token: str) -> Column:
     """Some word of the array is few enough edits away from the token."""
     edits = allowed_edits(token)
@@ -47,8 +92,21 @@ def _near(words: str, token: str) -> Column:
     return F.exists(words, near)
 
 
+# near words beyond these numbers are looked up in the words of a row, or not listed, and the rows are measured
+FEW_WORDS = 48
+LISTED_WORDS = 10_000
+
+
+def _listed_near(df: DataFrame, fields: list[str], tokens: list[str], words: DataFrame | None) -> dict[str, list[str]] | None:
+    words = vocabulary(df, fields) if words is None else words
+    found = near_words(words, tokens).limit(LISTED_WORDS + 1).collect()
+    if len(found) > LISTED_WORDS:
+        return None
+    return {t: sorted(r["word"] for r in found if r["token"] == t) for t in tokens}
+
+
 def scored(
-    df: DataFrame, query: str, fields: list[str], typos: bool = False, prefix_last: bool = False
+    df: DataFrame, query: str, fields: list[str], typos: bool = False, prefix_last: bool = False, words: DataFrame | None = None
 ) -> DataFrame:
     """Rows that match a word of the query, with score and best_rank.
 
@@ -56,6 +114,8 @@ def scored(
     position of the most important field with a hit, 1 being the first.
     Everything is a row-wise expression, so a search is one scan without a
     shuffle. An empty query keeps every row.
+    With typos, the near words are looked up first in the distinct words of the rows, or in `words`, a
+    kept vocabulary that covers them.
     """
     tokens = query_tokens(query)
     if not tokens:
@@ -63,13 +123,19 @@ def scored(
     texts = {f"_text_{i}": F.lower(F.coalesce(F.col(f), F.lit(""))) for i, f in enumerate(fields)}
     marked = df.withColumns(texts)
     fuzzy = [t for t in tokens if typos and allowed_edits(t)]
-    if fuzzy:
+    near = _listed_near(df, fields, fuzzy, words) if fuzzy else {}
+    few = near is not None and all(len(words) <= FEW_WORDS for words in near.values())
+    if not few:
         distinct_words = {f"_words_{i}": F.array_distinct(F.split(f"_text_{i}", _NOT_WORD)) for i in range(len(fields))}
         marked = marked.withColumns(distinct_words)
 
     def hit(i: int, token: str) -> Column:
         exact = _exact(F.col(f"_text_{i}"), token, prefix_last and token == tokens[-1])
-        return exact | _near(f"_words_{i}", token) if token in fuzzy else exact
+        if token not in fuzzy or (near is not None and not near[token]):
+            return exact
+        if few:
+            return functools.reduce(lambda a, w: a | _exact(F.col(f"_text_{i}"), w, False), near[token], exact)
+        return exact | (_near(f"_words_{i}", token) if near is None else F.exists(f"_words_{i}", lambda w: w.isin(near[token])))
 
     flags = {f"_hit_{i}_{j}": hit(i, t) for i in range(len(fields)) for j, t in enumerate(tokens)}
     marked = marked.withColumns(flags).drop(*texts)
