@@ -4,9 +4,9 @@ Every document is a set of distinct runs of `width` words. Equal sets are one cl
 are ordered rare first, by a frequency sketch of all documents (a table of fixed size that is summed over
 all tasks). Two sets as similar as asked for share an n-gram among their first |x| - ceil(t |x|) + 1
 (prefix filter). Sets that share one are compared by size (length filter), by how many n-grams
-stand before the shared one in either (positional filter), and by counts of n-grams per hash range, whose
-distance bounds that of the sets from below (suffix filter). What is left is verified once per
-pair, on the whole sets.
+stand before the shared one in either (positional filter), and by one bit per hash range, odd or even number
+of n-grams: sets differ in at least as many n-grams as bits (suffix filter). What is left is verified
+once per pair, on the whole sets.
 
 Dense groups: first every set is verified only against the most ordinary set (fewest n-grams of its own)
 among those that share an n-gram with it. That links large groups of copies with as many pairs as
@@ -37,7 +37,12 @@ SKETCH_BITS = 22
 SKETCH_PARTS = 64
 BLOCK = 256
 PARTNERS = 64
-RANGE_BITS = 6
+RANGES_PER_PERCENT = 51.2  # hash ranges for each percent by which similar sets may differ; 512 at 90, 1024 at 80
+
+
+def ranges_of(percent: int) -> int:
+    """Number of hash ranges, a power of two from 64 on."""
+    return 1 << max(6, round(np.log2(max(1, 100 - percent) * RANGES_PER_PERCENT)))
 
 
 def shingles(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
@@ -92,8 +97,10 @@ def rarity(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, set_key, prefix (8-byte keys, rare first) and counts per hash range (ranges)."""
+    """doc_id, n_shingles, set_key, prefix (8-byte keys, rare first) and a bit per hash range (ranges)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
+    n_ranges = ranges_of(percent)
+    shift = np.uint64(65 - n_ranges.bit_length())
 
     def run(batches):
         import xxhash
@@ -113,7 +120,8 @@ def document_sets(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, perce
                     order = np.partition(order, first - 1)[:first]
                 order.sort()
                 prefixes.append(order.tobytes())
-                ranges.append(np.minimum(np.bincount((found >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS), 255).astype(np.uint8).tobytes())
+                counts = np.bincount((found >> shift).astype(np.int64), minlength=n_ranges)
+                ranges.append(np.packbits((counts & 1).astype(bool)).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.binary()),
                  pa.array(ranges, pa.binary())], names=["doc_id", "n_shingles", "set_key", "prefix", "ranges"])
@@ -122,8 +130,10 @@ def document_sets(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, perce
         run, "doc_id bigint, n_shingles bigint, set_key binary, prefix binary, ranges binary")
 
 
-_RANGES = [f"r{i}" for i in range((1 << RANGE_BITS) // 8)]  # eight counts of one byte each
-_POST = ", ".join(["token bigint, doc bigint, size int, place int, own int, first bigint, second bigint", *[f"{r} bigint" for r in _RANGES]])
+def _post(percent: int) -> str:
+    """Columns of a posting row; its last ones hold 64 bits each."""
+    words = [f"r{i} bigint" for i in range(ranges_of(percent) // 64)]
+    return ", ".join(["token bigint, doc bigint, size int, place int, own int, first bigint, second bigint", *words])
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
@@ -134,10 +144,11 @@ def _tokens(classes: DataFrame) -> DataFrame:
     return classes.select("prefix").mapInArrow(run, "token bigint")
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row per class and prefix n-gram that other classes have too (or seem to, by the filter)."""
     many = _tokens(classes).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     filled = classes.sparkSession.sparkContext.broadcast(bloom(many, "token"))  # 8 MB
+    schema = _post(percent)
 
     def run(batches):
         for batch in batches:
@@ -154,9 +165,9 @@ def postings(classes: DataFrame) -> DataFrame:
                                   *[np.full(n, x) for x in r]))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)],
-                                                 names=[c.split()[0] for c in _POST.split(", ")])
+                                                 names=[c.split()[0] for c in schema.split(", ")])
 
-    return classes.select("rep", F.col("n_shingles").cast("int"), "prefix", "ranges").mapInArrow(run, _POST)
+    return classes.select("rep", F.col("n_shingles").cast("int"), "prefix", "ranges").mapInArrow(run, schema)
 
 
 class _Rows:
@@ -165,7 +176,8 @@ class _Rows:
     def __init__(self, batch, extra: tuple[str, ...] = ()):
         get = lambda n: batch.column(n).to_numpy(zero_copy_only=False)
         self.doc, self.size, self.place = get("doc"), get("size").astype(np.int64), get("place").astype(np.int64)
-        self.ranges = np.stack([get(r) for r in _RANGES], axis=1).copy().view(np.uint8).astype(np.int16)
+        words = [n for n in batch.schema.names if n[0] == "r" and n[1:].isdigit()]
+        self.ranges = np.stack([get(n) for n in words], axis=1).view(np.uint64)
         self.extra = {n: get(n) for n in extra}
 
     def near(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -176,11 +188,10 @@ class _Rows:
         ok = (100 * small >= percent * large) & (self.place[i] + self.place[j] <= apart) & (self.doc[i] != self.doc[j])
         at = np.flatnonzero(ok)
         if len(at):
-            distance = np.abs(self.ranges[i[at]] - self.ranges[j[at]]).sum(axis=1)
+            distance = np.bitwise_count(self.ranges[i[at]] ^ self.ranges[j[at]]).sum(axis=1, dtype=np.int64)
             ok[at] = distance <= apart[at]
         return ok
 
-
     def seen(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which pairs meet at an earlier n-gram too, as far as the first two of each tell."""
         token, first, second = (self.extra[n].view(np.uint64) for n in ("token", "first", "second"))
@@ -238,7 +249,9 @@ def star_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
             pairs = np.unique(np.stack([data.doc[first[ok]], data.doc[i[ok]]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "own", "doc").mapInArrow(run, "a bigint, b bigint").distinct()
+    found = dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "own", "doc").mapInArrow(run, "a bigint, b bigint")
+    # two classes that are each the other's centre somewhere are one pair
+    return found.groupBy(F.least("a", "b"), F.greatest("a", "b")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
 
 
 def remaining_pairs(rows: DataFrame, parts_of: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -319,11 +332,14 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     heads = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     classes = stored(usable.join(heads.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(
         ["set_key"]).withColumnRenamed("doc_id", "rep"), "ngram-classes")
-    rows = stored(postings(classes), "ngram-postings")
+    rows = stored(postings(classes, percent), "ngram-postings")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc"), text_bytes("text").alias("text"))
-    links = stored(verified(star_pairs(rows, percent, block), texts, width, percent), "ngram-links")
+    tried = stored(star_pairs(rows, percent, block), "ngram-stars")
+    links = stored(verified(tried, texts, width, percent), "ngram-links")
     parts_of = components(links, "ngram-parts")
-    more = stored(verified(remaining_pairs(rows, parts_of, percent, block), texts, width, percent), "ngram-links")
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = remaining_pairs(rows, parts_of, percent, block).join(known, ["a", "b"], "left_anti")
+    more = stored(verified(rest, texts, width, percent), "ngram-links")
     found = components(links.unionByName(more), "ngram-parts")
     state = heads.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id"))
@@ -342,7 +358,7 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: in
         F.min("doc_id").alias("rep"), F.count("*").alias("members")), "ngram-heads")
     classes = stored(usable.join(heads.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(
         ["set_key"]).withColumnRenamed("doc_id", "rep"), "ngram-classes")
-    rows = stored(postings(classes), "ngram-postings")
+    rows = stored(postings(classes, percent), "ngram-postings")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc"), text_bytes("text").alias("text"))
     apart = docs.sparkSession.createDataFrame([], "node bigint, component bigint")  # every class is its own part, so no pair is skipped
     found = stored(verified(remaining_pairs(rows, apart, percent, block), texts, width, percent).distinct(), "ngram-links")
