@@ -37,12 +37,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays: the one with the smallest id. Null ids stay."""
+    """One document of each group of similar ones stays: the one with the smallest id. Null ids stay.
+
+    Rows that repeat an id and its text are one document, of which the row with the smallest lang, source and n_chars
+    stays; rows that repeat an id with different texts all stay with it.
+    """
     _ready(spark)
     groups = ngrams.similar_documents(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     docs = docs.select(*COLUMNS)
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    kept = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id", F.sha2("text", 256).alias("_digest")).agg(
+        F.min(F.struct("lang", "source", "n_chars", "text")).alias("_row")).select("doc_id", "_row.*").select(*COLUMNS)
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +60,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it."""
+    """Each document comes as often as the mix takes it; one without words comes once at most."""
     _ready(spark)
-    taken = mixing.mix(docs, carry=("text", "lang", "n_chars")).where("times > 0")
+    taken = mixing.mix(docs, carry=("text", "lang", "n_chars")).where("times > 0").withColumn(
+        "times", F.when(F.col("size") == 0, F.lit(1).cast("int")).otherwise(F.col("times").cast("int")))
     return taken.withColumn("_again", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 
