@@ -267,4 +267,5 @@ def archive_round_trip(captures: DataFrame) -> DataFrame:
     rows = with_revisits(captures.withColumn("payload", F.coalesce("payload", F.lit(""))))
     index = stored(write_archives(rows, folder), "warc-index")
     history = merged_history(index).select("file", "offset", "url_key", "capture_time", "history_range", "history_place")
-    return read_archives(index, folder).join(history, ["file", "offset"])
+    # the list of files under the records is small, so their size would be estimated far too low for a broadcast
+    return read_archives(index, folder).hint("merge").join(history.hint("merge"), ["file", "offset"])
