@@ -37,12 +37,12 @@ SKETCH_BITS = 22
 SKETCH_PARTS = 64
 BLOCK = 256
 PARTNERS = 64
-RANGES_PER_PERCENT = 51.2  # hash ranges for each percent by which similar sets may differ; 512 at 90, 1024 at 80
+RANGES = 2.56  # hash ranges by the square of the percent by which similar sets may differ: 256 at 90, 1024 at 80
 
 
 def ranges_of(percent: int) -> int:
     """Number of hash ranges, a power of two from 64 on."""
-    return 1 << max(6, round(np.log2(max(1, 100 - percent) * RANGES_PER_PERCENT)))
+    return 1 << min(10, max(6, round(float(np.log2(RANGES * max(1, 100 - percent) ** 2)))))
 
 
 def shingles(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
