@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.data import DOC, documents, jaccard_groups, sentence, shingle_set, substring_cuts
 from tsubo.llm import fingerprint, langid, mixing, ngrams, packing, pii, substrings
+from tsubo.llm.common import words_of
 from tsubo.llm.common import components, stored
 from tsubo.llm.queries import tokenizer_path
 
@@ -99,6 +100,19 @@ def test_removal_against_brute_force(docs, rows, width, anchor):
     assert by_id(substrings.without_repeats(docs, width, anchor), "n_words", "n_removed", "kept_sha256") == expected
 
 
+def test_words_of_texts_against_split():
+    rng = random.Random(1)
+    for _ in range(200):
+        texts = [bytes(rng.choice(b"ab \t\n\x0b\x1c\xc3") for _ in range(rng.choice([0, 1, 5, 50, 400]))) for _ in range(rng.randrange(6))]
+        texts.append(b"x" * rng.choice([0, 63, 64, 65, 200]) + b" y")
+        hashes, n = words_of(texts)
+        flat = [w for t in texts for w in t.split()]
+        assert n.tolist() == [len(t.split()) for t in texts]
+        assert len(set(flat)) == len(set(hashes.tolist())) == len(set(zip(flat, hashes.tolist())))
+    hashes, n = words_of([b"ab c " * 500_000 + b"z" * 2_000_000 + b" ab", b"c ab"])  # more than one piece is summed
+    assert n.tolist() == [1_000_002, 2] and hashes[0] == hashes[-1] == hashes[-3] and hashes[1] == hashes[-2]
+
+
 def test_removal_with_a_full_filter(docs, rows, monkeypatch):
     """A filter that lets everything pass changes nothing."""
     monkeypatch.setattr(substrings, "bloom", lambda *a, **k: np.full(1 << 20, np.uint64(2**64 - 1)))

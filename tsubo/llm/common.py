@@ -103,6 +103,76 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         return mix(total)
 
 
+_STEP = 0xD6E8FEB86659FD93
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
+_grown: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """At least n powers of a base; a worker keeps the longest table it needed."""
+    if len(_grown.get(base, ())) < n:
+        powers = np.full(1 << n.bit_length(), base, np.uint64)
+        powers[0] = 1
+        _grown[base] = np.cumprod(powers, dtype=np.uint64)
+    return _grown[base]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_BYTES = mix(np.arange(256, dtype=np.uint64))
+_SHORT = 64
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and the number of words of each text.
+
+    A word's hash is a difference of two prefix sums over its bytes; words of more than 64 bytes are hashed one
+    by one, as long runs can be made to collide in such sums. At most a megabyte is summed at a time.
+    """
+    import xxhash
+
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = np.ones(len(data) + 1, bool)
+    np.take(_SPACE, data, out=space[1:])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    begin, end = edges[::2], edges[1::2]
+    hashes = np.empty(len(begin), np.uint64)
+    long = np.flatnonzero(end - begin > _SHORT)
+    done = 0
+    while done < len(begin):
+        base = begin[done]
+        upto = max(int(np.searchsorted(end, base + (1 << 20), "right")), done + 1)
+        first, last = begin[done:upto] - base, np.minimum(end[done:upto], begin[done:upto] + _SHORT) - base
+        sums = Windows(_BYTES[data[base:base + last[-1]]])
+        hashes[done:upto] = mix(sums.between(first, last) + (last - first).astype(np.uint64))
+        done = upto
+    for i in long.tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[begin[i]:end[i]].tobytes())
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return hashes, np.diff(np.searchsorted(begin, np.r_[0, ends]))
+
+
+class Windows:
+    """Hashes of runs of words at any place and width, from one prefix sum; equal runs have equal hashes."""
+
+    def __init__(self, words: np.ndarray):
+        self.up, down = (_powers(base, len(words) + 1) for base in (_STEP, _BACK))
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * down[:len(words)], out=self.sums[1:])
+
+    def between(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[first]) * self.up[first]
+
+    def at(self, places: np.ndarray, width: int) -> np.ndarray:
+        return mix(self.between(places, places + width))
+
+    def every(self, width: int) -> np.ndarray:
+        n = max(len(self.sums) - width, 0)
+        return mix((self.sums[width:] - self.sums[:n]) * self.up[:n])
+
+
 # ------------------------------------------------------------------ connected components
 def local_forest(pairs: np.ndarray) -> np.ndarray:
     """Pairs (node, smallest node of its part) of the graph in one batch; as many as nodes at most."""

@@ -21,6 +21,7 @@ columns are kept out of the result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -28,39 +29,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsubo.llm.common import WordHashes, mix, stored, text_bytes, window_hashes, word_hashes
+from tsubo.llm.common import Windows, mix, stored, text_bytes, words_of
 
 WIDTH = 13
 ANCHOR = 7
+CHUNK = 1 << 18  # bytes hashed together
 FILTER_BITS = 26
 _SHIFT = 22  # the second place of a value in the filter; values have 48 bits
 _LOW = np.uint64((1 << 48) - 1)
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
-def _anchors(short: np.ndarray, span: int) -> np.ndarray:
-    """For every run of `span` short runs the place of the smallest (the first of equals)."""
-    best = np.arange(len(short) - span + 1)
-    least = short[:len(best)].copy()
-    for i in range(1, span):
-        here = short[i:i + len(best)]
-        smaller = here < least
-        least[smaller] = here[smaller]
-        best[smaller] = np.flatnonzero(smaller) + i
-    return best
+class _Chunk:
+    """The paths of some texts, laid back to back: runs of edges with one anchor place, none across two texts."""
+
+    def __init__(self, ids: list, texts: list[bytes], width: int, anchor: int):
+        self.width = width
+        self.own, lengths = words_of(texts)
+        self.windows = Windows(self.own)
+        ends = np.cumsum(lengths)
+        text = np.repeat(np.arange(len(texts)), lengths)
+        short = self.windows.every(anchor)
+        span = width - anchor + 1
+        least, have = short, 1  # smallest of `have` short runs from a place on
+        while have < span and len(least):
+            step = min(have, span - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        n = len(least)
+        whole = np.arange(n) + width <= ends[text[:n]]  # places whose edge lies in one text
+        new = np.ones(n, bool)
+        # the leftmost smallest run stays the same place unless its value changes or it was the first one
+        new[1:] = (least[1:] != least[:-1]) | (short[:n - 1] == least[:-1]) | (whole[1:] != whole[:-1]) | (text[1:n] != text[:n - 1])
+        first = np.flatnonzero(new)
+        kept = whole[first]
+        self.edges = np.diff(np.r_[first, n])[kept]
+        self.first = first[kept]
+        self.anchors = least[self.first] & _LOW
+        self.text = text[self.first]
+        self.starts = (ends - lengths)[self.text]
+        self.ids = np.array(ids, np.int64)[self.text]
+
+    @functools.cached_property
+    def second(self) -> Windows:
+        return Windows(mix(self.own ^ _SALT))
+
+    def edge(self, places: np.ndarray) -> np.ndarray:
+        return self.windows.at(places, self.width)
+
+    def check(self, places: np.ndarray) -> np.ndarray:
+        return self.second.at(places, self.width)
+
+    def of(self, edge, k: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Hashes of the paths k: a path is shorter than two edges, so its first and last edge are all of it."""
+        first, n = self.first[k], self.edges[k]
+        return mix(mix(edge(first)) ^ (edge(first + n - 1) + n.astype(np.uint64)))
+
+
+def _chunks(ids, texts: list[bytes], width: int, anchor: int):
+    """Whole texts in chunks of about CHUNK bytes; a longer text is a chunk of its own."""
+    some, held, size = [], [], 0
+    for doc_id, text in zip(ids, texts):
+        some.append(doc_id)
+        held.append(text)
+        size += len(text)
+        if size >= CHUNK:
+            yield _Chunk(some, held, width, anchor)
+            some, held, size = [], [], 0
+    if some:
+        yield _Chunk(some, held, width, anchor)
 
 
 def shared_anchors(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
     """Anchors (hashes) that more than one document has."""
     def run(batches):
-        hashes = word_hashes()
         for batch in batches:
             found = []
-            for text in batch.column(0).to_pylist():
-                words = text.split()
-                if len(words) >= width:
-                    short = window_hashes(hashes(words), anchor)
-                    found.append(np.unique(short[np.unique(_anchors(short, width - anchor + 1))] & _LOW))
+            texts = batch.column(0).to_pylist()
+            for chunk in _chunks(range(len(texts)), texts, width, anchor):
+                order = np.argsort(chunk.anchors, kind="stable")  # equal anchors stay in the order of the texts
+                value, text = chunk.anchors[order], chunk.text[order]
+                found.append(value[np.r_[True, (value[1:] != value[:-1]) | (text[1:] != text[:-1])]])
             values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(values)], names=["anchor"])
 
@@ -88,29 +137,6 @@ def in_bloom(table: np.ndarray, hashes: np.ndarray, bits: int = FILTER_BITS) ->
     return found
 
 
-class _Paths:
-    """The paths of a text: runs of edges with one anchor place."""
-
-    def __init__(self, words: list[bytes], hashes: WordHashes, width: int, anchor: int):
-        own = hashes(words)
-        short = window_hashes(own, anchor)
-        at = _anchors(short, width - anchor + 1)
-        self.first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        self.edges = np.diff(np.r_[self.first, len(at)])
-        self.anchors = short[at[self.first]] & _LOW
-        self.edge = window_hashes(own, width)
-        self.own = own
-        self.width = width
-
-    def checks(self) -> np.ndarray:
-        return window_hashes(mix(self.own ^ _SALT), self.width)
-
-    def of(self, edge: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Hashes of the paths k: a path is shorter than two edges, so its first and last edge are all of it."""
-        first, n = self.first[k], self.edges[k]
-        return mix(mix(edge[first]) ^ (edge[first + n - 1] + n.astype(np.uint64)))
-
-
 def _batch(columns: list[list[np.ndarray]], names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate(c).astype(t) if c else np.empty(0, t)) for c, t in zip(columns, kinds)], names=names)
@@ -122,20 +148,14 @@ def paths(docs: DataFrame, shared: np.ndarray, width: int = WIDTH, anchor: int =
     names = ["anchor", "path", "check", "doc_id", "place", "edges"]
 
     def run(batches):
-        hashes = word_hashes()
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = text.split()
-                if len(words) < width:
-                    continue
-                found = _Paths(words, hashes, width, anchor)
-                k = np.flatnonzero(in_bloom(filled.value, found.anchors))
-                if len(k):
-                    row = (found.anchors[k], found.of(found.edge, k), found.of(found.checks(), k) >> np.uint64(33),
-                           np.full(len(k), doc_id, np.int64), found.first[k], found.edges[k])
-                    for column, values in zip(out, row):
-                        column.append(values)
+            for chunk in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), width, anchor):
+                k = np.flatnonzero(in_bloom(filled.value, chunk.anchors))
+                row = (chunk.anchors[k], chunk.of(chunk.edge, k), chunk.of(chunk.check, k) >> np.uint64(33),
+                       chunk.ids[k], chunk.first[k] - chunk.starts[k], chunk.edges[k])
+                for column, values in zip(out, row):
+                    column.append(values)
             yield _batch(out, names, [np.int64, np.int64, np.int32, np.int64, np.int32, np.int32])
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), text_bytes("text")).mapInArrow(
@@ -161,23 +181,18 @@ def branching_edges(docs: DataFrame, firsts: DataFrame, width: int = WIDTH, anch
     names = ["path", "check", "doc_id", "place", "edges"]
 
     def run(batches):
-        hashes = word_hashes()
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in names]
             ids = batch.column(0).to_numpy()
             batch = batch.filter(pa.array(in_bloom(filled.value, _occurrence(np.zeros(len(ids), np.uint64), ids))))
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = text.split()
-                if len(words) < width:
-                    continue
-                found = _Paths(words, hashes, width, anchor)
-                every = np.arange(len(found.first))
-                k = np.flatnonzero(in_bloom(filled.value, _occurrence(found.of(found.edge, every), np.full(len(every), doc_id))))
-                if len(k):
-                    at = np.concatenate([np.arange(a, a + n) for a, n in zip(found.first[k].tolist(), found.edges[k].tolist())])
-                    row = (found.edge[at], found.checks()[at] >> np.uint64(33), np.full(len(at), doc_id, np.int64), at, np.ones(len(at)))
-                    for column, values in zip(out, row):
-                        column.append(values)
+            for chunk in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), width, anchor):
+                k = np.flatnonzero(in_bloom(filled.value, _occurrence(chunk.of(chunk.edge), chunk.ids)))
+                n = chunk.edges[k]
+                at = np.repeat(chunk.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())  # every place of these paths
+                row = (chunk.edge(at), chunk.check(at) >> np.uint64(33), np.repeat(chunk.ids[k], n),
+                       at - np.repeat(chunk.starts[k], n), np.ones(len(at)))
+                for column, values in zip(out, row):
+                    column.append(values)
             yield _batch(out, names, [np.int64, np.int32, np.int64, np.int32, np.int32])
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), text_bytes("text")).mapInArrow(
