@@ -67,42 +67,6 @@ def mix(values: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit word hashes with a bounded cache; the same word has the same value in every task."""
-
-    def __init__(self, room: int = 300_000):
-        self.room, self.known = room, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > self.room:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh3_64_intdigest(word)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-@functools.lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    """One per worker process, so that the tasks of a worker share what it knows."""
-    return WordHashes()
-
-
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every run of `width` words; equal runs have equal hashes."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    multiplier = np.uint64(0xD6E8FEB86659FD93)
-    with np.errstate(over="ignore"):
-        for i in range(width):
-            total = total * multiplier + words[i:i + n]
-        return mix(total)
-
-
 _STEP = 0xD6E8FEB86659FD93
 _BACK = pow(_STEP, -1, 1 << 64)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsubo.llm.common import WordHashes, components, stored, text_bytes, window_hashes, word_hashes
+from tsubo.llm.common import Windows, components, stored, text_bytes, words_of
 from tsubo.llm.substrings import bloom, in_bloom
 
 WIDTH = 3
@@ -37,6 +37,7 @@ SKETCH_BITS = 22
 SKETCH_PARTS = 64
 BLOCK = 256
 PARTNERS = 64
+CHUNK = 1 << 18  # bytes hashed together
 RANGES = 2.56  # hash ranges by the square of the percent by which similar sets may differ: 256 at 90, 1024 at 80
 
 
@@ -45,12 +46,25 @@ def ranges_of(percent: int) -> int:
     return 1 << min(10, max(6, round(float(np.log2(RANGES * max(1, 100 - percent) ** 2)))))
 
 
-def shingles(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct n-grams of the lower-cased (A-Z) text."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(window_hashes(hashes(words), min(width, len(words))))
+def shingles(texts: list[bytes], width: int):
+    """For each text the sorted hashes of the distinct n-grams of its lower-cased (A-Z) words; hashed in chunks of whole texts."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size < CHUNK:
+            size += len(texts[end])
+            end += 1
+        words, lengths = words_of([text.lower() for text in texts[at:end]])
+        windows = Windows(words)
+        every = windows.every(width)
+        start = 0
+        for n in lengths.tolist():
+            if n >= width:
+                yield np.unique(every[start:start + n - width + 1])
+            else:
+                yield windows.at(np.full(min(n, 1), start), n)
+            start += n
+        at = end
 
 
 def rarity(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
@@ -58,15 +72,14 @@ def rarity(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     size, step = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_PARTS
 
     def count(batches):
-        hashes, total, waiting, n = word_hashes(), np.zeros(size, np.uint32), [], 0
+        total, waiting, n = np.zeros(size, np.uint32), [], 0
         mask = np.uint64(size - 1)
 
         def flush():
             np.add(total, np.bincount(np.concatenate(waiting), minlength=size).astype(np.uint32), out=total)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, width, hashes)
+            for found in shingles(batch.column(0).to_pylist(), width):
                 waiting.append((found & mask).astype(np.int64))
                 n += len(found)
                 if n > 2_000_000:
@@ -105,11 +118,10 @@ def document_sets(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, perce
     def run(batches):
         import xxhash
 
-        hashes, mask = word_hashes(), np.uint64((1 << SKETCH_BITS) - 1)
+        mask = np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
             sizes, keys, prefixes, ranges = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingles(text, width, hashes)
+            for found in shingles(batch.column(1).to_pylist(), width):
                 n = len(found)
                 sizes.append(n)
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if n else None)
@@ -306,11 +318,11 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, partne
     right = grouped.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "part", "b", "text")
 
     def run(batches):
-        hashes, mine, key = word_hashes(), [], None
+        mine, key = [], None
         for batch in batches:
             out = []
-            for a, part, b, text in zip(*(batch.column(n).to_pylist() for n in ("a", "part", "b", "text"))):
-                found = shingles(text, width, hashes)
+            columns = [batch.column(n).to_pylist() for n in ("a", "part", "b")]
+            for a, part, b, found in zip(*columns, shingles(batch.column("text").to_pylist(), width)):
                 if b is None:
                     mine, key = [*mine, found] if key == (a, part) else [found], (a, part)  # an id may repeat
                     continue
