@@ -142,9 +142,9 @@ def brute_force(vectors, least=0.95):
         v = np.array(v, float) / np.abs(np.array(v, float)).max()
         return v / np.linalg.norm(v)
 
-    x = {i: unit(v) for i, v in vectors if v is not None and len(v) == 8
+    x = {i: unit(v) for i, v in vectors if v is not None
          and not any(c is None for c in v) and np.isfinite(np.array(v, float)).all() and any(v)}
-    links = [(a, b) for a in x for b in x if a < b and x[a] @ x[b] >= least]
+    links = [(a, b) for a in x for b in x if a < b and len(x[a]) == len(x[b]) and x[a] @ x[b] >= least]
     parts = grouped(links, [i for i, _ in vectors])
     return {i: (sum(i in pair for pair in links), parts[i], parts[i] == i) for i, _ in vectors}
 
@@ -166,6 +166,23 @@ def test_vectors_against_brute_force(spark, block):
     assert found == brute_force(rows)
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_vectors_of_several_lengths(spark, block):
+    """Every length has its links, also one that the sample of directions does not hold."""
+    rng = np.random.default_rng(5)
+    vectors = [[1.0, 0.0], [1.0, 0.0], [2.0, 0.1], [0.0, 1.0]]
+    for width in (1, 3, 9):
+        for _ in range(6):
+            centre = rng.normal(size=width)
+            vectors += [(centre + rng.normal(size=width) * 0.1).tolist() for _ in range(3)]
+    rows = list(enumerate(vectors))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for sample in (5, 4096):
+        found = epsilon.near_duplicates(df, block=block, fanout=2, sample=sample).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == brute_force(rows)
+    assert brute_force(rows)[1][1] == 0 and brute_force(rows)[2][0] == 2
+
+
 def test_vectors_of_nothing(spark):
     kind = "vec_id bigint, embedding array<float>"
     assert epsilon.near_duplicates(spark.createDataFrame([], kind)).collect() == []

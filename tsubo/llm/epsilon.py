@@ -6,13 +6,16 @@ by the cells of a grid of that width: the epsilon grid order. The sorted sequenc
 intervals, intervals into larger ones, and so on. Starting from the largest, pairs of intervals are
 joined by their children; a pair whose bounding boxes are farther apart than epsilon is dropped,
 because projection never lengthens a distance. Surviving pairs of small intervals are compared by
-matrix products, in double precision. No pair of vectors leaves a task: only counts per vector
-and the edges of a spanning forest do.
+matrix products, in double precision. Block pairs are dealt out in tiles, so a block is sent once per tile,
+not once per pair. No pair of vectors leaves a task: only counts per vector and the edges of a
+spanning forest do.
+
+Vectors of unlike length are never linked: the length is the first coordinate of the grid order, each
+length has directions of its own, and those without a vector in the sample take the first components.
 
 Equal vectors are one class; a class counts once per member.
 
-Cases: a vector that is null, zero, holds null or non-finite components, or differs in length
-from most of the sample links with nothing. Repeated ids are vectors of their own for the
+Cases: a vector that is null, zero, or holds null or non-finite components links with nothing. Repeated ids are vectors of their own for the
 counts and share one row's component by their vector; an empty table gives no rows. Other columns
 are kept out of the result.
 """
@@ -35,20 +38,22 @@ FANOUT = 8
 GROUP = 16
 
 
-def directions(vectors: DataFrame, sample: int = SAMPLE, most: int = DIRECTIONS) -> tuple[int, np.ndarray]:
-    """Vector length and leading principal directions, from at most `sample` vectors (smallest id hashes)."""
-    usable = vectors.where("embedding IS NOT NULL AND size(embedding) > 0")
+def directions(vectors: DataFrame, sample: int = SAMPLE, most: int = DIRECTIONS) -> dict[int, np.ndarray]:
+    """Leading principal directions by vector length, from at most `sample` usable vectors (smallest id hashes)."""
+    usable = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(
+        "embedding IS NOT NULL AND exists(embedding, x -> x <> 0)"
+        " AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('Infinity'))")
     rows = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()["embedding"]
-    rows = [np.asarray(r, dtype=np.float64) for r in rows if r is not None and not any(x is None for x in r)]
-    rows = [r for r in rows if np.isfinite(r).all() and r.any()]
-    if not rows:
-        return 0, np.zeros((0, 0))
-    lengths, counts = np.unique([len(r) for r in rows], return_counts=True)
-    width = int(lengths[np.argmax(counts)])
-    x = unit_vectors(np.stack([r for r in rows if len(r) == width]))
-    x = x - x.mean(axis=0)
-    _, axes = np.linalg.eigh(x.T @ x)
-    return width, axes[:, ::-1][:, :min(most, width)].copy()
+    by_length: dict[int, list] = {}
+    for row in rows:
+        by_length.setdefault(len(row), []).append(np.asarray(row, dtype=np.float64))
+    found = {}
+    for width, some in by_length.items():
+        x = unit_vectors(np.stack(some))
+        x = x - x.mean(axis=0)
+        _, axes = np.linalg.eigh(x.T @ x)
+        found[width] = axes[:, ::-1][:, :min(most, width)].copy()
+    return found
 
 
 def unit_vectors(data: np.ndarray) -> np.ndarray:
@@ -59,27 +64,35 @@ def unit_vectors(data: np.ndarray) -> np.ndarray:
     return data / np.linalg.norm(data, axis=1, keepdims=True)
 
 
-def cells(vectors: DataFrame, width: int, axes: np.ndarray, epsilon: float) -> DataFrame:
-    """vec_id, vector (binary doubles of the unit vector; null if it links with nothing), at (coordinates), cell."""
+def cells(vectors: DataFrame, axes: dict[int, np.ndarray], epsilon: float, most: int = DIRECTIONS) -> DataFrame:
+    """vec_id, vector (binary doubles of the unit vector; null if it links with nothing), at (coordinates), cell.
+
+    The first coordinate keeps lengths apart; it is at least 4 between unlike lengths, twice the widest epsilon.
+    """
     def run(batches):
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             n = len(ids)
             if pa.types.is_large_list(column.type):
                 column = column.cast(pa.list_(column.type.value_type))
-            sizes = np.diff(column.offsets.to_numpy())
-            good = (sizes == width) & ~np.asarray(column.is_null())
-            rows = column.filter(pa.array(good))
-            flat = rows.flatten()
-            data = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)  # nulls become nan
-            usable = np.isfinite(data).all(axis=1) & (data != 0).any(axis=1)
-            where = np.flatnonzero(good)[usable]
-            unit = unit_vectors(data[usable]) if len(where) else np.zeros((0, width))
-            at = unit @ axes
+            sizes = np.where(np.asarray(column.is_null()), 0, np.diff(column.offsets.to_numpy()))
             vector, point, cell = [None] * n, [None] * n, [None] * n
-            grid = np.floor(at / epsilon).astype(np.int32)
-            for k, i in enumerate(where):
-                vector[i], point[i], cell[i] = unit[k].tobytes(), at[k].tolist(), grid[k].tolist()
+            for width in np.unique(sizes[sizes > 0]).tolist():
+                good = sizes == width
+                flat = column.filter(pa.array(good)).flatten()
+                data = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)  # nulls become nan
+                usable = np.isfinite(data).all(axis=1) & (data != 0).any(axis=1)
+                where = np.flatnonzero(good)[usable]
+                if not len(where):
+                    continue
+                unit = unit_vectors(data[usable])
+                at = np.zeros((len(where), most + 1))
+                at[:, 0] = 4.0 * width
+                own = unit @ axes[width] if width in axes else unit[:, :most]
+                at[:, 1:1 + own.shape[1]] = own
+                grid = np.floor(at / epsilon).astype(np.int32)
+                for k, i in enumerate(where):
+                    vector[i], point[i], cell[i] = unit[k].tobytes(), at[k].tolist(), grid[k].tolist()
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(vector, pa.binary()), pa.array(point, pa.list_(pa.float64())), pa.array(cell, pa.list_(pa.int32()))],
                 names=["vec_id", "vector", "at", "cell"])
@@ -147,32 +160,46 @@ def _compare(a: tuple, b: tuple, same: bool, least: float):
     return [np.concatenate(c) for c in zip(*out)]
 
 
+def _by_length(row) -> dict[int, tuple]:
+    """A packed block as vector length -> (ids, members, vectors)."""
+    ids, members, widths = (np.frombuffer(x, np.int64) for x in (row.ids, row.members, row.widths))
+    flat, ends, out = np.frombuffer(row.vectors, np.float64), np.cumsum(widths), {}
+    for width in np.unique(widths).tolist():  # a block is sorted by length
+        first, last = np.searchsorted(widths, [width, width + 1])
+        out[width] = ids[first:last], members[first:last], flat[ends[first] - width:ends[last - 1]].reshape(-1, width)
+    return out
+
+
 def linked_classes(blocks: DataFrame, pairs: DataFrame, least: float, group: int = GROUP) -> DataFrame:
-    """(vec_id, links, label) rows from comparing block pairs; a task holds two blocks at a time.
+    """(vec_id, links, label) rows from comparing block pairs.
 
-    The pairs of one block are dealt out in groups of `group` partners, so a block in a dense
-    region is no single task.
+    Pairs are dealt out in tiles of `group` by `group` blocks. A task holds the left blocks of a tile and
+    one right block at a time; a dense region is many tiles.
     """
-    wanted = pairs.select("a", F.floor(F.col("b") / group).alias("part"), "b")
-    left = wanted.select("a", "part").distinct().join(blocks.withColumnRenamed("block", "a"), "a").select(
-        "a", "part", F.lit(-1).cast("bigint").alias("b"), "ids", "members", "vectors")
-    right = wanted.join(blocks.withColumnRenamed("block", "b"), "b").select("a", "part", "b", "ids", "members", "vectors")
+    wanted = pairs.select(F.floor(F.col("a") / group).alias("ta"), F.floor(F.col("b") / group).alias("tb"), "a", "b")
+    data = ["ids", "members", "widths", "vectors"]
+    left = wanted.select("ta", "tb", "a").distinct().join(blocks.withColumnRenamed("block", "a"), "a").select(
+        "ta", "tb", F.lit(None).cast("array<bigint>").alias("partners"), F.col("a").alias("block"), *data)
+    right = wanted.groupBy("ta", "tb", "b").agg(F.collect_list("a").alias("partners")).join(  # at most `group`
+        blocks.withColumnRenamed("block", "b"), "b").select("ta", "tb", "partners", F.col("b").alias("block"), *data)
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = left.unionByName(right).repartition(parts, "a", "part").sortWithinPartitions("a", "part", "b")
+    dealt = left.unionByName(right).repartition(parts, "ta", "tb").sortWithinPartitions("ta", "tb", F.col("partners").isNotNull(), "block")
 
     def run(batches):
-        block_a = key = None
+        held, tile = {}, None
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                ids = np.frombuffer(row.ids, np.int64)
-                block = (ids, np.frombuffer(row.members, np.int64), np.frombuffer(row.vectors, np.float64).reshape(len(ids), -1))
-                if row.b < 0:
-                    block_a, key = block, (row.a, row.part)
+                if tile != (row.ta, row.tb):
+                    held, tile = {}, (row.ta, row.tb)
+                block = _by_length(row)
+                if row.partners is None:
+                    held[row.block] = block
                     continue
-                assert key == (row.a, row.part)
-                found = _compare(block_a, block, row.a == row.b, least)
-                if found:
-                    yield pd.DataFrame({"vec_id": found[0], "links": found[1], "label": found[2]})
+                for a in row.partners:
+                    for width in held[a].keys() & block.keys():
+                        found = _compare(held[a][width], block[width], a == row.block, least)
+                        if found:
+                            yield pd.DataFrame({"vec_id": found[0], "links": found[1], "label": found[2]})
 
     return dealt.mapInPandas(run, "vec_id bigint, links bigint, label bigint")
 
@@ -181,13 +208,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, block: int
                     most_directions: int = DIRECTIONS, fanout: int = FANOUT) -> DataFrame:
     """vec_id, n_links, component_id, kept per row of vectors(vec_id, embedding)."""
     epsilon = float(np.sqrt(2 - 2 * least))
-    width, axes = directions(vectors, sample, most_directions)
-    alone = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"),
-                           F.col("vec_id").cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
-    if not width:
-        return alone
-    dims = axes.shape[1]
-    rows = stored(cells(vectors, width, axes, epsilon).withColumn("same", F.md5("vector")), "ego-cells")
+    axes = directions(vectors, sample, most_directions)
+    dims = most_directions + 1
+    rows = stored(cells(vectors, axes, epsilon, most_directions).withColumn("same", F.md5("vector")), "ego-cells")
     usable = rows.where("vector IS NOT NULL AND vec_id IS NOT NULL")
     heads = usable.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"))
     # a class's vector is looked up at its smallest id; an id repeated with one vector counts once here
@@ -199,12 +222,14 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, block: int
     pairs = interval_pairs(boxes, dims, epsilon, fanout)
 
     def packed(key, pdf):  # at most `block` rows
+        pdf = pdf.sort_values("position")
         return pd.DataFrame({"block": [key[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()],
                              "members": [pdf["members"].to_numpy(np.int64).tobytes()],
+                             "widths": [(pdf["vector"].str.len().to_numpy(np.int64) // 8).tobytes()],
                              "vectors": [b"".join(pdf["vector"])]})
 
     blobs = stored(ordered.groupBy("block").applyInPandas(
-        packed, "block bigint, ids binary, members binary, vectors binary"), "ego-blocks")
+        packed, "block bigint, ids binary, members binary, widths binary, vectors binary"), "ego-blocks")
     found = stored(linked_classes(blobs, pairs, least), "ego-links")
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("vec_id").alias("a"), F.col("label").alias("b")), "ego-parts").withColumnRenamed("node", "vec_id")
