@@ -68,8 +68,8 @@ def test_templates_learn_bad_sections(spark):
 def test_similar_branches_merge(spark):
     templates = [("h", "/a/x", 100, 100, 2), ("h", "/a/y", 100, 100, 3), ("h", "/a/z", 100, 100, 90), ("h", "/a/n", 5, 0, 0)]
     df = spark.createDataFrame(templates, "host string, template string, pages bigint, labelled bigint, bad bigint")
-    assert {r["template"]: r["branch"] for r in urlfilter.merged_branches(df).collect()} == {
-        "/a/x": "/a/x", "/a/y": "/a/y", "/a/z": "/a/z", "/a/n": "/a/~"} or True
+    found = {r["template"]: r["branch"] for r in urlfilter.merged_branches(df).collect()}
+    assert found["/a/x"] == found["/a/y"] == found["/a/n"] != found["/a/z"] == "/a/z"
     only = df.where("template <> '/a/z'")
     assert {r["branch"] for r in urlfilter.merged_branches(only).collect()} == {"/a/~"}
 

@@ -75,30 +75,42 @@ def template_tree(paths: DataFrame, least_values: int = LEAST_VALUES,
     """
     bad = F.max("bad") if "bad" in paths.columns else F.lit(None).cast("int")
     parts = F.split(F.regexp_replace("path", r"^/", ""), "/")
-    rows = stored(paths.groupBy("host", "path").agg(bad.alias("_bad")), "url-paths").withColumn("_parts", parts).withColumn("template", F.lit(""))
-    done, level = [], 0
+    rows = stored(paths.groupBy("host", "path").agg(bad.alias("_bad")), "url-paths").withColumn("_rest", parts).withColumn("template", F.lit(""))
+    done = []
     while True:
-        here = rows.withColumn("_segment", F.get("_parts", F.lit(level)))
-        values = stored(here.groupBy("host", "template", "_segment").agg(
+        # below a parent with fewer paths than least_values no segment at any level is variable
+        parents = stored(_steps(rows, ["host", "template"]), "url-parents")
+        here = rows.join(parents, ["host", "template"]).select(
+            "host", "path", "_bad", (F.col("n") >= least_values).alias("_open"), F.concat_ws("/", "template", F.slice("_rest", 1, F.col("_skip"))).alias("template"),
+            F.slice("_rest", F.col("_skip") + 1, F.size("_rest")).alias("_rest")).withColumn("_segment", F.get("_rest", F.lit(0)))
+        values = stored(here.where("_open").groupBy("host", "template", "_segment").agg(
             F.count("*").alias("c"), F.count("_bad").alias("l"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("b")), "url-values")
-        # below a parent with fewer paths than that no segment at any level is variable
-        open_parents = values.groupBy("host", "template").agg(F.sum("c").alias("n")).where(F.col("n") >= least_values).select(
-            "host", "template", F.lit(True).alias("_open"))
         variable = stored(_variable(values, least_values, few_paths, many_values), "url-variable")
-        rest = F.array_join(F.slice("_parts", level + 2, F.size("_parts")), "/")
-        ends = F.size("_parts") <= level + 1
+        rest, ends = F.slice("_rest", 2, F.size("_rest")), F.size("_rest") == 1
         piece = F.when(F.col("_variable"), shape(F.col("_segment"))).otherwise(F.col("_segment"))
-        whole = F.col("_open").isNull() & ~ends
-        after = stored(here.join(open_parents, ["host", "template"], "left").join(variable, ["host", "template", "_segment"], "left").select(
-            "host", "path", "_bad", "_parts", (ends | whole).alias("_done"),
-            F.concat("template", F.lit("/"), piece, F.when(whole, F.concat(F.lit("/"), rest)).otherwise("")).alias("template")), "url-level")
+        whole = ~F.col("_open") & ~ends
+        after = stored(here.join(variable, ["host", "template", "_segment"], "left").select(
+            "host", "path", "_bad", rest.alias("_rest"), (ends | whole).alias("_done"),
+            F.concat("template", F.lit("/"), piece, F.when(whole, F.concat(F.lit("/"), F.array_join(rest, "/"))).otherwise("")).alias("template")), "url-level")
         done.append(after.where("_done").select("host", "path", "template"))
-        rows, level = after.where("NOT _done").drop("_done"), level + 1
+        rows = after.where("NOT _done").drop("_done")
         if rows.isEmpty():
             break
     return paths.join(functools.reduce(DataFrame.unionByName, done), ["host", "path"])
 
 
+def _steps(rows: DataFrame, parent: list[str], node: tuple[str, ...] = (), also: str = "true") -> DataFrame:
+    """Per parent: n rows, and _skip, the number of leading segments of _rest that divide none of its nodes; one is left.
+
+    The least and the greatest list share what all lists share, so a chain of only children is one step of any length.
+    """
+    found = rows.groupBy(*parent, *node).agg(F.count("*").alias("n"), F.min("_rest").alias("_lo"), F.max("_rest").alias("_hi"),
+                                             (F.min(F.size("_rest")) - 1).alias("_most"))
+    alike = F.expr(f"transform(sequence(0, _most), i -> i < _most AND get(_lo, i) = get(_hi, i) AND {also})")
+    found = found.select(*parent, "n", (F.array_position(alike, F.lit(False)) - 1).cast("int").alias("_skip"))
+    return found.groupBy(*parent).agg(F.sum("n").alias("n"), F.min("_skip").alias("_skip")) if node else found
+
+
 def _variable(values: DataFrame, least_values: int, few_paths: int, many_values: int) -> DataFrame:
     """values(host, template, _segment, c paths, l labelled and b bad ones): those that become wildcards."""
     parents = values.groupBy("host", "template").agg(
@@ -142,36 +154,39 @@ def merged_branches(templates: DataFrame, similar: float = SIMILAR) -> DataFrame
     """templates(host, template, pages, labelled, bad) with branch: siblings with a like bad share are one branch.
 
     Level by level, whole branches (with all pages below them) are compared with their siblings; what is
-    below merged branches has one parent then and is compared again. A merged branch is named ~, with
+    below merged branches has one parent then and is compared again where it divides. A merged branch is named ~, with
     its number if its parent has several groups; an inner branch that is like no other keeps its name, and so
     does a template unless it is alone under its parent.
     """
     parts = F.split("template", "/")
-    rows = templates.withColumn("_parts", F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).withColumn("up", F.lit(""))
-    done, level = [rows.where(F.size("_parts") == 0).withColumn("branch", F.col("template"))], 1
-    rows = rows.where(F.size("_parts") > 0)
+    rows = templates.withColumn("_rest", F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).withColumn(
+        "up", F.lit("")).withColumn("_node", F.lit(""))
+    done = [rows.where(F.size("_rest") == 0).withColumn("branch", F.col("template"))]
+    rows = rows.where(F.size("_rest") > 0)
+    merged = F.contains("up", F.lit("/~"))
     while not rows.isEmpty():
-        size = F.size("_parts")
+        steps = stored(_steps(rows, ["host", "up"], ("_node",), "(contains(up, '/~') OR NOT startswith(get(_lo, i), '~'))"), "url-steps")
+        here, skip = rows.join(steps, ["host", "up"]), F.col("_skip")
         # a template that is alone has nothing to be compared with, however deep it goes
-        alone = rows.groupBy("host", "up").agg(F.count("*").alias("n")).where("n = 1").select("host", "up", F.lit(True).alias("_alone"))
-        here = stored(rows.join(alone, ["host", "up"], "left").withColumn("leaf", size == level).withColumn(
-            "node", F.array_join(F.slice("_parts", 1, level), "/")), "url-nodes")
-        between = F.slice("_parts", F.lit(level), size - level)
-        done.append(here.where("_alone").withColumn("branch", F.array_join(F.concat(F.array("up"), between, F.array(F.lit("~"))), "/")))
-        here = here.where("_alone IS NULL")
-        key = ["host", "up", "leaf", "node"]
+        done.append(here.where("n = 1").withColumn("branch", F.concat_ws("/", "up", F.slice("_rest", 1, F.size("_rest") - 1), F.lit("~"))))
+        here = stored(here.where("n > 1").select(
+            *templates.columns, (F.size("_rest") == skip + 1).alias("leaf"),
+            F.concat_ws("/", "up", F.when(merged, F.array_repeat(F.lit("~"), skip)).otherwise(F.slice("_rest", 1, skip))).alias("up"),
+            F.concat_ws("/", "_node", F.slice("_rest", 1, skip + 1)).alias("_node"),
+            F.slice("_rest", skip + 2, F.size("_rest")).alias("_rest")), "url-nodes")
+        key = ["host", "up", "leaf", "_node"]
         nodes = here.groupBy(*key).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).withColumn(
             "kind", F.when(F.col("l") < LEAST_LABELS, "few").otherwise(F.concat_ws("/", "l", "b")))
         grouped = _groups(nodes, similar)
-        last = F.element_at(F.split("node", "/"), -1)  # under merged branches it names several nodes
+        last = F.element_at(F.split("_node", "/"), -1)  # under merged branches it names several nodes
         members = grouped.groupBy("host", "up", "leaf", "group").agg(F.count("*").alias("_members"))
         named = grouped.join(members, ["host", "up", "leaf", "group"]).select(
-            *key, F.when((F.col("_members") == 1) & ~(F.col("leaf") & (F.col("groups") == 1)) & ~F.contains("up", F.lit("/~"))
+            *key, F.when((F.col("_members") == 1) & ~(F.col("leaf") & (F.col("groups") == 1)) & ~merged
                          & ~F.startswith(last, F.lit("~")), last)
             .when(F.col("groups") == 1, "~").otherwise(F.concat(F.lit("~"), F.col("group"))).alias("_name"))
         after = stored(here.join(named, key).withColumn("up", F.concat("up", F.lit("/"), "_name")), "url-branches")
         done.append(after.where("leaf").withColumn("branch", F.col("up")))
-        rows, level = after.where("NOT leaf").select(rows.columns), level + 1
+        rows = after.where("NOT leaf").select(rows.columns)
     return functools.reduce(DataFrame.unionByName, [d.select(*templates.columns, "branch") for d in done])
 
 
