@@ -202,8 +202,8 @@ def test_archives_round_trip(spark, tmp_path):
     for i in range(300):
         payload = [None, "", "short", long, f"page {i} " * 200, "x" * 1000, "x" * 999, "\r\n\r\nWARC/1.1\r\n" * 90][rng.randrange(8)]
         rows.append((i, [None, "bad", f"https://www.b{i % 3}.example.com/P/{i % 7}?q#f", "http://host.org\r\nx"][i % 4], payload, 1))
-    found = {r["page_id"]: r for r in warc.archive_round_trip(captures(spark, rows).repartition(5)).collect()}
-    assert found.keys() == {r[0] for r in rows}
+    found = {r["page_id"]: r for r in warc.archive_round_trip(captures(spark, rows).repartition(5), range_rows=20).collect()}
+    assert len({r["history_range"] for r in found.values()}) > 8 and found.keys() == {r[0] for r in rows}
     last: dict = {}
     for i, _, payload, _ in rows:
         data = (payload or "").encode()
@@ -215,7 +215,9 @@ def test_archives_round_trip(spark, tmp_path):
         r = found[i]
         assert (r["payload_bytes"], r["payload_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
         assert (r["record_type"], r["refers_to"]) == (("revisit", last[data]) if again else ("response", None))
-    ordered = sorted(found.values(), key=lambda r: (r["history_range"], r["history_place"]))
+    ordered = sorted(found.values(), key=lambda r: r["history_position"])
+    assert [r["history_position"] for r in ordered] == list(range(len(rows)))
+    assert ordered == sorted(ordered, key=lambda r: (r["history_range"], r["history_place"]))
     keys = [(r["url_key"], r["capture_time"], r["page_id"]) for r in ordered]
     assert keys == sorted(keys) and len(set((r["history_range"], r["history_place"]) for r in ordered)) == len(rows)
 
@@ -332,7 +334,7 @@ def test_every_operator_has_a_query():
 def test_query_equals_its_sql(spark, folder, name):
     found = queries.QUERIES[name](spark, folder)
     con = duckdb.connect()
-    for table in ("pages", "documents", "embeddings"):
+    for table in ("pages", "documents", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     rows = con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.SQL[name]})").fetchall()
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(rows, key=repr)

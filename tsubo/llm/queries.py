@@ -91,7 +91,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "url", F.col("html").alias("payload"),
         F.date_format(F.timestamp_seconds(F.col("page_id") + 1_577_836_800), "yyyyMMddHHmmss").alias("capture_time"))
     return warc.archive_round_trip(captures).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "history_position")
 
 
 @query
@@ -115,13 +115,17 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), piece_path())
 
 
-SQL["op10_warc"] = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-     q AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+SQL["op10_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host,
+                  lower(regexp_extract(url, '://[^/?#]*([^#]*)', 1)) AS rest FROM pages),
+     k AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@|:\d*$', '', 'g'), '^www\d*\.', '') AS name FROM p),
+     q AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+                  coalesce(array_to_string(list_reverse(string_split(name, '.')), ',') || ')' || rest, ')') AS url_key FROM k),
      m AS (SELECT payload_digest, max(page_id) AS first FROM q WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, payload_bytes, q.payload_digest,
        CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id < first THEN first END AS refers_to
+       CASE WHEN page_id < first THEN first END AS refers_to,
+       row_number() OVER (ORDER BY url_key, page_id NULLS FIRST) - 1 AS history_position  -- times rise with the id
 FROM q LEFT JOIN m ON q.payload_digest = m.payload_digest"""
 
 

@@ -2,7 +2,8 @@
 
 Every archive file leaves one index run, sorted by URL key and time. An external merge puts
 the runs together: index rows are dealt out by ranges of (URL key, time, id), and inside a
-range a loser tree merges the runs' sorted pieces. Ranges in order are the global capture history.
+range a loser tree merges the runs' sorted pieces. Ranges in order are the global capture history. The number of
+ranges follows the number of captures, so a task holds about `range_rows` index rows of a history of any length.
 
 Cases: a null payload is empty; a null or unparseable URL has the key of an empty host; null
 times sort first (14 zeros); a null id is written as "-" and reads back null. Repeated rows give
@@ -23,6 +24,7 @@ from tsubo.llm.common import stored
 from tsubo.session import work_dir
 
 ARCHIVE_BYTES = 64 << 20
+RANGE_ROWS = 100_000  # index rows merged in one task
 LEAST_REVISIT_BYTES = 1000
 INDEX = ("run string, url_key string, capture_time string, page_id bigint, file string, offset bigint, length bigint, "
          "payload_digest string, record_type string")
@@ -168,10 +170,10 @@ class LoserTree:
             self.winner = i
 
 
-def merged_history(index: DataFrame) -> DataFrame:
+def merged_history(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Index rows in global order of URL key, time and id: history_range, then history_place."""
     order = ["url_key", "capture_time", "page_id"]
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.count() // range_rows + 1)
     # order holds a unique address too, so that one capture repeated very often still splits
     dealt = index.repartitionByRange(parts, *order, "file", "offset").withColumn("history_range", F.spark_partition_id())
 
@@ -260,12 +262,24 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     return index.select("file").distinct().repartition(parts).mapInArrow(read, RECORD)
 
 
-def archive_round_trip(captures: DataFrame) -> DataFrame:
+def positions(history: DataFrame) -> DataFrame:
+    """Adds history_position, the place (from 0) in the whole history: the place in the range plus the rows of earlier ranges."""
+    sizes = history.groupBy("history_range").agg(F.count("*").alias("n")).collect()  # a row per range
+    starts, start = [], 0
+    for r in sorted(sizes, key=lambda r: r["history_range"]):
+        starts.append((r["history_range"], start))
+        start += r["n"]
+    before = history.sparkSession.createDataFrame(starts, "history_range int, _start bigint")
+    return history.join(before, "history_range").withColumn("history_position", F.col("_start") + F.col("history_place")).drop("_start")
+
+
+def archive_round_trip(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """captures(page_id, url, capture_time, payload): written, merged by index, and read back."""
     spark = captures.sparkSession
     folder = work_dir(spark, "warc")
     rows = with_revisits(captures.withColumn("payload", F.coalesce("payload", F.lit(""))))
     index = stored(write_archives(rows, folder), "warc-index")
-    history = merged_history(index).select("file", "offset", "url_key", "capture_time", "history_range", "history_place")
+    history = positions(stored(merged_history(index, range_rows).select(
+        "file", "offset", "url_key", "capture_time", "history_range", "history_place"), "warc-history"))
     # the list of files under the records is small, so their size would be estimated far too low for a broadcast
     return read_archives(index, folder).hint("merge").join(history.hint("merge"), ["file", "offset"])
