@@ -384,6 +384,19 @@ def test_model_adds_other_formats_and_keeps_the_base():
     assert not any("2024" in t or "1234567" in t for _, t in found)
 
 
+def test_counts_are_of_the_base_spans(spark):
+    texts = ["call 988-555-2485 or +1 (415) 555-0199", "card 4111.1111.1111.1111 of jörg@büro.example.com", "a@b.cd at 1.2.3.4", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    added = 0
+    for row in pii.find(df, trained()).collect():
+        base = plain_base(texts[row["doc_id"]] or "")
+        assert [row[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert row["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        added += row["spans"].count(":") // 2 - len(base)
+    assert added >= 2
+
+
 def test_redaction_and_empty_tables(spark, nothing):
     assert pii.redacted("a b@c.de 1.2.3.4", [("email", 2, 8), ("ip", 9, 16)]) == "a <email> <ip>"
     assert pii.redacted("abc", []) == "abc"

@@ -344,7 +344,10 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, weights: np.ndarray | None, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """The columns to keep with n_email, n_ip, n_card, n_phone, base_sha256, spans and, if asked for, the redacted text."""
+    """The columns to keep with n_email, n_ip, n_card, n_phone, base_sha256, spans and, if asked for, the redacted text.
+
+    The counts and the hash are of the base spans, `spans` and the redacted text of all.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # one small matrix
     names = [*[f"n_{k}" for k in KINDS], "base_sha256", "spans", *(["redacted"] if with_text else [])]
 
@@ -353,7 +356,7 @@ def find(docs: DataFrame, weights: np.ndarray | None, keep: tuple[str, ...] = ("
             rows = []
             for text in batch.column("_text").to_pylist():
                 base, every = spans_of(text, shared.value)
-                counts = [sum(s[0] == k for s in every) for k in KINDS]
+                counts = [sum(s[0] == k for s in base) for k in KINDS]
                 rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every),
                              *([redacted(text, every)] if with_text else [])))
             columns = list(zip(*rows)) if rows else [[] for _ in names]
