@@ -148,6 +148,24 @@ def test_latest_and_numbered(spark, rows):
     assert got == [(1, 1, "a", 1), (1, 2, "b", 2), (1, 3, "c", 3), (2, 9, "z", 1)]
 
 
+def test_numbered_deals_rows_out_once(spark, rows, monkeypatch):
+    r = random.Random(5)
+    data = [(r.choice([1, 1, 1, 2, 3, 4, None]), r.randrange(30), i) for i in range(900)]
+    df = spark.createDataFrame(data, "k int, o int, v int").repartition(3)
+    want, seen = [], {}
+    for k, o, v in sorted((x for x in data if x[0] is not None)):
+        seen[k] = seen.get(k, 0) + 1
+        want.append((k, o, v, seen[k]))
+    number = lambda: keyed.numbered(df, ["k"], ["o", "v"], F.floor(F.col("o") / 4), "n")
+    whole = number()
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert rows(whole) == sorted(want, key=repr)
+    monkeypatch.setattr(keyed, "HOT_ROWS", 200)
+    chunked = number()
+    assert "_before_n" in chunked._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(chunked) == sorted(want, key=repr) and chunked.dtypes == whole.dtypes
+
+
 def test_hour_band_wraps(apply):
     band = {}
     for hour in range(24):

@@ -111,6 +111,14 @@ def test_one_listing_with_children(spark, folder):
     assert {r.kind for r in one.collect()} == {"station", "image"}
 
 
+def test_ids_of_children_are_made_distinct_before_they_are_dealt_out(spark, folder):
+    listings, images = fx.listings(spark, folder), fx.images(spark, folder)
+    plan = scan.with_children(listings, fx.stations(spark, folder, ordered=True), images)._jdf.queryExecution().optimizedPlan()
+    alone = plan.toString().split("LeftAnti", 1)[1]
+    assert "Aggregate [property_id" in alone and "Window" not in alone
+
+
+
 def test_filters_reach_the_scan(spark, folder):
     rows = scan.active_listings(fx.listings(spark, folder)).select("id", "rent")
     plan_text = rows._jdf.queryExecution().executedPlan().toString()

@@ -41,7 +41,9 @@ def with_children(listings: DataFrame, stations: DataFrame, images: DataFrame) -
     )
     # an inner join can split a hot listing's children, a left join could only split the listings
     joined = listings.join(children, listings["id"] == children["property_id"]).drop("property_id")
-    alone = listings.join(children, listings["id"] == children["property_id"], "left_anti")
+    # each id once, so that the children are not dealt out a second time
+    parents = children.select("property_id").distinct()
+    alone = listings.join(parents, listings["id"] == parents["property_id"], "left_anti")
     return joined.unionByName(alone, allowMissingColumns=True)
 
 

@@ -98,7 +98,8 @@ def _placed_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"
     )
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+    # every column, so that stations and images share one numbering in a query that reads both
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"]
     chunk = F.struct("l_linenumber", F.shiftright("l_partkey", 12))
     return numbered(lines, ["l_orderkey"], order, chunk, "sort_order")
 
