@@ -165,3 +165,23 @@ def test_page_row_without_state_reads_text(spark):
 def test_building_name_replaces_missing_title(spark):
     html = '__SERVER_SIDE_CONTEXT__ {"BuildingName":"\\u30e1\\u30be\\u30f3"}'
     assert ingest.page_rows(page(spark, html), "demo", "2024-01-01 00:00:00").first().title == "メゾン"
+
+
+ODD_HEADS = [
+    '<META x <link rel="canonical" href="http://a/b/"><meta property="og:title" content="t">',
+    '<meta property="og:title"\ncontent="one"><link\nrel = \'canonical\' href="/x/y/">', '<link rel="canonical" href="/x"', "<metaa><linkrel>", "", None,
+    '<!-- <meta property="og:title" content="c"> --><linkx><link href="/z" rel="canonical"><link rel="canonical" href="/w">',
+]
+
+
+def test_head_tags_hold_what_the_page_holds(apply):
+    for tag, attribute, value in (("meta", "property", "og:title"), ("link", "rel", "canonical")):
+        whole = apply(lambda c: pages._tag(c, tag, attribute, value), ODD_HEADS)
+        assert apply(lambda c: pages._tag(pages.head_tags(c), tag, attribute, value), ODD_HEADS) == whole
+        assert any(whole)
+
+
+def test_the_address_is_looked_for_once(spark):
+    rows = spark.createDataFrame([(1, "http://a/b", "<p>")], "page_id long, url string, html string")
+    read = rows.select(pages.page_address(F.col("url"), F.col("html")).alias("address"))
+    assert read._jdf.queryExecution().analyzed().toString().count("canonical") == 1
