@@ -93,6 +93,47 @@ def test_every_link_is_counted(docs, rows, block):
     assert max(n for n, _ in expected.values()) > 3
 
 
+def test_phrases_in_common_by_chance_write_no_texts_and_single_sets_no_copies(spark, monkeypatch):
+    """Long unlike texts share a phrase each; short ones share it with long ones; one has a copy, one a near copy."""
+    rng = random.Random(5)
+    long = [[f"a{i}x{j}" for j in range(1500 + i)] for i in range(12)]
+    for i, words in enumerate(long):
+        for other in long[:i]:
+            at = rng.randrange(0, 1400)
+            words[at:at + 3] = other[at:at + 3]
+    data = [(i, " ".join(words)) for i, words in enumerate(long)] + [(100 + i, f"{' '.join(words[5:9])} s{i}") for i, words in enumerate(long)]
+    data += [(50, data[3][1]), (51, data[4][1].replace("a4x700", "other"))]
+    written, store = {}, ngrams.stored
+
+    def counted(df, label):
+        out = store(df, label)
+        written.setdefault(label, []).append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(ngrams, "stored", counted)
+    found = by_id(ngrams.similar_documents(spark.createDataFrame(data, "doc_id bigint, text string")), "n_shingles", "component_id")
+    assert found == jaccard_groups(data, 3, 90)
+    assert sum(n for columns, n in written["ngram-texts"] if "text" in columns) == 2
+    assert [n for _, n in written["ngram-classes"]] == [1]
+
+
+def test_an_ngram_of_unlike_sizes_only_has_no_postings(spark):
+    data = [(i, " ".join(["one", "same", "phrase", *(f"w{i}x{j}" for j in range(n))])) for i, n in enumerate((3, 5, 9, 20, 40, 80, 160))]
+    sets = ngrams.document_sets(spark.createDataFrame(data, "doc_id bigint, text string"), np.zeros(1 << ngrams.SKETCH_BITS, np.uint8), 3, 1)
+    classes = stored(sets.withColumnRenamed("doc_id", "rep"), "t")
+    assert ngrams.postings(classes, 90).count() == 0
+    assert ngrams.postings(classes, 30).count() == len(data)
+
+
+@pytest.mark.parametrize("percent", [30, 80, 90, 99])
+def test_similar_sizes_have_neighbouring_bands(percent):
+    sizes = np.arange(1, 3000)
+    for at, n in zip(range(len(sizes)), sizes.tolist()):
+        fit = sizes[at:][100 * n >= percent * sizes[at:]]
+        here, there = (int(ngrams.bands(np.array([x]), percent)[0]) for x in (n, fit[-1]))
+        assert there in (here, here << 1 if here < 1 << 63 else 1)
+
+
 # ------------------------------------------------------------------ substrings
 @pytest.mark.parametrize(("width", "anchor"), [(13, 7), (5, 3)])
 def test_removal_against_brute_force(docs, rows, width, anchor):

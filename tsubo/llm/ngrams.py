@@ -3,10 +3,11 @@
 Every document is a set of distinct runs of `width` words. Equal sets are one class. A class's n-grams
 are ordered rare first, by a frequency sketch of all documents (a table of fixed size that is summed over
 all tasks). Two sets as similar as asked for share an n-gram among their first |x| - ceil(t |x|) + 1
-(prefix filter). Sets that share one are compared by size (length filter), by how many n-grams
-stand before the shared one in either (positional filter), and by one bit per hash range, odd or even number
-of n-grams: sets differ in at least as many n-grams as bits (suffix filter). What is left is verified
-once per pair, on the whole sets.
+(prefix filter); an n-gram that no two sets of fitting sizes share is left out. Sets that share one are compared
+by size (length filter), by how many n-grams stand before the shared one in either (positional filter), by
+how many of their prefixes they share with any set, and by one bit per hash range, odd or even number
+of n-grams: sets differ in at least as many n-grams as bits (suffix filter). The pairs left are compared on their
+whole prefixes, and what is left then is verified once per pair, on the whole sets.
 
 Dense groups: first every set is verified only against the most ordinary set (fewest n-grams of its own)
 among those that share an n-gram with it. That links large groups of copies with as many pairs as
@@ -24,6 +25,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,18 +150,31 @@ def _post(percent: int) -> str:
     return ", ".join(["token bigint, doc bigint, size int, place int, own int, first bigint, second bigint", *words])
 
 
-def _tokens(classes: DataFrame) -> DataFrame:
+def bands(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """A bit, one of 64 in turn, per range of sizes; sets as similar as asked for have the same or neighbouring ones."""
+    wide = max(0.01, float(np.log(100 / max(1, percent)))) * (1 + 1e-9)  # the logarithms are rounded
+    return np.left_shift(np.uint64(1), (np.log(np.maximum(sizes, 1)) / wide).astype(np.uint64) & np.uint64(63))
+
+
+def _tokens(classes: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], names=["token"])
+            prefixes = batch.column(1).to_pylist()
+            band = np.repeat(bands(batch.column(0).to_numpy(), percent).view(np.int64), [len(p) // 8 for p in prefixes])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(band)], names=["token", "band"])
+
+    return classes.select("n_shingles", "prefix").mapInArrow(run, "token bigint, band bigint")
 
-    return classes.select("prefix").mapInArrow(run, "token bigint")
+
+def shared_tokens(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Prefix n-grams that two classes of the same or neighbouring bands have; with more classes than bands, two share a band."""
+    seen = _tokens(classes, percent).groupBy("token").agg(F.count("*").alias("n"), F.bit_or("band").alias("seen"))
+    return seen.where("n > bit_count(seen) OR (seen & (shiftleft(seen, 1) | shiftrightunsigned(seen, 63))) <> 0").select("token")
 
 
 def postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """A row per class and prefix n-gram that other classes have too (or seem to, by the filter)."""
-    many = _tokens(classes).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    filled = classes.sparkSession.sparkContext.broadcast(bloom(many, "token"))  # 8 MB
+    """A row per class and prefix n-gram that other classes of a fitting size have too (or seem to, by the filter)."""
+    filled = classes.sparkSession.sparkContext.broadcast(bloom(shared_tokens(classes, percent), "token"))  # 8 MB
     schema = _post(percent)
 
     def run(batches):
@@ -187,17 +202,22 @@ class _Rows:
 
     def __init__(self, batch, extra: tuple[str, ...] = ()):
         get = lambda n: batch.column(n).to_numpy(zero_copy_only=False)
-        self.doc, self.size, self.place = get("doc"), get("size").astype(np.int64), get("place").astype(np.int64)
+        self.doc, self.size, self.place, self.own = get("doc"), *(get(n).astype(np.int64) for n in ("size", "place", "own"))
         words = [n for n in batch.schema.names if n[0] == "r" and n[1:].isdigit()]
         self.ranges = np.stack([get(n) for n in words], axis=1).view(np.uint64)
         self.extra = {n: get(n) for n in extra}
 
     def near(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-        """Which pairs may be similar enough: length, positional and suffix filters."""
+        """Which pairs may be similar enough: length, positional, shared prefix and suffix filters."""
         small, large = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
         both = small + large
-        apart = both - 2 * -(-percent * both // (100 + percent))  # most n-grams that one has and the other lacks
+        common = -(-percent * both // (100 + percent))  # least n-grams in common
+        apart = both - 2 * common  # most n-grams that one has and the other lacks
+        # in common are at most what either shares of its prefix and what the set whose prefix ends first has behind it
+        first = self.size + -percent * self.size // 100 + 1
+        behind, shares = self.size - first + 1, first - self.own
         ok = (100 * small >= percent * large) & (self.place[i] + self.place[j] <= apart) & (self.doc[i] != self.doc[j])
+        ok &= np.minimum(shares[i], shares[j]) + np.maximum(behind[i], behind[j]) >= common
         at = np.flatnonzero(ok)
         if len(at):
             distance = np.bitwise_count(self.ranges[i[at]] ^ self.ranges[j[at]]).sum(axis=1, dtype=np.int64)
@@ -243,10 +263,22 @@ def _starts(batch, keys: tuple[str, ...]) -> np.ndarray:
     return np.cumsum(new)
 
 
+def _among(rows: DataFrame, keys: DataFrame, column: str, name: str) -> DataFrame:
+    """A flag per row: false only if its column is not among the keys. A filter of fixed size; no row is shuffled."""
+    filled = rows.sparkSession.sparkContext.broadcast(bloom(keys.select(F.xxhash64(column).alias("key")), "key"))  # 8 MB
+
+    @F.pandas_udf("boolean")
+    def seems(key: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(filled.value, key.to_numpy().view(np.uint64)))
+
+    return rows.withColumn(name, seems(F.xxhash64(column)))
+
+
 def star_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """(a, b): a is the most ordinary class of an n-gram's block, b another one of it."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heavy = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > block).select("token", F.ceil(F.col("n") / block).alias("blocks"))
+    heavy = stored(rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > block).select(
+        "token", F.ceil(F.col("n") / block).alias("blocks")), "ngram-hot")
     dealt = rows.join(heavy, "token", "left").withColumn(
         "lo", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("blocks")), F.lit(0)).cast("int")).drop("blocks")
     keys = ("token", "lo")
@@ -270,10 +302,13 @@ def remaining_pairs(rows: DataFrame, parts_of: DataFrame, percent: int, block: i
     """(a, b): classes of different components that share an n-gram and pass the filters."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = rows.join(parts_of.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    # an n-gram whose classes are all in one component has nothing more to tell
-    open_tokens = marked.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where(
-        "n > 1 AND x <> y").select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    open_rows = marked.join(open_tokens, "token").withColumn("own_block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    # an n-gram whose classes are all in one component has nothing more to tell; a hot one is known exactly
+    tokens = marked.groupBy("token").agg(F.count("*").alias("n"), (F.min("component") != F.max("component")).alias("open")).where(
+        F.col("open") | (F.col("n") > block))
+    tokens = stored(tokens.select("token", "open", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "ngram-open")
+    open_rows = _among(marked, tokens.where("open"), "token", "maybe").join(tokens.where("blocks > 1"), "token", "left").where(
+        F.coalesce("open", "maybe")).withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn(
+        "own_block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).drop("open", "maybe")
     dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "*", F.least("own_block", "other").alias("lo"), F.greatest("own_block", "other").alias("hi")).drop("blocks", "other")
     keys = ("token", "lo", "hi")
@@ -302,8 +337,8 @@ def remaining_pairs(rows: DataFrame, parts_of: DataFrame, percent: int, block: i
     return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, partners: int = PARTNERS) -> DataFrame:
-    """The pairs whose whole sets are similar enough. docs(doc, text) has one text per class.
+def _dealt(pairs: DataFrame, data: DataFrame, columns: list[str], partners: int) -> DataFrame:
+    """Rows (a, part, b, columns of data): those of a (b is null) come before those of the b it is compared with.
 
     A class with very many pairs is dealt out in groups of about `partners` of them.
     """
@@ -312,46 +347,86 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, partne
     grouped = stored(pairs.join(many, "a", "left").select(
         "a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("groups")), F.lit(0)).alias("part")), "ngram-pairs")
     needed = grouped.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = stored(docs.join(needed, "doc", "left_semi"), "ngram-texts")
-    left = grouped.select("a", "part").distinct().join(texts.withColumnRenamed("doc", "a"), "a").select(
-        "a", "part", F.lit(None).cast("bigint").alias("b"), "text")
-    right = grouped.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "part", "b", "text")
+    found = stored(_among(data, needed, "doc", "needed").where("needed").drop("needed").join(needed, "doc", "left_semi"), "ngram-texts")
+    left = grouped.select("a", "part").distinct().join(found.withColumnRenamed("doc", "a"), "a").select(
+        "a", "part", F.lit(None).cast("bigint").alias("b"), *columns)
+    right = grouped.join(found.withColumnRenamed("doc", "b"), "b").select("a", "part", "b", *columns)
+    return left.unionByName(right).repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
+
+def _compared(dealt: DataFrame, values, similar) -> DataFrame:
+    """The pairs (a, b) of dealt rows of which some of a's values (an id may repeat) is similar to one of b's."""
     def run(batches):
         mine, key = [], None
         for batch in batches:
             out = []
-            columns = [batch.column(n).to_pylist() for n in ("a", "part", "b")]
-            for a, part, b, found in zip(*columns, shingles(batch.column("text").to_pylist(), width)):
+            for a, part, b, found in zip(*(batch.column(n).to_pylist() for n in ("a", "part", "b")), values(batch)):
                 if b is None:
-                    mine, key = [*mine, found] if key == (a, part) else [found], (a, part)  # an id may repeat
-                    continue
-                for x in mine:
-                    both = len(np.intersect1d(x, found, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(found) - both):
-                        out.append((a, b))
+                    mine, key = [*mine, found] if key == (a, part) else [found], (a, part)
+                elif any(similar(x, found) for x in mine):
+                    out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    dealt = left.unionByName(right).repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def promising(pairs: DataFrame, classes: DataFrame, percent: int, partners: int = PARTNERS) -> DataFrame:
+    """The pairs that may be similar enough by their prefixes: these have all rare n-grams of both up to one place of the
+    order, so that the n-grams in common are at most those seen there and the rest of the smaller set."""
+    def values(batch):
+        prefixes = [np.frombuffer(p, np.uint64) for p in batch.column("prefix").to_pylist()]
+        return zip(batch.column("n_shingles").to_pylist(), prefixes)
+
+    def similar(x, y):
+        (n, p), (m, q) = x, y
+        last = min(p[-1], q[-1])
+        p, q = p[:np.searchsorted(p, last)], q[:np.searchsorted(q, last)]
+        most = int(np.isin(p, q).sum()) + min(n - len(p), m - len(q))
+        return (100 + percent) * most >= percent * (n + m)
+
+    data = classes.select(F.col("rep").alias("doc"), "n_shingles", "prefix")
+    return _compared(_dealt(pairs, data, ["n_shingles", "prefix"], partners), values, similar)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, partners: int = PARTNERS) -> DataFrame:
+    """The pairs whose whole sets are similar enough. docs(doc, text) has one text per class."""
+    def values(batch):
+        return shingles(batch.column("text").to_pylist(), width)
+
+    def similar(x, y):
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return _compared(_dealt(pairs, docs, ["text"], partners), values, similar)
+
+
+def class_rows(sets: DataFrame) -> DataFrame:
+    """One row per set: rep (its smallest id), n_shingles, prefix, ranges. Only sets that repeat are shuffled."""
+    usable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    again = usable.groupBy("set_key").agg(F.count("*").alias("n")).where("n > 1")
+    marked = _among(usable, again, "set_key", "again")
+    columns = [F.col("doc_id").alias("rep"), "n_shingles", "prefix", "ranges"]
+    repeated = marked.where("again").select("set_key", F.struct("doc_id", "n_shingles", "prefix", "ranges").alias("row")).groupBy("set_key").agg(
+        F.min("row").alias("row"))
+    return marked.where("NOT again").select(*columns).unionByName(
+        stored(repeated.select("row.*").select(*columns), "ngram-classes"))
+
+
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id per row of docs(doc_id, text)."""
     levels = rarity(docs, width)
     sets = stored(document_sets(docs, levels, width, percent), "ngram-sets")
     usable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     heads = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = stored(usable.join(heads.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(
-        ["set_key"]).withColumnRenamed("doc_id", "rep"), "ngram-classes")
+    classes = class_rows(sets)
     rows = stored(postings(classes, percent), "ngram-postings")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc"), text_bytes("text").alias("text"))
     tried = stored(star_pairs(rows, percent, block), "ngram-stars")
-    links = stored(verified(tried, texts, width, percent), "ngram-links")
+    links = stored(verified(promising(tried, classes, percent), texts, width, percent).distinct(), "ngram-links")
     parts_of = components(links, "ngram-parts")
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = remaining_pairs(rows, parts_of, percent, block).join(known, ["a", "b"], "left_anti")
-    more = stored(verified(rest, texts, width, percent), "ngram-links")
+    more = stored(verified(promising(rest, classes, percent), texts, width, percent), "ngram-links")
     found = components(links.unionByName(more), "ngram-parts")
     state = heads.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id"))
@@ -368,12 +443,12 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: in
     # each id counts once in a class
     heads = stored(usable.select("set_key", "doc_id").distinct().groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("members")), "ngram-heads")
-    classes = stored(usable.join(heads.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(
-        ["set_key"]).withColumnRenamed("doc_id", "rep"), "ngram-classes")
+    classes = class_rows(sets)
     rows = stored(postings(classes, percent), "ngram-postings")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc"), text_bytes("text").alias("text"))
     apart = docs.sparkSession.createDataFrame([], "node bigint, component bigint")  # every class is its own part, so no pair is skipped
-    found = stored(verified(remaining_pairs(rows, apart, percent, block), texts, width, percent).distinct(), "ngram-links")
+    tried = promising(remaining_pairs(rows, apart, percent, block), classes, percent)
+    found = stored(verified(tried, texts, width, percent).distinct(), "ngram-links")
     return found, sets, heads
 
 
