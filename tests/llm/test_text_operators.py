@@ -119,10 +119,31 @@ def test_phrases_in_common_by_chance_write_no_texts_and_single_sets_no_copies(sp
 
 def test_an_ngram_of_unlike_sizes_only_has_no_postings(spark):
     data = [(i, " ".join(["one", "same", "phrase", *(f"w{i}x{j}" for j in range(n))])) for i, n in enumerate((3, 5, 9, 20, 40, 80, 160))]
-    sets = ngrams.document_sets(spark.createDataFrame(data, "doc_id bigint, text string"), np.zeros(1 << ngrams.SKETCH_BITS, np.uint8), 3, 1)
+    df, levels = spark.createDataFrame(data, "doc_id bigint, text string"), np.full(1 << ngrams.SKETCH_BITS, 9, np.uint8)
+    levels[int(next(ngrams.shingles([b"one same phrase"], 3))[0]) & ((1 << ngrams.SKETCH_BITS) - 1)] = 0  # the rarest stands first
+    for percent, n in ((90, 0), (30, len(data))):
+        classes = stored(ngrams.document_sets(df, levels, 3, percent).withColumnRenamed("doc_id", "rep"), "t")
+        assert ngrams.postings(classes, percent).count() == n
+
+
+def test_prefixes_tell_unlike_texts_apart_and_lose_no_similar_ones(spark):
+    rng = random.Random(9)
+    texts = [[f"a{i}x{j}" for j in range(1000)] for i in range(2)]
+    texts[1][:60] = texts[0][:60]
+    for i, n in enumerate((1, 5, 15, 17, 18, 30)):
+        words = list(texts[0])
+        for at in rng.sample(range(0, 1000, 3), n):
+            words[at] = f"b{i}x{at}"
+        texts.append(words)
+    data = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    sets = ngrams.document_sets(spark.createDataFrame(data, "doc_id bigint, text string"), np.zeros(1 << ngrams.SKETCH_BITS, np.uint8))
     classes = stored(sets.withColumnRenamed("doc_id", "rep"), "t")
-    assert ngrams.postings(classes, 90).count() == 0
-    assert ngrams.postings(classes, 30).count() == len(data)
+    pairs = spark.createDataFrame([(a, b) for a in range(len(data)) for b in range(a)], "a bigint, b bigint")
+    found = {tuple(r) for r in ngrams.promising(pairs, classes, 90).collect()}
+    own = [shingle_set(text, 3) for _, text in data]
+    similar = {(a, b) for a in range(len(data)) for b in range(a) if 100 * len(own[a] & own[b]) >= 90 * len(own[a] | own[b])}
+    assert similar <= found and len(similar) > 5
+    assert not any(1 in pair for pair in found)
 
 
 @pytest.mark.parametrize("percent", [30, 80, 90, 99])
