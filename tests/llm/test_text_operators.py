@@ -1,11 +1,16 @@
 """Operators on documents, against brute force on small hard inputs."""
 
+import gc
 import hashlib
+import pickle
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from tests.llm.data import DOC, documents, jaccard_groups, sentence, shingle_set, substring_cuts
@@ -308,6 +313,15 @@ def test_pack_of_nothing(nothing):
     assert packing.pack(nothing, tokenizer_path()).collect() == []
 
 
+def test_workers_drop_the_tokenizer_with_the_next_job(spark, docs):
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(o).__name__ == "WordIds" for o in gc.get_objects())])], names=["n"])
+
+    assert packing.pieces(docs, tokenizer_path()).count()
+    assert {r["n"] for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n bigint").collect()} == {0}
+
+
 # ------------------------------------------------------------------ fingerprints
 def test_edited_texts_and_likeness(spark, docs, rows):
     found = {r["doc_id"]: r for r in fingerprint.fingerprints(docs, rows_per_chunk=10).collect()}
@@ -393,6 +407,20 @@ def test_language_edge_cases(spark, nothing):
     assert langid.predict(nothing, empty).collect() == []
 
 
+def test_workers_keep_no_object_per_known_word(spark, monkeypatch):
+    words = {f"w{i}": np.array([-1.0, -9.0]) for i in range(20_000)}
+    sent, send = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or send(self, value))
+    df = spark.createDataFrame([(1, "w19999 w7"), (2, "")], "doc_id bigint, text string")
+    found = langid.predict(df, {"languages": ["a", "b"], "words": words, "grams": [{}, {"w": np.array([-9.0, -1.0])}]})
+    tracemalloc.start()
+    kept = pickle.loads(sent[-1])
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept and size < 50 * len(words)
+    assert [r["lang_pred"] for r in found.orderBy("doc_id").collect()] == ["a", "und"]
+
+
 # ------------------------------------------------------------------ personal data
 def plain_base(text):
     """The patterns as they are written, with plain regular expressions."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 
 import numpy as np
@@ -55,6 +57,29 @@ def ranked(df: DataFrame, order: list[Column], name: str, label: str) -> DataFra
     return sorted_rows.withColumn(name, F.get(offsets, F.col("_rank_range")) + F.col("_rank_place")).drop("_rank_range", "_rank_place")
 
 
+# ------------------------------------------------------------------ memory of Python workers
+class PerWorker:
+    """What make() gives, made once for the tasks that a Python worker runs of one job.
+
+    It travels as a broadcast. A worker drops that, and what was made with it, at its first task of another job, so
+    that workers that wait or go on with other work do not hold it.
+    """
+
+    def __init__(self, make):
+        self.make, self.made = make, None
+
+    def __call__(self):
+        if self.made is None:
+            self.made = self.make()
+        return self.made
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can; else a worker keeps most of what it once needed."""
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ------------------------------------------------------------------ hashing in Python tasks
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsubo.llm.common import text_bytes
+from tsubo.llm.common import give_back, text_bytes
 
 ROWS_PER_LANGUAGE = 400
 MOST_WORDS = 15_000
@@ -84,24 +84,29 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, most_words:
     return {"languages": languages, "words": logs(known) if known else {}, "grams": [logs(t) if t else {} for t in grams]}
 
 
+def packed(model: dict) -> dict:
+    """The model as it travels: one matrix for words and n-grams, and a text per table with the names of its rows, one a
+    line (no word holds a line feed). Every worker keeps it, so it must not be an object per word."""
+    tables = [model["words"], *model["grams"]]
+    rows = [row for table in tables for row in table.values()]
+    return {"languages": model["languages"], "tables": ["\n".join(table) for table in tables],
+            "matrix": np.array(rows).reshape(-1, max(len(model["languages"]), 1))}
+
+
 class Scorer:
-    """Scores texts with a model; scores of words are kept in a bounded cache."""
+    """Scores texts with a model, packed or not; scores of words are kept in a bounded cache."""
 
     def __init__(self, model: dict, room: int = CACHED_WORDS):
-        self.languages, self.room = model["languages"], room
-        # one matrix for words and n-grams, and tables of its rows
-        rows: list[np.ndarray] = []
-        self.words = self._numbered(model["words"], rows)
-        self.grams = [self._numbered(table, rows) for table in model["grams"]]
-        self.matrix = np.array(rows).reshape(-1, max(len(self.languages), 1))
+        model = model if "matrix" in model else packed(model)
+        self.languages, self.matrix, self.room = model["languages"], model["matrix"], room
+        tables, start = [], 0
+        for names in model["tables"]:
+            names = names.split("\n") if names else []
+            tables.append(dict(zip(names, range(start, start + len(names)))))
+            start += len(names)
+        self.words, *self.grams = tables
         self._clear()
 
-    @staticmethod
-    def _numbered(table: dict[str, np.ndarray], rows: list[np.ndarray]) -> dict[str, int]:
-        start = len(rows)
-        rows.extend(table.values())
-        return dict(zip(table, range(start, len(rows))))
-
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.scores = np.zeros((1024, self.matrix.shape[1]))
@@ -168,15 +173,18 @@ class Scorer:
 
 def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns to keep with lang_pred and score for every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_words rows per table and language
+    shared = docs.sparkSession.sparkContext.broadcast(packed(model))  # at most most_words rows per table and language
 
     def run(batches):
+        give_back()  # what other jobs have left in this worker
         scorer = Scorer(shared.value)
         for batch in batches:
             found = [scorer(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
+        del scorer
+        give_back()
 
     rows = docs.select(*keep, text_bytes(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)

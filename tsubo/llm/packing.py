@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tsubo.llm.common import stored, text_bytes
+from tsubo.llm.common import PerWorker, stored, text_bytes
 
 ROOM = 4096
 END = 1
@@ -103,22 +103,19 @@ class WordIds:
         return b"".join(map(self.chunks.now.__getitem__, chunks))
 
 
-@functools.lru_cache(maxsize=1)
-def _word_ids(path: str, split: bool) -> WordIds:
-    """One per worker process, so that the tasks of a worker share what it knows."""
-    return WordIds(path, split=split)
-
-
 def pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END, with_ids: bool = False, split: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, 4 bytes each)."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                         ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
 
+    # one per worker process, so that the tasks of a worker share what it knows
+    word_ids = docs.sparkSession.sparkContext.broadcast(PerWorker(functools.partial(WordIds, path, split=split)))
+
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, last = _word_ids(path, split), np.array([end], dtype="<u4").tobytes()
+        ids_of, last = word_ids.value(), np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
