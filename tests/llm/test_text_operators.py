@@ -313,6 +313,14 @@ def test_pack_of_nothing(nothing):
     assert packing.pack(nothing, tokenizer_path()).collect() == []
 
 
+def test_a_word_is_kept_once():
+    ids_of = packing.WordIds(tokenizer_path())
+    text = "aa bb cc Aa bb."
+    assert ids_of(text.encode()) == np.array(ids_of.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    caches = [x for x in vars(ids_of).values() if isinstance(x, packing._Recent)]
+    assert sum(len(x.now) + len(x.old) for x in caches) == 5
+
+
 def test_workers_drop_the_tokenizer_with_the_next_job(spark, docs):
     def held(batches):
         for _ in batches:

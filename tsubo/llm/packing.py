@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tsubo.llm.common import PerWorker, stored, text_bytes
+from tsubo.llm.common import PerWorker, give_back, stored, text_bytes
 
 ROOM = 4096
 END = 1
@@ -61,15 +61,15 @@ class WordIds:
 
     The tokenizer never joins text across ASCII white space, lower-cases, and splits a full stop or comma
     that ends a chunk after a letter. So a text's ids are those of its chunks one after the other, and
-    chunks differ from known words by capitals and such an ending only. A tokenizer of another kind
-    needs `split=False`.
+    chunks differ from known words by capitals and such an ending only. A word has the ids of the chunk that is
+    written like it, so one cache holds both. A tokenizer of another kind needs `split=False`.
     """
 
     def __init__(self, path: str, room: int = CACHED_WORDS, split: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.split = Tokenizer.from_file(path), split
-        self.chunks, self.words = _Recent(room), _Recent(room)
+        self.chunks = _Recent(room)
         self.ends = dict(zip(b".,", self._encode([".", ","])))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -77,20 +77,21 @@ class WordIds:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _learn(self, chunks: list[bytes]) -> None:
-        parts = []
+        parts, words = [], set()
         for chunk in chunks:
             word, end = chunk, b""
             if b"<" not in chunk:  # special tokens are case sensitive
                 word = chunk.lower()
                 if len(word) > 1 and word[-1] in self.ends and 97 <= word[-2] <= 122:
                     end, word = self.ends[word[-1]], word[:-1]
-            parts.append((chunk, word, end))
-        self.words.turn()
-        new = self.words.missing({word for _, word, _ in parts})
+            words.add(word)
+            if word != chunk:
+                parts.append((chunk, word, end))
+        new = self.chunks.missing(words)
         if new:
-            self.words.now.update(zip(new, self._encode([w.decode() for w in new])))
+            self.chunks.now.update(zip(new, self._encode([w.decode() for w in new])))
         for chunk, word, end in parts:
-            self.chunks.now[chunk] = self.words.now[word] + end
+            self.chunks.now[chunk] = self.chunks.now[word] + end
 
     def __call__(self, text: bytes) -> bytes:
         if not self.split:
@@ -125,6 +126,7 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM, end: int = END, with_id
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part))
             columns = list(zip(*rows))[:len(schema)] if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("bigint"), text_bytes("text")).mapInArrow(
         run, PIECE + (", ids binary" if with_ids else ""))
