@@ -8,6 +8,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark import SparkContext
@@ -187,6 +188,57 @@ def test_removal_with_a_full_filter(docs, rows, monkeypatch):
     assert by_id(substrings.without_repeats(docs), "n_words", "n_removed", "kept_sha256") == expected
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 9, 12])
+def test_removal_from_a_table_of_short_texts(spark, n):
+    """Chunks of texts without a single edge: none of them loses a word."""
+    text = " ".join(f"w{i}" for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id int, text string")
+    assert {d: r[:2] for d, r in by_id(substrings.without_repeats(df), "n_words", "n_removed").items()} == {1: (n, 0), 2: (n, 0), 3: (0, 0)}
+    chunk = next(substrings._chunks([1], [text.encode()], 13, 7))
+    assert len(chunk.anchors) == len(chunk.edge(chunk.first)) == len(chunk.of(chunk.check)) == 0
+
+
+def test_whole_copies_are_removed_without_their_texts(spark):
+    rng = random.Random(5)
+    base, other = sentence(rng, 200), sentence(rng, 90)
+    rows = [(9, base), (4, base), (4, base), (6, base.replace(" ", "\n")), (7, "x " + base), (2, other), (5, other), (None, base), (8, "a b c"), (3, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    later, others = substrings.copies(df)
+    assert sorted(map(tuple, later.collect())) == [(5, 90), (6, 200), (9, 200)]
+    looked_at = substrings.paths(df, np.full(1 << 14, np.uint64(2**64 - 1)), stay=substrings.Stay(df, others))
+    assert {r["doc_id"] for r in looked_at.select("doc_id").distinct().collect()} == {2, 4, 7}
+    found = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["text"]) for r in substrings.without_repeats(df, with_text=True).collect())
+    assert found == sorted([(9, 200, 200, ""), (4, 200, 0, base), (4, 200, 0, base), (6, 200, 200, ""), (7, 201, 200, "x"), (2, 90, 0, other),
+                            (5, 90, 90, ""), (0, 200, 0, base), (8, 3, 0, "a b c"), (3, 3, 0, "a b c")])
+
+
+def test_spans_against_one_match_after_the_other():
+    rng = random.Random(6)
+    found = sorted({(rng.randrange(3), p := rng.randrange(60), rng.randrange(1, 5), rng.randrange(2), max(p - rng.randrange(3), 0)) for _ in range(300)})
+    expected = []
+    for key in sorted({(d, s, p - q) for d, p, _, s, q in found}):
+        runs = []
+        for d, p, e, s, q in sorted(m for m in found if (m[0], m[3], m[1] - m[4]) == key):
+            if runs and p <= runs[-1][2] - 9 + 1:
+                runs[-1][2] = max(runs[-1][2], p + e - 1 + 9)
+            else:
+                runs.append([d, p, p + e - 1 + 9, s, q])
+        expected += runs
+    rng.shuffle(found)
+    columns = substrings.spans(*(np.array(c) for c in zip(*found)), 9)
+    assert [list(map(int, row)) for row in zip(*columns)] == expected
+    assert all(len(c) == 0 for c in substrings.spans(*[np.empty(0, np.int64)] * 5, 9))
+
+
+@pytest.mark.parametrize("bits", [20, 26, 28])
+def test_filters_grow_with_their_values(spark, bits):
+    keys = np.random.default_rng(bits).integers(0, 1 << 48, 20_000).astype(np.uint64)
+    df = spark.createDataFrame(pd.DataFrame({"key": keys[:10_000].view(np.int64)}))
+    table = substrings.bloom(df, "key", bits)
+    assert substrings.in_bloom(table, keys[:10_000]).all() and substrings.in_bloom(table, keys[10_000:]).mean() < 0.01
+    assert [substrings.filter_bits(n) for n in (0, 10_000, 4_000_000, 10**10)] == [20, 20, 27, 28]
+
+
 def test_removal_of_nothing_and_nulls(spark, nothing):
     assert substrings.without_repeats(nothing).collect() == []
     text = " ".join(f"w{i}" for i in range(20))
