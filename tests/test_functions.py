@@ -163,3 +163,15 @@ def test_labels(apply):
     assert apply(lambda c: attributes.age_label(c, as_of), times) == ["1日前", "23時間前", "1分前", "今"]
     assert apply(lambda c: attributes.days_since_seen(c, as_of), [times[0], None]) == [1, 9999]
     assert apply(attributes.retry_delay_seconds, [0, 1, 2, 3, 4, 9], "int") == [300, 900, 3600, 14400, 43200, 43200]
+
+
+def test_strip_takes_every_white_space(spark):
+    chars = [(chr(i) + f"a{chr(i)}b " + chr(i) + "\n",) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([*chars, (None,), ("",), (" 　\r\n",), ("a\n",)], "t string")
+    by_class = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert df.where(~text.strip(F.col("t")).eqNullSafe(by_class)).count() == 0
+
+
+def test_json_text_without_escapes_stays(apply):
+    cases = {"メゾン": "メゾン", "\\u30e1": "メ", "a\\/b": "a/b", 'a","x":"b': "a", 'a"b': 'a"b', "a\tb": "a\tb", "\\x": "\\x", "": "", None: None}
+    assert apply(text.unescape_json, list(cases)) == list(cases.values())

@@ -185,3 +185,20 @@ def test_the_address_is_looked_for_once(spark):
     rows = spark.createDataFrame([(1, "http://a/b", "<p>")], "page_id long, url string, html string")
     read = rows.select(pages.page_address(F.col("url"), F.col("html")).alias("address"))
     assert read._jdf.queryExecution().analyzed().toString().count("canonical") == 1
+
+
+def test_a_value_of_a_page_is_made_once(spark):
+    """No pattern stands in the plan again where a value is tested before it is taken."""
+    rows = ingest.page_rows(page(spark, "<p>x</p>"), "demo", "2001-08-02 00:00:00")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in ("og:title", "twitter:title", "(?is)<h1", pages.ACCESS_LINE, pages.ACCESS_WALK, text.WALK, text.AREA, text.FLOOR, text.BUILDING_AGE,
+                    text.RENT_IN_MAN, text.RENT_IN_YEN):
+        assert plan.count(pattern) == 1, pattern
+
+
+def test_state_values_in_odd_spacing(spark):
+    html = ('__SERVER_SIDE_CONTEXT__ {"BuildingName"\n:\t" : a: ","Price"  :  7,"FloorNum" : "12","Facilities" :\n["001", "a:b"],'
+            '"StationName":":","Direction":" ","YearsOld":99999999999,"MinutesFromStation" :05}')
+    s = pages.with_state(page(spark, html)).first().state
+    assert (s.BuildingName, s.Price, s.FloorNum, s.Facilities) == (" : a: ", 7, 12, '["001", "a:b"]')
+    assert (s.StationName, s.Direction, s.YearsOld, s.MinutesFromStation, s.KindName) == (":", " ", None, 5, None)
